@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import decontam, langid, lines, packing, pii, quality, simhash, warc
+from tapeworks.llm import decontam, langid, lines, packing, pii, quality, simhash, substring, warc
 from tapeworks.llm.common import fresh_dir
 
 
@@ -28,6 +28,17 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "__tw_lang.lang_pred", "__tw_lang.score")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: its repeated stretches (first byte:bytes), and the documents that keep them."""
+    found = substring.repeated_runs(table(spark, sf_dir, "documents"))
+    stretches = F.transform("runs", lambda x: F.concat_ws(":", x["at"].cast("string"), x["size"].cast("string")))
+    return found.select(
+        "doc_id", "n_bytes", F.size("runs").cast("long").alias("n_runs"),
+        F.aggregate("runs", F.lit(0).cast("long"), lambda acc, x: acc + x["size"]).alias("dropped_bytes"),
+        F.array_join(stretches, ",").alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda x: x["keepers"])))).alias("kept_in"),
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.kept_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -70,6 +81,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_pii": op6_pii,
