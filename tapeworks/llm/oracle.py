@@ -41,4 +41,6 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM p JOIN f USING (payload_digest)
 """
 
-ORACLE = {"op4_line_dedup": OP4, "op5_decontamination": OP5, "op8_warc": OP8}
+OP1 = "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents"
+
+ORACLE = {"op1_sharding": OP1, "op4_line_dedup": OP4, "op5_decontamination": OP5, "op8_warc": OP8}

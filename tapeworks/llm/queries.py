@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import decontam, langid, lines, packing, pii, quality, simhash, substring, warc
+from tapeworks.llm import decontam, langid, lines, packing, pii, quality, sharding, simhash, substring, warc
 from tapeworks.llm.common import fresh_dir
 
 
@@ -21,6 +21,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Arrivals that the documents are dealt to, as if each had come on its own.
+ARRIVALS = 8
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends the documents as arrivals, compacts the shards, and reads the newest version back."""
+    docs = table(spark, sf_dir, "documents")
+    dataset = sharding.Dataset(spark, fresh_dir(spark, "shards"))
+    dataset.append(docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))), key="arrival")
+    dataset.compact()
+    dataset.vacuum()
+    return dataset.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs.select("doc_id", "text"), docs.where(langid.in_training(F.col("doc_id"))).select("text", "lang"))
@@ -80,6 +94,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_line_dedup": op4_line_dedup,
