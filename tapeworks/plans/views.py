@@ -199,4 +199,7 @@ def with_views(body: str, views: dict[str, str] = SQL_VIEWS) -> str:
     body = body.strip()
     if not head:
         return body
-    return f"WITH {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head} {body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{head}, {body[len(start) :]}"
+    return f"WITH {head} {body}"
