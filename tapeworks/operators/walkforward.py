@@ -151,7 +151,7 @@ def rank_correlation(rows: DataFrame, x: str, y: str, by: tuple[str, ...]) -> Da
     rank = lambda c: F.rank().over(group.orderBy(c)) + (F.count("*").over(group.orderBy(c).rangeBetween(0, 0)) - 1) / 2
     ranked = used.withColumns({"_x": rank(x), "_y": rank(y)})
     n, varies = F.count("*"), (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))
-    return ranked.groupBy(*by).agg(F.when((n >= 3) & varies, F.corr("_x", "_y")).alias("ic"))
+    return ranked.groupBy(*by).agg(F.when((n >= 3) & varies, F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))).alias("ic"))
 
 
 def brier(name: str) -> Column:
