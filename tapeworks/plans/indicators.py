@@ -45,6 +45,11 @@ def stateful(m):
     return _five(indicators.stateful(m.panel_bar))
 
 
+@query("wn8_macd", f"WITH RECURSIVE {_STATES.format(rows='panel_bar')} SELECT ts_code, trade_date, round(ema12 - ema26, 5) + 0.0 AS dif, round(dea, 5) + 0.0 AS dea, round(2 * (ema12 - ema26 - dea), 5) + 0.0 AS macd FROM s")
+def macd(m):
+    return _five(indicators.stateful(m.panel_bar)).select("ts_code", "trade_date", "dif", "dea", "macd")
+
+
 @query(
     "wn10_preheated",
     f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY ts_code ORDER BY trade_date) AS p FROM panel_bar WHERE trade_date <= DATE '2000-12-31'),
