@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeworks.lineage import cut, shared_dir
+
+__all__ = ["OWN", "ascii_lower", "cut", "fresh_dir", "keep_rows", "row_key", "shared_dir", "text_of"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\f\r"
@@ -16,28 +19,10 @@ BLANKS = " \t\n\x0b\f\r"
 OWN = "__tw_"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir), set to a temporary
-    one only where the session names none, as in local tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tapeworks-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
 def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage with a reliable checkpoint, which survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else. Text that is all ASCII takes the fast built-in."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
