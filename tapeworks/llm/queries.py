@@ -23,13 +23,14 @@ def tokenizer_path(name: str) -> str:
 
 #: Arrivals that the documents are dealt to, as if each had come on its own.
 ARRIVALS = 8
+KEY = "tw__arrival"
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Appends the documents as arrivals, compacts the shards, and reads the newest version back."""
     docs = table(spark, sf_dir, "documents")
     dataset = sharding.Dataset(spark, fresh_dir(spark, "shards"))
-    dataset.append(docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))), key="arrival")
+    dataset.append(docs.withColumn(KEY, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))), key=KEY)
     dataset.compact()
     dataset.vacuum()
     return dataset.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -9,7 +9,7 @@ left behind belong to no manifest and are never read.
 Merging reads each tier's shards in packed splits and writes one shard for each group of splits, without a shuffle. Manifests are read and written by Spark
 (they grow with the number of shards); the driver sees counts for each tier.
 
-Defined results: an empty arrival commits a version without new shards; rows are kept as they are, repeated ones, nulls and extra columns
+Defined results: an empty arrival commits a version without new shards, and a dataset of such arrivals alone is an empty frame; rows are kept as they are, repeated ones, nulls and extra columns
 included; columns named like the manifest's don't clash with it, as the manifest is a table of its own."""
 
 from __future__ import annotations
@@ -86,8 +86,11 @@ class Dataset:
     def append(self, arrivals: DataFrame, key: str | None = None) -> int:
         """Commits arrivals as new shards: one version, or with key (an integer column that numbers arrivals, and isn't kept) one for each number, in
         their order. All are written by one job."""
-        name = f"shards/{uuid.uuid4().hex}"
-        target = f"{self.folder}/{name}"
+        self.spark.createDataFrame([], (arrivals if key is None else arrivals.drop(key)).schema).write.mode("ignore").parquet(f"{self.folder}/schema")
+        if arrivals.isEmpty():
+            version = self.version()
+            return self._commit(self.manifest(version), version)
+        target = f"{self.folder}/shards/{uuid.uuid4().hex}"
         if key is None:
             arrivals.write.parquet(target)
         else:
@@ -131,8 +134,9 @@ class Dataset:
         return self.spark.read.parquet(*paths)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version; the newest by default."""
-        return self._rows(self.manifest(version))
+        """The rows of a version, the newest by default; without shards an empty frame of the first arrival's columns."""
+        shards = self.manifest(version)
+        return self.spark.read.parquet(f"{self.folder}/schema") if shards.isEmpty() else self._rows(shards)
 
     def vacuum(self, keep: int = 1) -> int:
         """Deletes the shards that the newest keep manifests don't name, and the older manifests; shards of a writer that hasn't committed must not be

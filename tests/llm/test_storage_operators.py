@@ -196,6 +196,16 @@ def test_sharding_versions(spark, tmp_path):
         data._commit(data.manifest(), 6)
 
 
+def test_sharding_arrivals_by_key_and_empty_tables(spark, tmp_path):
+    data = sharding.Dataset(spark, str(tmp_path / "set"))
+    rows = spark.range(100).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"), (F.col("id") % 3).alias("arrival"))
+    assert data.append(rows.where("false").withColumn("k", F.lit(1)), key="k") == 1
+    assert data.read().columns == rows.columns and data.read().count() == 0
+    assert data.append(rows.withColumn("k", F.col("doc_id") % 6), key="k") == 7
+    data.compact()
+    assert data.read().columns == rows.columns and data.read().exceptAll(rows).count() == 0 and data.read().count() == 100
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     rng = random.Random(7)
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8)))
