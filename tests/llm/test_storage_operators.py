@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tapeworks.llm import packing, sharding, simhash, substring, warc
+from tapeworks.llm import packing, sharding, similar, simhash, substring, warc
 from tapeworks.llm.components import components
 from tapeworks.llm.queries import tokenizer_path
 
@@ -217,3 +217,47 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     assert len(corpus_pipeline.STAGES) == 5
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).select("doc_id").distinct().collect()} == {i for i, _, _ in clean}
+
+
+def test_near_copy_stage_matches_brute_force(spark):
+    rng = np.random.default_rng(7)
+    rows, doc = [(0, ""), (1, " \n"), (2, None)], 3
+    for base in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(3, 400)))]
+        rows.append((doc, " ".join(words)))
+        doc += 1
+        for changed in (0, 1, 2, 4, 8, 12)[: 2 + base % 5]:
+            copy = list(words)
+            for at in rng.choice(len(words), min(changed, len(words)), replace=False):
+                copy[at] = f"other{doc}"
+            rows.append((doc, " ".join(copy).upper()))
+            doc += 1
+    hot = [f"h{x}" for x in rng.integers(0, 5000, 200)]
+    for at in range(150):  # a group of copies, each with a word changed at another place: many of its pairs are under 0.95
+        rows.append((doc, " ".join([*hot[:at], f"new{at}", *hot[at + 1 :]])))
+        doc += 1
+
+    def sets(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    all_sets, root = [sets(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    middle = 0
+    for i, a in enumerate(all_sets):
+        for j in range(i):
+            b = all_sets[j]
+            shared, both = len(a & b), len(a | b)
+            if both == 0 or shared * 5 >= both * 4:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+                middle += both > 0 and shared * 20 < both * 19
+    assert middle > 100
+    docs = spark.createDataFrame([*rows, (None, rows[-1][1])], "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [*(i for i in range(len(rows)) if find(i) == i), None]
+    assert similar.near_copies(docs.where("false")).count() == 0
