@@ -46,22 +46,21 @@ def sc4(m):
 
 @query("sc5_plain_reason")
 def sc5(m):
-    """First lines of documents, as full-width text every third time."""
-    line = F.substring_index("text", "\n", 1)
-    wide = F.translate(line, "abcdefghij,", "ａｂｃｄｅｆｇｈｉｊ，")
-    reason = F.when(F.col("doc_id") % 3 == 0, wide).otherwise(line)
+    """Whole texts of documents, as full-width text every third time."""
+    wide = F.translate("text", "abcdefghij,", "ａｂｃｄｅｆｇｈｉｊ，")
+    reason = F.when(F.col("doc_id") % 3 == 0, wide).otherwise(F.col("text"))
     return m.table("documents").select("doc_id", fn.plain_reason(reason).alias("reason"))
 
 
 @query("sc7_reason_hash")
 def sc7(m):
-    return m.table("documents").select("doc_id", fn.reason_hash(F.substring_index("text", "\n", 1)).alias("reason_hash"))
+    return m.table("documents").select("doc_id", fn.reason_hash(F.col("text")).alias("reason_hash"))
 
 
 @query("rc6_reason_hash_backfill")
 def rc6(m):
-    """Of first lines with one hash the document of the highest id."""
-    rows = m.table("documents").select("doc_id", fn.reason_hash(F.substring_index("text", "\n", 1)).alias("reason_hash")).where(F.col("reason_hash").isNotNull())
+    """Of texts with one hash the document of the highest id."""
+    rows = m.table("documents").select("doc_id", fn.reason_hash(F.col("text")).alias("reason_hash")).where(F.col("reason_hash").isNotNull())
     return upsert.backfill_hash(rows, "reason_hash", "doc_id")[0]
 
 

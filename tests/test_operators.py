@@ -114,6 +114,23 @@ def test_reasons_and_hashes(spark):
     assert [r.r for r in rows] == ["A b", "A b", None, None] and rows[0].h == rows[1].h and rows[3].h is None
 
 
+def test_reason_queries_read_whole_texts(spark, tmp_path):
+    import hashlib
+    import re
+    import unicodedata
+
+    from tapeworks import plans
+
+    texts = ["License X\nfirst", "License X\nsecond", "\nafter an empty line", "Ｌicense  X\n\tsecond ", "\n \n", "", None, "abc, def\nghi"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    reasons = {i: re.sub(r"[ \t\n\x0b\f\r]+", " ", unicodedata.normalize("NFKC", t or "")).strip(" ") or None for i, t in enumerate(texts)}
+    hashes = {i: r and hashlib.sha256(r.encode()).hexdigest() for i, r in reasons.items()}
+    run = lambda name: plans.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.reason for r in run("sc5_plain_reason")} == reasons
+    assert {r.doc_id: r.reason_hash for r in run("sc7_reason_hash")} == hashes
+    assert {r.doc_id: r.reason_hash for r in run("rc6_reason_hash_backfill")} == {i: h for i, h in hashes.items() if h and i == max(k for k in hashes if hashes[k] == h)}
+
+
 def test_entry_without_the_training_operators():
     import __spark_entry__ as e
 
