@@ -40,13 +40,28 @@ def upsert_arrivals(stream: DataFrame, folder: str, keys: Sequence[str], order:
 
 
 def probe(stream: DataFrame, folder: str, key: str, least: int, delay: str = "1 day") -> DataFrame:
-    """day, key, n, latest: closed days on which a key had least rows or more. A day closes when the watermark passes its end; rows that come later don't count."""
-    timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    days = timed.withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("w"), key).agg(F.count("*").alias("n"), F.max("ts").alias("latest"))
-    found = days.select(F.to_date("w.start").alias("day"), key, "n", "latest").where(F.col("n") >= least)
-    query = found.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/matches").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(found.schema).parquet(f"{folder}/matches")
+    """day, key, n, latest: closed days on which a key had least rows or more. Running counts are merged batch by batch, so that every row counts
+    in whatever file or batch it comes; a day is closed when the latest row of all lies the delay or more behind its end."""
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).where(F.col("ts").isNotNull())
+
+    def counted(rows: DataFrame) -> DataFrame:
+        days = rows.groupBy(F.window("ts", "1 day").alias("w"), key).agg(F.count("*").alias("n"), F.max("ts").alias("latest"))
+        return days.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n", "latest")
+
+    table = Versions(stream.sparkSession, f"{folder}/table", counted(timed).schema)
+    merged = lambda old, rows: old.unionByName(counted(rows)).groupBy("start", "end", key).agg(F.sum("n").alias("n"), F.max("latest").alias("latest"))
+    _drain(timed, f"{folder}/state", lambda rows, n: table.advance(n, lambda old: merged(old, rows)))
+    days = table.read(table.last or _newest(stream.sparkSession, table.folder))
+    closed = F.col("end") <= F.col("newest") - F.expr(f"interval {delay}")
+    found = days.join(F.broadcast(days.agg(F.max("latest").alias("newest"))), F.lit(True)).where(closed & (F.col("n") >= least))
+    return found.select(F.to_date("start").alias("day"), key, "n", "latest")
+
+
+def _newest(spark: SparkSession, folder: str) -> int:
+    """The number of the last whole version; 0 if there is none. A run that finds no new files reads that one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return max((int(f.getPath().getParent().getName()[1:]) for f in found or ()), default=0)
 
 
 def capped(matches: DataFrame, key: str, per_day: int) -> DataFrame:

@@ -131,6 +131,23 @@ def test_reason_queries_read_whole_texts(spark, tmp_path):
     assert {r.doc_id: r.reason_hash for r in run("rc6_reason_hash_backfill")} == {i: h for i, h in hashes.items() if h and i == max(k for k in hashes if hashes[k] == h)}
 
 
+def test_probe_counts_rows_of_all_batches(spark, tmp_path):
+    from tapeworks.streaming import jobs
+
+    day = lambda n, k: dt.datetime(2024, 1, n, k % 24, k % 60)
+    late, early = [("a", day(20, k)) for k in range(600)], [("a", day(n, k)) for n in (1, 2, 9) for k in range(70)]
+    early += [("b", day(2, k)) for k in range(59)] + [("a", day(19, k)) for k in range(70)] + [(None, None)]
+    late += [("a", day(n, 30)) for n in (1, 2)]
+    for rows, files in ((late, 150), (early, 30)):  # the later days' files are read first, in a batch of their own
+        spark.createDataFrame(rows, "kind string, ts timestamp").repartition(files).write.mode("append").parquet(str(tmp_path / "in"))
+    assert len(list((tmp_path / "in").glob("*.parquet"))) > 100
+    read = lambda: sorted((r.day.day, r.kind, r.n, r.latest) for r in jobs.probe(jobs.file_stream(spark, str(tmp_path / "in"), "kind string, ts timestamp"), str(tmp_path / "out"), "kind", 60).collect())
+    last = lambda n, extra: max(day(n, k) for k in [*range(70), *extra])
+    want = [(1, "a", 71, last(1, [30])), (2, "a", 71, last(2, [30])), (9, "a", 70, last(9, []))]
+    assert read() == want
+    assert read() == want  # no new files
+
+
 def test_entry_without_the_training_operators():
     import __spark_entry__ as e
 
