@@ -43,5 +43,5 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, keep: Column) -> DataFrame:
     (unique), and the columns that keep uses, whose names start with OWN."""
     own = docs.withColumn(f"{OWN}hash", F.xxhash64("text"))
     right = verdicts.withColumnsRenamed({"doc_id": f"{OWN}id", "text_hash": f"{OWN}right"})
-    joined = own.join(right, (own["doc_id"] == right[f"{OWN}id"]) & (own[f"{OWN}hash"] == right[f"{OWN}right"]), "left")
+    joined = own.join(right, own["doc_id"].eqNullSafe(right[f"{OWN}id"]) & own[f"{OWN}hash"].eqNullSafe(right[f"{OWN}right"]), "left")
     return joined.where(keep).select(*[own[f"`{c}`"] for c in docs.columns])

@@ -26,10 +26,20 @@ m AS (SELECT doc_id, i, k, item_id FROM (SELECT doc_id, i, k, list_slice(w, i, i
 pos AS (SELECT DISTINCT doc_id, i + unnest(range(0, k)) AS place FROM m),
 h AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id),
+tok AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d),
+cnt AS (SELECT word, count(*) AS n FROM tok GROUP BY word),
+terms AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, unnest(w) AS word FROM b WHERE item_id IS NOT NULL),
+ranked AS (SELECT item, word, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY item ORDER BY coalesce(n, 0), word) AS r FROM terms LEFT JOIN cnt USING (word)),
+rare AS (SELECT *, count(*) OVER (PARTITION BY item) AS k, min(n) OVER (PARTITION BY item) AS least FROM ranked WHERE r <= 3),
+lists AS (SELECT doc_id, item, r, pos FROM tok JOIN rare USING (word) WHERE k = 3 AND least > 0),
+nr AS (SELECT x.doc_id, count(DISTINCT x.item) AS n_near FROM lists x
+  JOIN lists y ON x.doc_id = y.doc_id AND x.item = y.item AND abs(x.pos - y.pos) <= 20 JOIN lists z ON x.doc_id = z.doc_id AND x.item = z.item AND abs(x.pos - z.pos) <= 20
+  WHERE x.r = 1 AND y.r = 2 AND z.r = 3 GROUP BY x.doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nr USING (doc_id)
 """
 
 OP8 = """

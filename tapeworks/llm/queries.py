@@ -64,6 +64,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near",
     )
 
 

@@ -56,7 +56,7 @@ def brute_overlap(rows, items, size=10):
     for item, text in items:
         w = word.findall(low(text))
         for k in range(max(1, len(w) - size + 1)) if w else ():
-            windows[tuple(w[k : k + size])].add(str(item))
+            windows[tuple(w[k : k + size])] |= {str(item)} if item is not None else set()
     out = []
     for i, text in rows:
         w, hit, found = word.findall(low(text)), set(), set()
@@ -69,21 +69,47 @@ def brute_overlap(rows, items, size=10):
     return Counter(out)
 
 
-def test_overlap_matches_brute_force(spark):
+def brute_near(rows, items, n_terms=3, span=20):
+    """For each row how many items have their rarest terms near each other in it."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    texts = [word.findall(low(t)) for _, t in rows]
+    counts = Counter(w for t in texts for w in t)
+    out = []
+    for t in texts:
+        n = 0
+        for item, text in items:
+            rare = sorted({(counts[w], w) for w in word.findall(low(text))})[:n_terms]
+            if item is None or len(rare) < n_terms or not rare[0][0]:
+                continue
+            at = [[k for k, w in enumerate(t) if w == r] for _, r in rare]
+            n += any(all(any(abs(p - q) <= span for q in other) for other in at[1:]) for p in at[0])
+        out.append(n)
+    return out
+
+
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, -1])
+def test_overlap_matches_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)
     passage = " ".join(f"w{i}" for i in range(30))
-    items = [(1, passage), (2, "a short item"), (3, ""), (4, None), (10, passage), (5, "the " * 12)]
+    items = [(1, passage), (2, "a short item"), (3, ""), (4, None), (10, passage), (5, "the " * 12), (None, "only here without an id so that it is matched but never listed")]
     rows = [
         (1, f"before {passage.upper()}, after"), (2, "A short, ITEM! a short item"), (3, None), (4, ""), (5, " ".join(f"w{i}" for i in range(9))), (6, " ".join(f"w{i}" for i in range(5, 15))),
-        (7, "the " * 40), (7, "another row with one id: a short item"), (8, "naïve café ÉA"), (9, "the " * 3000 + passage),
+        (7, "the " * 40), (7, "another row with one id: a short item"), (8, "naïve café ÉA"), (9, "the " * 3000 + passage), (10, "item so short and so a thing"), (11, "short" + " x" * 19 + " item" + " y" * 19 + " a"), (12, "short" + " x" * 25 + " item a"),
+        (13, "...only here without an id so that it is matched but never listed"), (None, f"null {passage}"), (None, f"null {passage}"), (None, "clean"), (14, "w1 w2 " * 400), (14, "w1 w2 " * 400),
     ]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontam.overlap_report(docs, bench).collect())
+    docs = spark.createDataFrame([(i, t, 7, "clash") for i, t in rows], "doc_id long, text string, term int, pos string").repartition(3)
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, word int")
+    report = decontam.overlap_report(docs, bench).collect()
+    got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in report)
     assert got == brute_overlap(rows, items)
-    assert {r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()} == {3, 4, 5, 7, 8} - {7}
+    assert Counter((r.doc_id, r.n_words, r.n_near) for r in report) == Counter((i, n, k) for (i, _), n, k in zip(rows, (len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")) for _, t in rows), brute_near(rows, items)))
+    hit = {(i, t) for (i, t) in rows if any(k and i == j for (j, _, k, _), _ in brute_overlap([(i, t)], items).items())}
+    kept = decontam.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(r for r in rows if r not in hit)
     assert decontam.overlap_report(docs, bench.where("false")).agg(F.sum("n_hit")).first()[0] == 0
-    near = decontam.proximity_matches(docs, bench.where("item_id = 2"), n_terms=3, span=5)
-    assert {r.doc_id for r in near.collect()} == {2, 7}
+    assert decontam.overlap_report(docs.where("false"), bench).count() == 0
 
 
 def brute_spans(text):
