@@ -36,8 +36,8 @@ SEED = 7
 MIN_SCORE = 0.1
 JUDGED_CHARS = 200
 #: Texts whose vectors are computed at once hold about so many characters; trigrams that are bound at once.
-BATCH_CHARS = 1 << 20
-BOUND = 1 << 14
+BATCH_CHARS = 1 << 18
+BOUND = 1 << 12
 
 
 @cache

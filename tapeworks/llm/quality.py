@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeworks.llm.common import cut
-from tapeworks.llm.tokens import byte_bpe
+from tapeworks.llm.tokens import MEMO_BYTES, STRETCH, Memo, byte_bpe
 
 SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOLS = bytes(b for b in range(256) if b not in SYMBOLS)
@@ -33,7 +33,6 @@ WIDTH = (6.0, 12.0)
 FLOORS = {"chars_per_token": 0.1, "byte_share": 0.1, "entropy": 0.3}
 MIN_GROUP = 50
 MIN_WORDS = 50
-CACHE_WORDS = 500_000
 #: What a piece that begins a word starts with, and how many words are read at once.
 SPACE = "\u2581"
 RUN_WORDS = 500
@@ -51,33 +50,33 @@ class Pieces:
         size = self.model.get_piece_size()
         self.is_byte = np.array([self.model.is_byte(i) for i in range(size)], bool)
         self.starts = np.array([self.model.id_to_piece(i)[:1] == SPACE for i in range(size)], bool)
-        self.known: dict[str, complex] = {}
+        self.memo = Memo(MEMO_BYTES // 2)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> dict[str, complex]:
         """Words are read in runs, as no piece reaches into the next word; a run whose words can't be told apart is read word by word."""
+        found: dict[str, complex] = {}
         for at in range(0, len(words), RUN_WORDS):
             run = words[at : at + RUN_WORDS]
             ids = np.array(self.model.encode(" ".join(run)), np.int64)
             firsts = np.flatnonzero(self.starts[ids])
             if len(firsts) == len(run) and firsts[0] == 0 and SPACE not in "".join(run):
                 n = np.diff(np.append(firsts, len(ids)))
-                self.known.update(zip(run, (n + 1j * np.add.reduceat(self.is_byte[ids].astype(np.int64), firsts)).tolist()))
+                found |= self.memo.add(run, (n + 1j * np.add.reduceat(self.is_byte[ids].astype(np.int64), firsts)).tolist())
             else:
-                for word, own in zip(run, self.model.encode(run, num_threads=1)):
-                    self.known[word] = complex(len(own), int(self.is_byte[own].sum()) if own else 0)
+                found |= self.memo.add(run, [complex(len(own), int(self.is_byte[own].sum()) if own else 0) for own in self.model.encode(run, num_threads=1)])
+        return found
 
     def counts(self, words: list[str]) -> complex:
         """Pieces (real part) and byte pieces (imaginary part) of words, each read alone."""
-        known = self.known
+        return sum((self._counts(words[at : at + STRETCH]) for at in range(0, len(words), STRETCH)), 0j)
+
+    def _counts(self, words: list[str]) -> complex:
+        known = self.memo.known
         try:
             return sum([known[w] for w in words])
         except KeyError:
-            new = [w for w in set(words) if w not in known]
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            self._learn(new)
-            return sum([known[w] for w in words])
+            new = self._learn([*set(words).difference(known)])
+            return sum([known[w] if w in known else new[w] for w in words])
 
 
 @cache

@@ -1,22 +1,60 @@
-"""Token ids of public vocabularies, through a bounded cache of words."""
+"""Token ids of public vocabularies, through a memo of words that is bounded by its bytes.
+
+A worker holds the vocabulary itself (some 120 MB with its libraries) and at most MEMO_BYTES for each memo; no text is read in stretches of more than
+STRETCH characters or words at once, so that what a worker needs doesn't grow with its texts or with the number of different words."""
 
 from __future__ import annotations
 
 import json
 import os
 import re
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 
-#: Words kept by a worker's cache, some 150 bytes each; a full cache is emptied.
-CACHE_WORDS = 800_000
+MEMO_BYTES = 48 << 20
+#: What a kept word takes besides its characters.
+ENTRY_BYTES = 240
+STRETCH = 1 << 15
 #: White space before a space, or two spaces: words of such texts don't stand alone.
 _TIED = re.compile(r"\s |<\|")
 #: Words whose classes (letter, digit, white space) are the same in every Unicode version.
 _LATIN = re.compile(r"[\x00-ɏ]*[^\s]")
 
 
+class Memo:
+    """What is known of words, within about ``limit`` bytes. A full memo is given up for an empty one, which soon holds the frequent words again."""
+
+    def __init__(self, limit: int = MEMO_BYTES):
+        self.limit, self.held = limit, 0
+        self.known: dict[str, object] = {}
+
+    def add(self, words: list[str], values: Iterable) -> dict:
+        """The values by word, which are kept, too."""
+        found = dict(zip(words, values))
+        size = ENTRY_BYTES * len(found) + 2 * sum(map(len, found))
+        if self.held + size > self.limit:  # a new dictionary, as the old one may be in use
+            self.known, self.held = {}, 0
+        if size <= self.limit:
+            self.known |= found
+            self.held += size
+        return found
+
+
+#: Where a text may be cut without changing its ids: before a single space between visible characters.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
+    """Parts of a text of size characters or a little more, the last one shorter; all but the first begin with a space."""
+    at = 0
+    while len(text) - at > size and (found := _CUT.search(text, at + size)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
+
+
 class ByteBPE:
     """Ids of a byte-level BPE vocabulary, as the tokenizers library gives them.
 
@@ -43,8 +81,7 @@ class ByteBPE:
         for word, i in ranks.items():
             self.sizes[i] = len(word)
         #: By word: at a text's start, and after a space (which belongs to the word).
-        self.first: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}
+        self.first, self.after = Memo(MEMO_BYTES // 8), Memo()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -57,37 +94,33 @@ class ByteBPE:
         data = ids.tobytes()
         return [data[4 * a : 4 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
 
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.after]
-        if len(self.after) + len(new) > CACHE_WORDS:
-            self.after.clear()
-            new = list(words)
-        simple = [w for w in new if _LATIN.fullmatch(w)]
-        if simple:
-            self.after.update(zip(simple, self._merge(simple)))
-        other = [w for w in new if w not in self.after]
-        self.after.update(zip(other, self._library([" " + w for w in other])))
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that follow a space."""
+        simple = [w for w in words if _LATIN.fullmatch(w)]
+        found = self.after.add(simple, self._merge(simple)) if simple else {}
+        other = [w for w in words if w not in found]
+        return found | self.after.add(other, self._library([" " + w for w in other])) if other else found
 
     def _start(self, word: str) -> bytes:
-        if word not in self.first:
-            if len(self.first) > CACHE_WORDS // 8:
-                self.first.clear()
-            self.first[word] = self._library([word])[0]
-        return self.first[word]
+        known = self.first.known.get(word)
+        return self.first.add([word], self._library([word]))[word] if known is None else known
+
+    def _rest(self, words: list[str]) -> bytes:
+        known = self.after.known
+        try:
+            return b"".join([known[w] for w in words])
+        except KeyError:
+            new = self._learn([*set(words).difference(known)])
+            return b"".join([known[w] if w in known else new[w] for w in words])
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
         if _TIED.search(text):
-            return self._library([text])[0]
+            return b"".join([self._library([part])[0] for part in stretches(text)])
         start, *words = text.split(" ")
-        known = self.after
-        try:
-            rest = b"".join([known[w] for w in words])
-        except KeyError:
-            self._learn(set(words))
-            rest = b"".join([known[w] for w in words])
+        rest = b"".join([self._rest(words[at : at + STRETCH]) for at in range(0, len(words), STRETCH)])
         return self._start(start) + rest if start else rest
 
 

@@ -189,3 +189,28 @@ def test_language(spark):
     empty = langid.identify(docs, docs.where("false").select("text", "lang")).select("__tw_lang.lang_pred").distinct().collect()
     assert [r.lang_pred for r in empty] == ["und"]
     assert langid.keep_identified(docs, docs.select("text", "lang")).count() == len(rows)
+
+
+def test_memos_stay_within_their_bytes():
+    from tokenizers import Tokenizer
+
+    from tapeworks.llm import tokens
+
+    rng = __import__("random").Random(3)
+    path = tokenizer_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    bpe = tokens.ByteBPE(path)
+    bpe.after = tokens.Memo(64_000)
+    alphabet = "abcdefgh éß中0"
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 4000))) for _ in range(40)] + [" ".join(f"word{i}" for i in range(3000))] * 2 + ["x  y " * 20_000, " lead", "trail ", "a\n b"]
+    for text in texts:
+        assert list(__import__("numpy").frombuffer(bpe.ids(text), "uint32")) == library.encode(text, add_special_tokens=False).ids
+        assert bpe.after.held <= 64_000 and len(bpe.after.known) * tokens.ENTRY_BYTES <= 64_000
+    parts = list(tokens.stretches("ab cd  ef " * 1000, 100))
+    assert "".join(parts) == "ab cd  ef " * 1000 and max(map(len, parts)) < 130
+    pieces = quality.pieces(tokenizer_path("piece_bpe_32k.model"))
+    words = [f"w{i}x{i * 7}" for i in range(2000)] * 2 + ["é", "中文"]
+    pieces.memo = tokens.Memo(10_000)
+    few = pieces.counts(words)
+    pieces.memo = tokens.Memo()
+    assert few == pieces.counts(words) and len(pieces.memo.known) == 2002
