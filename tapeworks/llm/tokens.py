@@ -13,7 +13,7 @@ from functools import cache
 
 import numpy as np
 
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 128 << 20
 #: What a kept word takes besides its characters.
 ENTRY_BYTES = 240
 STRETCH = 1 << 15
@@ -81,7 +81,7 @@ class ByteBPE:
         for word, i in ranks.items():
             self.sizes[i] = len(word)
         #: By word: at a text's start, and after a space (which belongs to the word).
-        self.first, self.after = Memo(MEMO_BYTES // 8), Memo()
+        self.first, self.after = Memo(MEMO_BYTES // 16), Memo()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
