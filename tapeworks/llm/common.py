@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.lineage import cut, shared_dir
 
-__all__ = ["OWN", "ascii_lower", "cut", "fresh_dir", "keep_rows", "row_key", "shared_dir", "text_of"]
+__all__ = ["OWN", "ascii_lower", "cut", "fresh_dir", "join_hot", "keep_rows", "row_key", "shared_dir", "text_of"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -18,6 +18,9 @@ BLANKS = " \t\n\x0b\f\r"
 #: Internal columns start with this, so that extra columns of the input can't clash with them.
 OWN = "__tw_"
 
+#: How many of the most frequent keys join_hot() broadcasts: no other key has more than one row in so many.
+HOT_KEYS = 10_000
+
 
 def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
@@ -45,3 +48,18 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, keep: Column) -> DataFrame:
     right = verdicts.withColumnsRenamed({"doc_id": f"{OWN}id", "text_hash": f"{OWN}right"})
     joined = own.join(right, own["doc_id"].eqNullSafe(right[f"{OWN}id"]) & own[f"{OWN}hash"].eqNullSafe(right[f"{OWN}right"]), "left")
     return joined.where(keep).select(*[own[f"`{c}`"] for c in docs.columns])
+
+
+def join_hot(rows: DataFrame, small: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """rows joined with small, which has each key (of longs) once and in column n about how many of rows have it. The rows of the HOT_KEYS most frequent keys
+    meet a broadcast of those keys and are then dealt out by a hash of the row, so that no task gets a hot key's rows; all others are joined by a shuffle."""
+    rest = [c for c in small.columns if c not in keys]
+    named = small.select(*[F.col(k).alias(f"{OWN}{k}") for k in keys], F.struct(*rest).alias(f"{OWN}rest"))
+    hot = cut(named.orderBy(F.desc(F.col(f"{OWN}rest.{n}")), *[f"{OWN}{k}" for k in keys]).limit(HOT_KEYS)).withColumnRenamed(f"{OWN}rest", f"{OWN}hot")
+    met = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"{OWN}{k}") for k in keys], "left").drop(*[f"{OWN}{k}" for k in keys])
+    open_ = F.col(f"{OWN}hot").isNull()
+    dealt = met.withColumns({f"{OWN}cold": open_, f"{OWN}deal": F.when(open_, F.col(keys[0])).otherwise(F.xxhash64(*rows.columns))})
+    same = [F.col(f"{OWN}deal") == F.col(f"{OWN}{keys[0]}"), *[F.col(k) == F.col(f"{OWN}{k}") for k in keys[1:]], F.col(f"{OWN}cold") == F.col(f"{OWN}open")]
+    both = dealt.join(named.withColumn(f"{OWN}open", F.lit(True)), same, "left")
+    found = F.coalesce(f"{OWN}hot", f"{OWN}rest")
+    return both.where(found.isNotNull()).select(*[F.col(c) for c in rows.columns], *[found[c].alias(c) for c in rest])

@@ -58,7 +58,7 @@ def looked_up(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
     if is_bounded(small):
         return rows.join(F.broadcast(small), key)
     salt = f"{OWN}salt"
-    dealt = rows.withColumn(salt, (F.rand(7) * SALTS).cast("int"))
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
     return dealt.join(small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, salt]).drop(salt)
 
 

@@ -1,5 +1,6 @@
 """Line deduplication (native): range-partitioned line hashes, streamed in (document, position) order,
-give the documents' keep bitmaps; texts are cut by them only when asked for.
+give the documents' keep bitmaps; texts are cut by them only when asked for. A bitmap is compressed: of its 64-bit words
+only those are held in which a line goes, and all others are ones.
 
 Defined results: a null or empty text is one empty line. Keys shorter than ``min_chars`` never go. A line
 whose document has no doc_id stays and isn't counted. Rows that share a doc_id count as one document."""
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import BLANKS, OWN, ascii_lower, cut, row_key, text_of
+from tapeworks.llm.common import BLANKS, OWN, ascii_lower, cut, join_hot, row_key, text_of
 
 #: A key's documents are dealt over so many groups, so that a line held by a third of all documents
 #: is sorted by as many tasks; the groups' counts are then added up.
@@ -34,7 +35,7 @@ def line_hashes(docs: DataFrame, min_chars: int = 20) -> DataFrame:
 
 
 def shared_keys(hashes: DataFrame, min_docs: int = 3, salts: int = SALTS) -> DataFrame:
-    """(h1, h2, keeper): keys found in min_docs documents or more, and the largest doc_id that holds each.
+    """(h1, h2, n, keeper): keys found in n documents, min_docs or more, and the largest doc_id that holds each.
     The hashes are dealt out by range and sorted by document and position, so that one pass over a
     partition sees each document's first occurrence of a key; what crosses the next exchange is one row
     for each key and group."""
@@ -43,27 +44,23 @@ def shared_keys(hashes: DataFrame, min_docs: int = 3, salts: int = SALTS) -> Dat
     stream = Window.partitionBy("h1", "h2", "salt").orderBy("doc_id", "pos")
     before = F.lag("doc_id").over(stream)
     first = ranged.withColumn("first", before.isNull() | (before != F.col("doc_id"))).where("first")
-    return first.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
+    return first.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
 
 
 def line_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
-    """doc_id, text_hash, n_dropped, dropped: for documents that lose lines, their bitmap as 64-bit words
-    by line number (bit set: the line goes), with trailing words of zero left out."""
+    """doc_id, text_hash, n_dropped, kept: for documents that lose lines, their keep bitmap: sorted structs of word (line number over 64) and bits (set: the
+    line stays) of the words that aren't all ones."""
     hashes = cut(line_hashes(docs, min_chars))
-    shared = shared_keys(hashes, min_docs)
-    gone = hashes.join(shared, ["h1", "h2"]).where(F.col("doc_id") < F.col("keeper"))
+    gone = join_hot(hashes, cut(shared_keys(hashes, min_docs)), ["h1", "h2"]).where(F.col("doc_id") < F.col("keeper"))
     bit = F.expr("shiftleft(1L, pos & 63)")
-    words = (
-        gone.select("doc_id", "text_hash", F.shiftright("pos", 6).alias("word"), bit.alias("bit"))
-        .groupBy("doc_id", "text_hash", "word")
-        .agg(F.bit_or("bit").alias("bits"))
-        .groupBy("doc_id", "text_hash")
-        .agg(F.sum(F.bit_count("bits")).alias("n_dropped"), F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("sparse"))
-    )
-    dense = F.expr(
-        "flatten(transform(sparse, (x, i) -> concat(array_repeat(0L, x.word - coalesce(get(sparse, i - 1).word, -1) - 1), array(x.bits))))"
-    )
-    return words.select("doc_id", "text_hash", "n_dropped", dense.alias("dropped"))
+    words = gone.select("doc_id", "text_hash", F.shiftright("pos", 6).alias("word"), bit.alias("bit")).groupBy("doc_id", "text_hash", "word").agg(F.bit_or("bit").alias("bits"))
+    kept = F.struct("word", F.bitwise_not("bits").alias("bits"))
+    return words.groupBy("doc_id", "text_hash").agg(F.sum(F.bit_count("bits")).alias("n_dropped"), F.array_sort(F.collect_list(kept)).alias("kept"))
+
+
+def unpacked(kept: str) -> Column:
+    """A keep bitmap with all its words up to the last that is held."""
+    return F.expr(f"flatten(transform({kept}, (x, i) -> concat(array_repeat(-1L, x.word - coalesce(get({kept}, i - 1).word, -1) - 1), array(x.bits))))")
 
 
 def cut_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -72,11 +69,11 @@ def cut_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     own = docs.withColumn(f"{OWN}hash", F.xxhash64("text"))
     right = bitmaps.select(
         F.col("doc_id").alias(f"{OWN}id"), F.col("text_hash").alias(f"{OWN}right"),
-        F.col("dropped").alias(f"{OWN}dropped"), F.col("n_dropped").alias(f"{OWN}n"),
+        unpacked("kept").alias(f"{OWN}bits"), F.col("n_dropped").alias(f"{OWN}n"),
     )
     joined = own.join(right, (own["doc_id"] == right[f"{OWN}id"]) & (own[f"{OWN}hash"] == right[f"{OWN}right"]), "left")
-    bits = lambda i: F.coalesce(F.get(F.col(f"{OWN}dropped"), F.shiftright(i, 6)), F.lit(0).cast("long"))
-    stays = lambda x, i: F.getbit(bits(i), i.bitwiseAND(63)) == 0
+    bits = lambda i: F.coalesce(F.get(F.col(f"{OWN}bits"), F.shiftright(i, 6)), F.lit(-1).cast("long"))
+    stays = lambda x, i: F.getbit(bits(i), i.bitwiseAND(63)) == 1
     kept = F.array_join(F.filter(lines_of(own["text"]), stays), "\n")
     return joined.withColumn(f"{OWN}kept", F.when(F.col(f"{OWN}n").isNull(), own["text"]).otherwise(kept))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeworks.llm.common import OWN, cut, keep_rows
+from tapeworks.llm.common import OWN, cut, join_hot, keep_rows
 from tapeworks.llm.components import components
 
 SEED = 42
@@ -129,8 +129,8 @@ def links(fps: DataFrame, max_bits: int = 2, bucket: int = BUCKET) -> DataFrame:
     if not 0 <= max_bits <= 2:
         raise ValueError("Golay keys find up to two differing bits")
     keys = cut(with_keys(fps))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = keys.join(sizes, "key")
+    sizes = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    sized = join_hot(keys, sizes, ["key"])
     small = sized.where(F.col("n") <= bucket).select("key", "fp")
     other = small.select("key", F.col("fp").alias("b"))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= max_bits
@@ -152,13 +152,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, bucket:
     """doc_id, text_hash, fp, component_id for each row of docs: component_id is the least doc_id among the documents
     that can be reached over links of at most max_bits differing bits."""
     fps = cut(fingerprints(docs, words))
-    ids = fps.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("least"))
+    ids = fps.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     ids = cut(ids)
     found = links(ids, max_bits, bucket)
     edges = found.join(ids.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(ids.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
     classes = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    named = ids.join(classes, ids["least"] == classes["node"], "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", "text_hash", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = cut(ids.join(classes, ids["least"] == classes["node"], "left").select("fp", F.coalesce("component", "least").alias("component_id"), "n"))
+    alone = fps.where(F.col("doc_id").isNull()).select("doc_id", "text_hash", "fp", F.col("doc_id").alias("component_id"))
+    return join_hot(fps.where(F.col("doc_id").isNotNull()), named, ["fp"]).select("doc_id", "text_hash", "fp", "component_id").unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:

@@ -18,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeworks.llm.common import OWN
+from tapeworks.llm.common import OWN, cut, join_hot
 
 MIN_BYTES, MAX_BYTES = 32, 256
 #: A bound follows about every 32nd byte once a chunk has min_bytes: chunks of some 64 bytes.
@@ -101,53 +101,42 @@ def chunks(docs: DataFrame, **options) -> DataFrame:
 
 
 def repeats(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, text_hash and repeats: sorted structs of at, size and keeper (the doc_id that keeps the chunk), for the
-    documents that have any. Digests are counted before the exchange. The chunks are cut anew for the join: that is cheaper than keeping them."""
+    """doc_id, text_hash, at, size, keeper (the doc_id that keeps the chunk): a row for each chunk that repeats another. Digests are counted before the
+    exchange. The chunks are cut anew for the join: that is cheaper than keeping them."""
     found = chunks(docs.where(F.col("doc_id").isNotNull()), **options)
     place = F.struct("doc_id", "text_hash", "at")
-    first = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
-    again = found.join(first, ["d1", "d2"]).where(place != F.col("first"))
-    spans = F.array_sort(F.collect_set(F.struct("at", "size", F.col("first.doc_id").alias("keeper"))))
-    return again.groupBy("doc_id", "text_hash").agg(spans.alias("repeats"))
+    first = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = join_hot(found, cut(first), ["d1", "d2"]).where(place != F.col("first"))
+    return again.select("doc_id", "text_hash", "at", "size", F.col("first.doc_id").alias("keeper")).dropDuplicates(["doc_id", "text_hash", "at"])
 
 
-def runs(spans: Column, min_run: int = MIN_RUN) -> Column:
-    """Stretches of adjacent repeats that hold min_run bytes or more: structs of at, size and keepers."""
-    kind = "array<struct<at:int,size:int,keepers:array<bigint>>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        joins = last["at"] + last["size"] == x["at"]
-        grown = F.struct(last["at"].alias("at"), (last["size"] + x["size"]).alias("size"), F.array_union(last["keepers"], F.array(x["keeper"].cast("long"))).alias("keepers"))
-        alone = F.struct(x["at"].alias("at"), x["size"].alias("size"), F.array(x["keeper"].cast("long")).alias("keepers"))
-        return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(alone)))
-
-    return F.filter(F.aggregate(spans, F.array().cast(kind), step), lambda x: x["size"] >= min_run)
+def runs(repeated: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+    """doc_id, text_hash, runs: for documents with any, the stretches of adjacent repeats that hold min_run bytes or more, as sorted structs of at, size and keepers."""
+    order = Window.partitionBy("doc_id", "text_hash").orderBy("at")
+    fresh = F.coalesce(F.lag(F.col("at") + F.col("size")).over(order) != F.col("at"), F.lit(True)).cast("long")
+    numbered = repeated.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
+    joined = numbered.groupBy("doc_id", "text_hash", "run").agg(F.min("at").alias("at"), F.sum("size").cast("int").alias("size"), F.array_sort(F.collect_set("keeper")).alias("keepers"))
+    return joined.where(F.col("size") >= min_run).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("at", "size", "keepers"))).alias("runs"))
 
 
 def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, **options) -> DataFrame:
-    """doc_id, n_bytes, runs for each row of docs: the stretches of its text that repeat chunks kept elsewhere, or earlier in it."""
-    found = repeats(docs, **options).select("doc_id", "text_hash", runs(F.col("repeats"), min_run).alias("runs"))
-    found = found.where(F.size("runs") > 0).withColumnsRenamed({"doc_id": "found_id", "text_hash": "found_hash"})
+    """doc_id, text_hash, n_bytes, runs for each row of docs: the stretches of its text that repeat chunks kept elsewhere, or earlier in it."""
+    found = runs(repeats(docs, **options), min_run).withColumnsRenamed({"doc_id": "found_id", "text_hash": "found_hash"})
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
     both = rows.join(found, (rows["doc_id"] == found["found_id"]) & (rows["text_hash"] == found["found_hash"]), "left")
-    none = F.array().cast("array<struct<at:int,size:int,keepers:array<bigint>>>")
+    none = F.array().cast(found.schema["runs"].dataType)
     return both.select("doc_id", "text_hash", "n_bytes", F.coalesce("runs", none).alias("runs"))
 
 
 def drop_repeats(docs: DataFrame, min_run: int = MIN_RUN, **options) -> DataFrame:
     """docs with the repeated stretches cut out of text."""
-    found = repeated_runs(docs.where(F.col("doc_id").isNotNull()), min_run, **options).where(F.size("runs") > 0)
-    found = found.select(F.col("doc_id").alias(f"{OWN}id"), F.col("text_hash").alias(f"{OWN}right"), F.col("runs").alias(f"{OWN}runs")).distinct()
+    found = runs(repeats(docs, **options), min_run)
+    found = found.select(F.col("doc_id").alias(f"{OWN}id"), F.col("text_hash").alias(f"{OWN}right"), F.col("runs").alias(f"{OWN}runs"))
     own = docs.withColumn(f"{OWN}hash", F.xxhash64("text"))
-    both = own.join(found, (own["doc_id"] == found[f"{OWN}id"]) & (own[f"{OWN}hash"] == found[f"{OWN}right"]), "left")
-    data = F.col("text").cast("string").cast("binary")
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, x: Column) -> Column:
-        part = F.decode(F.substring(data, acc["at"] + 1, x["at"] - acc["at"]), "utf-8")
-        return F.struct(F.concat(acc["out"], part).alias("out"), (x["at"] + x["size"]).alias("at"))
-
-    left = F.aggregate(f"{OWN}runs", zero, step, lambda acc: F.concat(acc["out"], F.decode(F.substring(data, acc["at"] + 1, F.octet_length(data)), "utf-8")))
-    text = F.when(F.col(f"{OWN}runs").isNull(), own["text"]).otherwise(left)
+    both = own.join(found, (own["doc_id"] == found[f"{OWN}id"]) & (own[f"{OWN}hash"] == found[f"{OWN}right"]), "left").withColumn(f"{OWN}data", F.col("text").cast("string").cast("binary"))
+    cuts = F.col(f"{OWN}runs")
+    part = lambda low, high: F.decode(F.substring(F.col(f"{OWN}data"), low + 1, high - low), "utf-8")
+    end = lambda i: F.coalesce(F.get(cuts, i)["at"] + F.get(cuts, i)["size"], F.lit(0))
+    kept = F.concat(F.array_join(F.transform(cuts, lambda x, i: part(end(i - 1), x["at"])), ""), part(end(F.size(cuts) - 1), F.octet_length(f"{OWN}data")))
+    text = F.when(cuts.isNull(), own["text"]).otherwise(kept)
     return both.select(*[text.alias(c) if c == "text" else own[f"`{c}`"] for c in docs.columns])

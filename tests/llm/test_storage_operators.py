@@ -105,6 +105,87 @@ def test_repeated_passages_are_found(spark):
     assert substring.repeated_runs(docs.where("false")).count() == 0
 
 
+def brute_bounds(data, least=32, most=256, bits=5):
+    """Where chunks end, byte by byte."""
+    ends, last = [], 0
+    inside = lambda at: at < len(data) and data[at] & 0xC0 == 0x80
+    for at, h in enumerate(brute_gear(data), 1):
+        mark = (h >> (32 - bits) == 0 and at < len(data) and not inside(at)) or at == len(data)
+        while mark and at - last > most:  # too long a chunk is cut at its greatest length, or at the character before it
+            end = last + most
+            while inside(end):
+                end -= 1
+            ends.append(end)
+            last = end
+        if mark and (at - last >= least or at == len(data)):
+            ends.append(at)
+            last = at
+    return ends
+
+
+def brute_runs(rows, min_run=64):
+    """(doc_id, text, runs) by looking every chunk up in all others."""
+    cuts = {}
+    for i, text in rows:
+        data, last = (text or "").encode(), 0
+        for end in brute_bounds(data) if i is not None else ():
+            cuts.setdefault(data[last:end], []).append((i, text or "", last))
+            last = end
+    out = []
+    for i, text in rows:
+        data, last, found = (text or "").encode(), 0, []
+        for end in brute_bounds(data) if i is not None else ():
+            places = cuts[data[last:end]]
+            least = min(places, key=lambda p: (p[0], HASHES[p[1]], p[2]))
+            if least != (i, text or "", last):
+                if found and found[-1][0] + found[-1][1] == last:
+                    found[-1] = (found[-1][0], found[-1][1] + end - last, found[-1][2] | {least[0]})
+                else:
+                    found.append((last, end - last, {least[0]}))
+            last = end
+        out.append((i, text, tuple((a, n, tuple(sorted(k))) for a, n, k in found if n >= min_run)))
+    return out
+
+
+HASHES = {}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_repeats_match_brute_force(spark, kind):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopé", k=rng.randint(2, 9)))
+    shared = [" ".join(word() for _ in range(k)) for k in (15, 40, 90)]
+    rows = [(i, " ".join([*(word() for _ in range(rng.randint(0, 30))), rng.choice(shared), *(word() for _ in range(rng.randint(0, 30))), rng.choice(shared)])) for i in range(14)]
+    rows += [(20, rows[3][1]), (20, "another text " + shared[2]), (21, rows[3][1]), (21, rows[3][1]), (22, None), (23, ""), (None, shared[2]), (24, "tiny"), (25, "x" * 3000), (26, "x" * 3000)]
+    rows = [(None if i is None else str(i) if kind == "string" else i, t) for i, t in rows]
+    docs = spark.createDataFrame([(i, t, 5, "clash") for i, t in rows], f"doc_id {kind}, text string, at int, runs string").repartition(3)
+    HASHES.update({r.t: r.h for r in docs.where("text is not null").select(F.col("text").alias("t"), F.xxhash64("text").alias("h")).collect()})
+    want = brute_runs(rows)
+    got = [(r.doc_id, r.text_hash, tuple((x.at, x.size, tuple(x.keepers)) for x in r.runs)) for r in substring.repeated_runs(docs).collect()]
+    nulls = {r.h for r in docs.where("text is null").select(F.xxhash64("text").alias("h")).collect()}
+    key = lambda x: (str(x[0]), x[1], x[2])
+    assert sorted(got, key=key) == sorted([(i, HASHES[t] if t is not None else min(nulls), runs) for i, t, runs in want], key=key) and sum(len(x[2]) for x in got) > 10
+    cut = substring.drop_repeats(docs)
+    assert cut.columns == docs.columns
+    plain = []
+    for i, t, runs in want:
+        data, out, at = (t or "").encode(), b"", 0
+        for a, n, _ in runs:
+            out, at = out + data[at:a], a + n
+        plain.append((i, None if t is None else (out + data[at:]).decode()))
+    assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=str) == sorted(plain, key=str)
+
+
+def test_hot_joins_match_plain_ones(spark, monkeypatch):
+    from tapeworks.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    rows = spark.range(3000).select((F.col("id") % 50).alias("k"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 11).alias("j"), F.lit("x").alias("rest"), "id")
+    small = rows.groupBy("k", "j").agg(F.count("*").alias("n"), F.max("id").alias("top")).where("k % 4 != 1")
+    got, want = common.join_hot(rows, small, ["k", "j"]), rows.join(small, ["k", "j"])
+    assert got.exceptAll(want.select(*got.columns)).count() == 0 and got.count() == want.count() > 1000
+
+
 def test_archives_round_trip(spark, tmp_path):
     big = "<html>" + "x" * 3_000_000 + "é"
     rows = [(i, f"http://a.example/{i}\r\nx", f"<p>page {i % 7} " + "text " * 40) for i in range(300)]
