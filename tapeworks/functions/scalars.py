@@ -13,13 +13,15 @@ from pyspark.sql import types as T
 EXCHANGES = {"SSE": "SH", "SZSE": "SZ", "BSE": "BJ"}
 
 
-def market_code(code: Column, shanghai: str = "69", digits_only: bool = False) -> Column:
-    """A vendor's code with its market: six characters get .SH, .BJ (4, 8) or .SZ by the first; codes with a dot and others stay; empty ones are null."""
+def market_code(code: Column, shanghai: str = "69", digits_only: bool = False, required: bool = False) -> Column:
+    """A vendor's code with its market: six characters get .SH, .BJ (4, 8) or .SZ by the first; codes with a dot and others stay; empty ones are null, or
+    an error where a code is required."""
     c = F.nullif(F.upper(F.trim(code)), F.lit(""))
     six = c.rlike("^[0-9]{6}$") if digits_only else F.length(c) == 6
     first = F.substring(c, 1, 1)
     market = F.when(first.isin(*shanghai), ".SH").when(first.isin("4", "8"), ".BJ").otherwise(".SZ")
-    return F.when(c.contains("."), c).when(six, F.concat(c, market)).otherwise(c)
+    coded = F.when(c.contains("."), c).when(six, F.concat(c, market)).otherwise(c)
+    return F.coalesce(coded, F.raise_error(F.lit("a row has no code")).cast("string")) if required else coded
 
 
 def split_code(code: Column) -> tuple[Column, Column]:
@@ -44,8 +46,9 @@ def _nfkc(values: pd.Series) -> pd.Series:
 
 
 def plain_reason(reason: Column) -> Column:
-    """NFKC form with white space collapsed; empty is null. Spark has no normal forms, hence an Arrow function; ASCII text doesn't pass through it."""
-    collapsed = F.trim(F.regexp_replace(_nfkc(reason), r"\s+", " "))
+    """NFKC form with white space collapsed; empty is null. Spark has no normal forms, hence an Arrow function; ASCII text, which has no other form, goes to it as null."""
+    ascii_only = F.length(reason) == F.octet_length(reason)
+    collapsed = F.trim(F.regexp_replace(F.coalesce(_nfkc(F.when(~ascii_only, reason)), reason), r"\s+", " "))
     return F.nullif(collapsed, F.lit(""))
 
 
@@ -93,21 +96,38 @@ def tagged_part(message: Column, tag: str = "data_quality_warning:") -> Column:
     return F.get(F.filter(F.transform(F.split(message, ";"), lambda p: F.trim(p)), lambda p: p.startswith(tag)), F.lit(0))
 
 
-#: Kinds of errors by what their message shows, in order.
-ERRORS = (("timeout", "(?i)timed? ?out"), ("rate_limit", "(?i)rate limit|too many"), ("connection", "(?i)connection|network"), ("permission", "(?i)permission|denied|auth"), ("data", "(?i)null|missing|invalid"))
+#: How failure messages of a database and a vendor are told: pattern (any case) and summary with its groups. Fixed values.
+FAILURES = (
+    (r'column "([^"]+)" of relation "([^"]+)" does not exist', "数据库字段缺失：表 $2 缺少列 $1"),
+    (r'null value in column "([^"]+)" of relation "([^"]+)" violates not-null constraint', "数据库约束错误：表 $2 的列 $1 不能为空"),
+    (r"there is no unique or exclusion constraint matching the ON CONFLICT specification", "数据库约束错误：缺少可用于 ON CONFLICT 的唯一约束"),
+)
+VENDOR_ERROR = ("Tushare API error: ", "Tushare 接口错误：")
 
 
-def error_kind(message: Column) -> Column:
-    kind = F.lit("other")
-    for name, pattern in reversed(ERRORS):
-        kind = F.when(message.rlike(pattern), name).otherwise(kind)
-    return F.when(message.isNotNull(), kind)
+def failure_summary(message: Column, most: int = 120) -> Column:
+    """A failure message in short: known database errors by their column and table, a vendor's by its prefix, others with white space collapsed and
+    cut to most characters; empty is null."""
+    plain = F.trim(F.regexp_replace(message, r"\s+", " "))
+    out = F.when(F.length(plain) > most, F.concat(F.substring(plain, 1, most), F.lit("..."))).otherwise(plain)
+    out = F.when(plain.startswith(VENDOR_ERROR[0]), F.concat(F.lit(VENDOR_ERROR[1]), F.substring(plain, len(VENDOR_ERROR[0]) + 1, 1 << 20))).otherwise(out)
+    for pattern, summary in reversed(FAILURES):
+        told = F.lit(summary)
+        for group in (1, 2) if "$" in summary else ():
+            told = F.replace(told, F.lit(f"${group}"), F.regexp_extract(plain, f"(?i){pattern}", group))
+        out = F.when(plain.rlike(f"(?i){pattern}"), told).otherwise(out)
+    return F.when(message != "", out)
 
 
-def clipped(text: Column, n: int = 120, suffix: str = "...") -> Column:
-    """White space collapsed, and at most n characters, the suffix included."""
-    plain = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(plain) > n, F.concat(F.substring(plain, 1, n - len(suffix)), F.lit(suffix))).otherwise(plain)
+#: What a cut text ends in. A fixed value.
+CUT_SUFFIX = "... [已截断]"
+
+
+def clipped(text: Column, n: int = 120, suffix: str = CUT_SUFFIX) -> Column:
+    """A text of at most n characters; a longer one keeps what leaves room for the suffix, and without any room is the suffix alone. No room at all is empty."""
+    if n <= 0:
+        return F.when(text.isNotNull(), "")
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, max(n - len(suffix), 0)), F.lit(suffix))).otherwise(text)
 
 
 def freshness(text: Column) -> Column:

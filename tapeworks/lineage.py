@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir), set to a temporary one only where the session names none."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where the session names none a local master, as in tests, gets a temporary one; on a
+    cluster that would lose data, and is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tapeworks-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -22,3 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Computes df once and keeps it in a reliable checkpoint, which survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def clear(spark: SparkSession, folder: str | None = None) -> None:
+    """Deletes a folder that an operator left in the shared one (or, without a name, all of this session's checkpoints) once its rows aren't needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder or spark.sparkContext.getCheckpointDir() or shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,10 +17,14 @@ def anchors(factors: DataFrame, forward: bool) -> DataFrame:
     return factors.groupBy("ts_code").agg(pick("adj_factor", "trade_date").alias("anchor"))
 
 
-def adjustment_gaps(bars: DataFrame, factors: DataFrame, sample: int = 3) -> DataFrame:
-    """ts_code, n_missing, first_dates: codes that can't be adjusted, as a bar lacks its factor."""
-    missing = bars.join(factors, ["ts_code", "trade_date"], "left_anti")
-    return missing.groupBy("ts_code").agg(F.count("*").alias("n_missing"), F.slice(F.array_sort(F.collect_set("trade_date")), 1, sample).alias("first_dates"))
+def adjustment_gaps(bars: DataFrame, factors: DataFrame, forward: bool = True, sample: int = 3) -> DataFrame:
+    """ts_code, reason, n_missing, first_dates: codes that can't be adjusted, as bars lack their factors (missing_factor), or as the anchor is null or 0 (missing_anchor)."""
+    missing = bars.join(factors.where(F.col("adj_factor").isNotNull()), ["ts_code", "trade_date"], "left_anti")
+    dates = F.slice(F.array_sort(F.collect_set("trade_date")), 1, sample).alias("first_dates")
+    holes = missing.groupBy("ts_code").agg(F.lit("missing_factor").alias("reason"), F.count("*").alias("n_missing"), dates)
+    useless = anchors(factors, forward).where(F.col("anchor").isNull() | (F.col("anchor") == 0)).join(bars.select("ts_code").distinct(), "ts_code", "left_semi").join(holes, "ts_code", "left_anti")
+    none = useless.select("ts_code", F.lit("missing_anchor").alias("reason"), F.lit(0).cast("long").alias("n_missing"), F.array().cast(holes.schema["first_dates"].dataType).alias("first_dates"))
+    return holes.unionByName(none)
 
 
 def adjusted(bars: DataFrame, factors: DataFrame, forward: bool = True, places: int = 4) -> DataFrame:
@@ -28,8 +33,8 @@ def adjusted(bars: DataFrame, factors: DataFrame, forward: bool = True, places:
     own = Window.partitionBy("ts_code")
     anchored = factors.withColumn("anchor", pick("adj_factor", "trade_date").over(own))
     joined = bars.join(anchored, ["ts_code", "trade_date"], "left")
-    whole = joined.withColumn("_gaps", F.count_if(F.col("adj_factor").isNull()).over(own)).where("_gaps = 0")
-    scale = F.col("adj_factor").cast("double") / F.nullif(F.col("anchor").cast("double"), F.lit(0.0))
+    whole = joined.withColumn("_gaps", F.count_if(F.col("adj_factor").isNull()).over(own)).where("_gaps = 0 AND anchor != 0")
+    scale = F.col("adj_factor").cast("double") / F.col("anchor").cast("double")
     scaled = [F.round(F.col(c).cast("double") * scale, places).alias(c) if c in PRICES else F.col(c) for c in bars.columns]
     return whole.select(*scaled)
 
@@ -38,13 +43,21 @@ def forward_view(bars: DataFrame, factors: DataFrame) -> DataFrame:
     """Forward-adjusted open, high, low and close in decimals; bars without a factor vanish."""
     anchored = factors.withColumn("factor_end", F.max_by("adj_factor", "trade_date").over(Window.partitionBy("ts_code")))
     joined = bars.join(anchored, ["ts_code", "trade_date"])
-    price = lambda c: F.round(F.col(c).cast("double") * F.col("adj_factor").cast("double") / F.nullif(F.col("factor_end").cast("double"), F.lit(0.0)), 4).alias(f"{c}_qfq")
+    price = lambda c: scaled_price(F.col(c), F.col("adj_factor"), F.col("factor_end"), even=False).alias(f"{c}_qfq")
     return joined.select("ts_code", "trade_date", *[price(c) for c in ("open", "high", "low", "close")])
 
 
-def half_even(price: Column, factor: Column, end_factor: Column) -> Column:
-    """Price times factor over end factor, rounded half to even to four places."""
-    return F.bround(price.cast("double") * factor.cast("double") / F.nullif(end_factor.cast("double"), F.lit(0.0)), 4)
+def scaled_price(price: Column, factor: Column, end_factor: Column, even: bool = True) -> Column:
+    """Price (four places) times factor over end factor (eight places each), rounded to four places: half to even, or half away from zero. The quotient is taken
+    in whole numbers with its remainder, so that nothing is rounded twice; null without an end factor, or with one of 0."""
+    whole = lambda c, places: F.round(c.cast("decimal(30,8)") * F.lit(10**places), 0)
+    product = F.abs(whole(price, 4).cast("decimal(19,0)") * whole(factor, 8).cast("decimal(18,0)"))
+    over = F.abs(F.nullif(whole(end_factor, 8).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")))
+    quotient, twice = F.call_function("div", product, over), 2 * (product % over)
+    up = (twice > over) | ((twice == over) & (quotient % 2 == 1)) if even else twice >= over
+    size = (quotient + F.when(up, 1).otherwise(0)).cast("decimal(18,0)") * F.lit(Decimal("0.0001"))
+    negative = (price < 0) != ((factor < 0) != (end_factor < 0))
+    return F.when(negative, -size).otherwise(size).cast("decimal(18,4)")
 
 
 def period_starts(calendar: DataFrame, unit: str) -> DataFrame:

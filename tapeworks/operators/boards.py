@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,3 +87,39 @@ def optional_filters(rows: DataFrame, **given: object) -> DataFrame:
         if value is not None:
             rows = rows.where(F.col(name) == value)
     return rows
+
+
+def name_chain(requests: DataFrame, masters: Mapping[str, DataFrame], code: str) -> DataFrame:
+    """requests (code, security_type or null) with name: from the master of the asked type alone, or without one from the first master in order that has the code."""
+    out = requests
+    for kind, rows in masters.items():
+        out = out.join(rows.select(F.col(code), F.col("name").alias(f"_{kind}")).dropDuplicates([code]), code, "left")
+    asked = F.col("security_type")
+    return out.select(*requests.columns, F.coalesce(*[F.when(asked.isNull() | (asked == kind), F.col(f"_{kind}")) for kind in masters]).alias("name"))
+
+
+def active_masters(rows: DataFrame, fund: bool = False) -> DataFrame:
+    """Rows of instruments that are listed, delisted or suspended (list_status L, D or P): equities, or funds without those traded off the exchange (.OF)."""
+    known = rows.where(F.col("list_status").isin("L", "P", "D"))
+    return known.where(~F.col("ts_code").cast("string").like("%.OF")) if fund else known.where(F.col("security_type") == "EQUITY")
+
+
+def open_days(rows: DataFrame, calendar: DataFrame, first: DataFrame, start: str, end: str) -> DataFrame:
+    """rows on open days from start, but not before the first available day (a row of first), to end."""
+    clipped = rows.join(F.broadcast(first.select(F.col(first.columns[0]).alias("_first"))), F.col("trade_date") >= F.greatest("_first", F.to_date(F.lit(start)))).where(F.col("trade_date") <= F.to_date(F.lit(end)))
+    return clipped.drop("_first").join(F.broadcast(calendar.where("is_open").select("trade_date")), "trade_date", "left_semi").select(*rows.columns)
+
+
+def dates_in_all(calendar: DataFrame, tables: Sequence[DataFrame]) -> DataFrame:
+    """Open days of the calendar on which every table has rows."""
+    out = calendar.where("is_open").select("trade_date")
+    for rows in tables:
+        out = out.join(rows.select("trade_date").distinct(), "trade_date", "left_semi")
+    return out
+
+
+def latest_open_day(days: DataFrame, calendar: DataFrame) -> DataFrame:
+    """trade_date, latest_open: for each of days the last open day up to it; days before the first open one are left out."""
+    w = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)  # one row a calendar day
+    known = calendar.select("trade_date", F.last(F.when(F.col("is_open"), F.col("trade_date")), ignorenulls=True).over(w).alias("latest_open"))
+    return days.join(F.broadcast(known), "trade_date").where("latest_open is not null")

@@ -214,3 +214,10 @@ def spread(returns: DataFrame, small: object, large: object) -> DataFrame:
     """trade_date, small_vs_large: one benchmark's return less the other's."""
     pick = lambda code: F.max(F.when(F.col("index_code") == code, F.col("index_return")))
     return returns.groupBy("trade_date").agg((pick(small) - pick(large)).alias("small_vs_large"))
+
+
+def top_share(rows: DataFrame, by: str, share: float = 0.1) -> DataFrame:
+    """Of each day the max(1, ceil(share * n)) rows that are greatest by a column (ties by code); rows without a value don't count."""
+    w = Window.partitionBy("trade_date")
+    known = rows.where(F.col(by).isNotNull()).withColumns({"_n": F.count("*").over(w), "_p": F.row_number().over(w.orderBy(F.desc(by), "ts_code"))})
+    return known.where(F.col("_p") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * share))).drop("_n", "_p")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.operators.upsert import keep_one
@@ -57,15 +57,19 @@ def behind_state(state: DataFrame, observed: DataFrame) -> DataFrame:
 STAGES = ("raw", "std", "resolution", "serving", "light")
 
 
-def layers(fresh: DataFrame, light: DataFrame) -> DataFrame:
-    """dataset, stage, layer_status: that of the freshness for all stages but light, which lags by its own days behind serving: none, one, more."""
-    rows = fresh.join(light.withColumnRenamed("date", "_light"), "dataset", "left")
+def layers(fresh: DataFrame, modes: DataFrame, light: DataFrame, light_dataset: object) -> DataFrame:
+    """dataset, source_key, stage, layer_status. modes: dataset, source_scope and raw_enabled, std_enabled, resolution_enabled, serving_enabled; a dataset without a mode
+    has raw and serving. raw and serving have the freshness status, std and resolution aren't observed, and a stage that a mode leaves out is skipped. light_dataset alone
+    has a light stage, where it is served: unknown without a date in light (dataset, date), else by its days behind the serving date: none, one, more."""
+    joined = fresh.join(modes, "dataset", "left").join(light.where(F.col("dataset") == light_dataset).select("dataset", F.col("date").alias("_light")), "dataset", "left")
+    on = {stage: F.coalesce(f"{stage}_enabled", F.lit(default)) for stage, default in (("raw", True), ("std", False), ("resolution", False), ("serving", True))}
+    scope = F.trim(F.coalesce("source_scope", F.lit("")))
     lag = F.datediff("latest", "_light")
-    own = F.when(F.col("_light").isNull(), "missing").when(lag <= 0, "healthy").when(lag == 1, "lagging").otherwise("stale")
-    base = F.when(F.col("status") == "fresh", "healthy").otherwise(F.col("status"))
-    return rows.select("dataset", F.explode(F.array(*[F.lit(s) for s in STAGES])).alias("stage"), base.alias("_base"), own.alias("_own")).select(
-        "dataset", "stage", F.when(F.col("stage") == "light", F.col("_own")).otherwise(F.col("_base")).alias("layer_status")
-    )
+    own = F.when(F.col("_light").isNull(), "unknown").when(lag.isNull() | (lag <= 0), "healthy").when(lag == 1, "lagging").otherwise("stale")
+    by_stage = {stage: F.when(on[stage], "unobserved" if stage in ("std", "resolution") else F.col("status")).otherwise("skipped") for stage in on} | {"light": own}
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), c.alias("layer_status")) for s, c in by_stage.items()]))
+    rows = joined.select("dataset", F.when((scope == "") | scope.contains(","), "__all__").otherwise(scope).alias("source_key"), (on["serving"] & (F.col("dataset") == light_dataset)).alias("_lit"), each.alias("x"))
+    return rows.where((F.col("x.stage") != "light") | F.col("_lit")).select("dataset", "source_key", "x.stage", "x.layer_status")
 
 
 def latest_layers(current: DataFrame, history: DataFrame, keys: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
@@ -88,6 +92,37 @@ def alerts(runs: DataFrame, fresh: DataFrame, now: str, each: int = 8, cap: int
     return once.orderBy("rank", "subject").limit(cap)
 
 
-def last_activity(columns: list[str]) -> Column:
-    """The latest of several times; nulls don't count."""
-    return F.greatest(*columns)
+#: States in which a run still counts as going on, and those that end it.
+ACTIVE = ("queued", "running", "canceling")
+ENDED = ("success", "failed", "canceled", "partial_success")
+
+
+def stale_runs(executions: DataFrame, events: DataFrame, logs: DataFrame, now: str, minutes: int) -> DataFrame:
+    """id, last_activity, previous_status, new_status, reason of active executions without a sign of life for so many minutes. Signs are the five times of the execution itself
+    (last_progress_at, started_at, queued_at, requested_at, cancel_requested_at), its last event (execution_id, occurred_at) and its last log (execution_id, ended_at or
+    started_at); without any it is stale. One that was asked to stop becomes canceled, others failed."""
+    event = events.groupBy(F.col("execution_id").alias("id")).agg(F.max("occurred_at").alias("_event"))
+    log = logs.groupBy(F.col("execution_id").alias("id")).agg(F.max(F.coalesce("ended_at", "started_at")).alias("_log"))
+    rows = executions.where(F.col("status").isin(*ACTIVE)).join(event, "id", "left").join(log, "id", "left")
+    last = F.greatest("last_progress_at", "started_at", "queued_at", "requested_at", "cancel_requested_at", "_event", "_log")
+    asked = F.col("cancel_requested_at").isNotNull()
+    found = rows.withColumn("last_activity", last).where(F.col("last_activity").isNull() | (F.col("last_activity").cast("timestamp_ntz") < F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {minutes} minutes")))
+    return found.select("id", "last_activity", F.col("status").alias("previous_status"), F.when(asked, "canceled").otherwise("failed").alias("new_status"), F.when(asked, "stop_not_finished").otherwise("no_progress").alias("reason"))
+
+
+def attention(fresh: DataFrame, failures: DataFrame) -> DataFrame:
+    """dataset, status, lag_days, failed_at, place: datasets with a recent failure (dataset, failed_at), or that lag or are stale; failed ones first, then by status, most lag, newest failure
+    and name."""
+    rows = fresh.join(failures.select("dataset", "failed_at"), "dataset", "left").where(F.col("failed_at").isNotNull() | F.col("status").isin("lagging", "stale"))
+    order = [F.col("failed_at").isNull(), F.when(F.col("status") == "stale", 0).when(F.col("status") == "lagging", 1).otherwise(2), F.desc(F.coalesce("lag_days", F.lit(0))), F.desc_nulls_last("failed_at"), F.col("dataset")]
+    return rows.select("dataset", "status", "lag_days", "failed_at", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))  # a row a dataset
+
+
+def today(executions: DataFrame, start: str) -> DataFrame:
+    """One row of counts of the executions requested since the local day began (start, in UTC): total, completed, running, failed, queued."""
+    s = F.col("status")
+    rows = executions.where(F.col("requested_at").cast("timestamp_ntz") >= F.lit(start).cast("timestamp_ntz"))
+    return rows.agg(
+        F.count("*").alias("total_requests"), F.count_if(s.isin(*ENDED)).alias("completed_requests"), F.count_if(s.isin("running", "canceling")).alias("running_requests"),
+        F.count_if(s == "failed").alias("failed_requests"), F.count_if(s == "queued").alias("queued_requests"),
+    )

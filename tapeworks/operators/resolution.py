@@ -122,3 +122,22 @@ def gate(counts: DataFrame, limits: Mapping[str, int]) -> DataFrame:
     """counts with failed: the sorted names of counts above their limit; -1 lets any pass."""
     checks = F.array(*[F.when(F.col(c) > limit, c) for c, limit in limits.items() if limit >= 0]) if any(v >= 0 for v in limits.values()) else F.array().cast("array<string>")
     return counts.withColumn("failed", F.array_join(F.array_sort(F.filter(checks, lambda c: c.isNotNull())), ","))
+
+
+def audited(resolved: DataFrame, mode: str, version: int) -> DataFrame:
+    """resolve()'s rows with how they came about: resolution_mode, resolution_policy_version, candidate_sources (sorted) and resolution_audit (a JSON of them and the source)."""
+    named = resolved.withColumnRenamed("source_candidates", "candidate_sources").withColumns({"resolution_mode": F.lit(mode), "resolution_policy_version": F.lit(version)})
+    audit = F.to_json(F.struct(F.lit(mode).alias("mode"), F.lit(version).alias("version"), F.col("source"), F.split("candidate_sources", ",").alias("candidates")))
+    return named.withColumn("resolution_audit", audit)
+
+
+def standard_security(rows: DataFrame, vendor: str) -> DataFrame:
+    """ts_code, symbol, name, exchange, list_status, security_type, source from either vendor's shape: ``a`` has the columns under their own names; ``b`` has dm (code with market), mc (name, else
+    the code) and jys (exchange), and lists live instruments alone. Rows of b without a code are an error."""
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    if vendor == "a":
+        own = [F.col(c) for c in ("ts_code", "symbol", "name", "exchange", "list_status")]
+    else:
+        code = F.when(text("dm") == "", F.raise_error(F.lit("a row has no dm")).cast("string")).otherwise(text("dm"))
+        own = [code.alias("ts_code"), F.substring_index(code, ".", 1).alias("symbol"), F.coalesce(F.nullif(text("mc"), F.lit("")), code).alias("name"), F.nullif(text("jys"), F.lit("")).alias("exchange"), F.lit("L").alias("list_status")]
+    return rows.select(*own, F.lit("EQUITY").alias("security_type"), F.lit(vendor).alias("source"))

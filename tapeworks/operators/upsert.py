@@ -23,7 +23,7 @@ def last_n(df: DataFrame, keys: Sequence[str], by: str, n: int) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """The row of each key that is last by columns: one hash aggregate, no sort."""
+    """The row of each key that is last by columns, picked before the exchange and after it."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
@@ -65,9 +65,19 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
     return old.unionByName(new.join(old.select(*keys).distinct(), list(keys), "left_anti"))
 
 
-def light(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """The narrow form of a wide table: its keys, and measures as doubles."""
-    return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+#: Measures of the light form of daily bars, as doubles. Fixed names.
+LIGHT = ("open", "high", "low", "close", "pre_close", "change_amount", "pct_chg", "vol", "amount")
+
+
+def light(df: DataFrame, columns: Sequence[str] = LIGHT, keys: Sequence[str] = ("ts_code", "trade_date"), code: object = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The narrow form of a wide table: its keys, measures as doubles, and source where there is one; of one code, or from a day, or to a day only if asked."""
+    if code is not None:
+        df = df.where(F.col(keys[0]) == code)
+    if start is not None:
+        df = df.where(F.col(keys[1]) >= start)
+    if end is not None:
+        df = df.where(F.col(keys[1]) <= end)
+    return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns], *[c for c in ("source",) if c in df.columns])
 
 
 def prefer(first: DataFrame, second: DataFrame, entity: Sequence[str]) -> DataFrame:
@@ -85,3 +95,16 @@ def backfill_hash(df: DataFrame, hashed: str, id_column: str) -> tuple[DataFrame
     w = Window.partitionBy(hashed).orderBy(F.col(id_column).desc())
     ranked = df.withColumn("_place", F.row_number().over(w))
     return ranked.where("_place = 1").drop("_place"), ranked.where("_place > 1").select(id_column)
+
+
+def backfill_reason_hash(df: DataFrame, keys: Sequence[str], id_column: str, hashed: str, stored: str) -> tuple[DataFrame, DataFrame]:
+    """Hashes for the rows that lack one (stored is null): id, hash and state; and a row of counts: scanned, updated, skipped (without a reason) and conflicts. A key and
+    hash that several rows share is a conflict, and with any conflict nothing is updated."""
+    whole = df.where(F.col(hashed).isNotNull()).groupBy(*keys, hashed).agg(F.count("*").alias("_n"))
+    conflicts = whole.agg(F.count_if(F.col("_n") > 1).alias("conflicts"))
+    shared = whole.where("_n > 1").select(*[F.col(c).alias(f"_{c}") for c in (*keys, hashed)])
+    open_ = df.where(F.col(stored).isNull()).join(shared, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, hashed)], "left").join(F.broadcast(conflicts), F.lit(True))
+    state = F.when(F.col(hashed).isNull(), "skipped").when(F.col(f"_{hashed}").isNotNull(), "conflict").when(F.col("conflicts") > 0, "refused").otherwise("updated")
+    rows = open_.select(id_column, hashed, state.alias("state"))
+    counts = rows.agg(F.count("*").alias("scanned"), F.count_if(F.col("state") == "updated").alias("updated"), F.count_if(F.col("state") == "skipped").alias("skipped"))
+    return rows, counts.join(F.broadcast(conflicts), F.lit(True))

@@ -36,12 +36,12 @@ def _vendor(m):
 @query(
     "bar5_vendor_over_derived",
     f"""WITH w AS ({_period_sql("week")}), api AS (SELECT * REPLACE (round(pct_chg + 0.0001, 4) AS pct_chg), 'api' AS source FROM w WHERE ts_code % 2 = 0),
-    der AS (SELECT *, 'derived_daily' AS source FROM w WHERE ts_code % 3 = 0)
+    der AS (SELECT *, 'derived_daily' AS source FROM w)
     SELECT * FROM api UNION ALL SELECT * FROM der d WHERE NOT EXISTS (SELECT 1 FROM api a WHERE a.ts_code = d.ts_code AND a.period = d.period)
     AND NOT EXISTS (SELECT 1 FROM api a WHERE a.ts_code = d.ts_code AND a.trade_date = d.trade_date)""",
 )
 def precedence(m):
-    derived = bars.period_bars(m.daily_bar, "week").where("ts_code % 3 = 0").withColumn("source", F.lit("derived_daily"))
+    derived = bars.period_bars(m.daily_bar, "week").withColumn("source", F.lit("derived_daily"))
     return bars.with_precedence(_vendor(m), derived)
 
 
@@ -67,17 +67,19 @@ def backward(m):
 
 @query(
     "bar2_adjustment_gaps",
-    """SELECT ts_code, count(*) AS n_missing, CAST(list_slice(list_sort(list(DISTINCT trade_date)), 1, 3) AS VARCHAR) AS first_dates
-    FROM panel_bar b WHERE NOT EXISTS (SELECT 1 FROM adj_factor f WHERE f.ts_code = b.ts_code AND f.trade_date = b.trade_date) GROUP BY ts_code""",
+    """WITH f AS (SELECT ts_code, trade_date, CASE WHEN ts_code % 43 = 0 THEN 0 ELSE adj_factor END AS adj_factor FROM adj_factor), h AS (SELECT ts_code, 'missing_factor' AS reason, count(*) AS n_missing, CAST(list_slice(list_sort(list(DISTINCT trade_date)), 1, 3) AS VARCHAR) AS first_dates
+    FROM panel_bar b WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.ts_code = b.ts_code AND f.trade_date = b.trade_date) GROUP BY ts_code)
+    SELECT * FROM h UNION ALL SELECT ts_code, 'missing_anchor', 0, '[]' FROM f WHERE ts_code NOT IN (SELECT ts_code FROM h) GROUP BY ts_code HAVING arg_max(adj_factor, trade_date) = 0""",
 )
 def gaps(m):
-    return bars.adjustment_gaps(m.panel_bar, m.adj_factor).withColumn("first_dates", F.concat(F.lit("["), F.array_join(F.col("first_dates").cast("array<string>"), ", "), F.lit("]")))
+    factors = m.adj_factor.withColumn("adj_factor", F.when(F.col("ts_code") % 43 == 0, F.lit(0)).otherwise(F.col("adj_factor")))
+    return bars.adjustment_gaps(m.panel_bar, factors).withColumn("first_dates", F.concat(F.lit("["), F.array_join(F.col("first_dates").cast("array<string>"), ", "), F.lit("]")))
 
 
 @query(
     "bar3_qfq_view",
     "WITH f AS (SELECT *, arg_max(adj_factor, trade_date) OVER (PARTITION BY ts_code) AS e FROM adj_factor) SELECT ts_code, trade_date, "
-    + ", ".join(f"round(CAST({c} AS DOUBLE) * CAST(adj_factor AS DOUBLE) / nullif(CAST(e AS DOUBLE), 0), 4) AS {c}_qfq" for c in ("open", "high", "low", "close"))
+    + ", ".join(f"CAST((2 * (CAST({c} * 10000 AS HUGEINT) * CAST(adj_factor * 100000000 AS HUGEINT)) + CAST(e * 100000000 AS HUGEINT)) // (2 * CAST(e * 100000000 AS HUGEINT)) AS DECIMAL(22,4)) / 10000 AS {c}_qfq" for c in ("open", "high", "low", "close"))
     + " FROM panel_bar JOIN f USING (ts_code, trade_date)",
 )
 def qfq(m):
@@ -231,9 +233,11 @@ def merge_ranges(m):
     return upsert.merge_ranges(seen(m.tick.where("year(trade_date) < 1998")), seen(m.tick.where("year(trade_date) >= 1997")), ["ts_code"], "first_seen", "last_seen", "last_checked")
 
 
-@query("snk6_light", "SELECT ts_code, trade_date, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("open", "high", "low", "close", "vol", "amount")) + ", year(trade_date) AS year FROM daily_bar")
+@query("snk6_light", "SELECT ts_code, trade_date, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("open", "high", "low", "close", "pre_close", "change_amount", "vol", "amount")) + f", {_PCT} AS pct_chg, 'api' AS source, year(trade_date) AS year FROM (SELECT *, close - pre_close AS change_amount FROM daily_bar) WHERE trade_date >= DATE '1994-01-01'")
 def light(m):
-    return upsert.light(m.daily_bar, ["open", "high", "low", "close", "vol", "amount"], ["ts_code", "trade_date"]).withColumn("year", F.year("trade_date").cast("long"))
+    pct = F.round((F.col("close").cast("double") / F.nullif(F.col("pre_close").cast("double"), F.lit(0.0)) - 1) * 100, 4)
+    rows = m.daily_bar.withColumns({"change_amount": F.col("close") - F.col("pre_close"), "pct_chg": pct, "source": F.lit("api")})
+    return upsert.light(rows, start="1994-01-01").withColumn("year", F.year("trade_date").cast("long"))
 
 
 @query("snk7_insert_absent", "SELECT ts_code, name FROM security WHERE ts_code % 3 = 0 UNION ALL SELECT ts_code, upper(name) FROM security WHERE ts_code % 2 = 0 AND ts_code % 3 <> 0")

@@ -53,20 +53,21 @@ def macd(m):
 @query(
     "wn10_preheated",
     f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY ts_code ORDER BY trade_date) AS p FROM panel_bar WHERE trade_date <= DATE '2000-12-31'),
-    warm AS (SELECT * FROM (SELECT *, min(CASE WHEN trade_date >= DATE '2000-01-01' THEN p END) OVER (PARTITION BY ts_code) AS f FROM n) WHERE p >= f - 100), {_STATES.format(rows='warm')}
+    warm AS (SELECT * FROM (SELECT *, min(CASE WHEN trade_date >= DATE '2000-01-01' THEN p END) OVER (PARTITION BY ts_code) AS f FROM n) WHERE p >= f - 250), {_STATES.format(rows='warm')}
     SELECT ts_code, trade_date, {_OUT.format(p=5)} FROM s WHERE trade_date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'""",
 )
 def preheated(m):
-    return _five(indicators.preheated(m.panel_bar, "2000-01-01", "2000-12-31", warm=100))
+    return _five(indicators.preheated(m.panel_bar, "2000-01-01", "2000-12-31", warm=250))
 
 
 @query(
     "wn11_overlay",
-    "SELECT ts_code, trade_date, close, " + ", ".join(f"CASE WHEN ts_code % 3 = 0 THEN CAST(close AS DOUBLE) + {i} END AS {n}" for i, n in enumerate(("dif", "dea", "macd", "k", "d", "j"))) + " FROM panel_bar",
+    f"WITH RECURSIVE {_STATES.format(rows='panel_bar')} SELECT ts_code, trade_date, close, " + ", ".join(f"CASE WHEN ts_code % 3 = 0 THEN CAST(close AS DOUBLE) + {i} END AS {n}" for i, n in enumerate(("dif", "dea", "macd", "k", "d", "j"))) + " FROM s JOIN (SELECT ts_code, trade_date, close FROM panel_bar) USING (ts_code, trade_date)",
 )
 def overlaid(m):
+    """Computed values, over which stored ones are laid: without a stored row all are null."""
     names = ("dif", "dea", "macd", "k", "d", "j")
-    computed = m.panel_bar.select("ts_code", "trade_date", "close", *[F.lit(0.0).alias(n) for n in names])
+    computed = m.panel_bar.select("ts_code", "trade_date", "close").join(indicators.stateful(m.panel_bar).select("ts_code", "trade_date", *names), ["ts_code", "trade_date"])
     stored = m.panel_bar.where("ts_code % 3 = 0").select("ts_code", "trade_date", *[(F.col("close").cast("double") + i).alias(f"{n}_qfq") for i, n in enumerate(names)])
     return indicators.overlay(computed, stored, "qfq")
 

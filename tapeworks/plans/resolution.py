@@ -40,11 +40,16 @@ def rs2(m):
     return std(m.moneyflow_b).select(*KEYS, "buy_sm_amount", "net_amount")
 
 
-@query("rs3_standard_security", "SELECT ts_code, upper(trim(name)) AS name, CASE exchange WHEN 'SSE' THEN 'SH' WHEN 'SZSE' THEN 'SZ' ELSE 'BJ' END AS exchange FROM security")
+@query(
+    "rs3_standard_security",
+    """SELECT CAST(ts_code AS VARCHAR) AS ts_code, CAST(ts_code AS VARCHAR) AS symbol, name, exchange, list_status, 'EQUITY' AS security_type, 'a' AS source FROM security
+    UNION ALL SELECT p_partkey || '.SZ', CAST(p_partkey AS VARCHAR), CASE WHEN p_size % 6 = 0 THEN p_partkey || '.SZ' ELSE trim(p_name) END, CASE WHEN p_size % 4 <> 0 THEN p_brand END, 'L', 'EQUITY', 'b' FROM part""",
+)
 def rs3(m):
-    from tapeworks.functions.scalars import exchange_code
-
-    return m.security.select("ts_code", F.upper(F.trim("name")).alias("name"), exchange_code(F.col("exchange")).alias("exchange"))
+    a = m.security.select(F.col("ts_code").cast("string").alias("ts_code"), F.col("ts_code").cast("string").alias("symbol"), "name", "exchange", "list_status")
+    code = F.concat(F.lit(" "), F.col("p_partkey").cast("string"), F.lit(".SZ"))
+    b = m.table("part").select(code.alias("dm"), F.when(F.col("p_size") % 6 != 0, F.concat("p_name", F.lit(" "))).alias("mc"), F.when(F.col("p_size") % 4 == 0, " ").otherwise(F.col("p_brand")).alias("jys"))
+    return resolution.standard_security(a, "a").unionByName(resolution.standard_security(b, "b"))
 
 
 @query("rs4_candidates", "SELECT ts_code, trade_date, source, net_amount FROM cand")
@@ -60,9 +65,14 @@ def rs5(m):
     return resolution.resolve(cand(m), KEYS, ["b", "a"]).select(*KEYS, "net_amount", "source")
 
 
-@query("rs9_provenance", f"SELECT ts_code, trade_date, source, source_candidates, 'priority' AS mode, 1 AS policy_version FROM ({_PRIORITY.format(first='a')})")
+@query(
+    "rs9_provenance",
+    f"""SELECT ts_code, trade_date, source, source_candidates AS candidate_sources, 'primary_fallback' AS resolution_mode, 3 AS resolution_policy_version,
+    '{{"mode":"primary_fallback","version":3,"source":"' || source || '","candidates":["' || replace(source_candidates, ',', '","') || '"]}}' AS resolution_audit FROM ({_PRIORITY.format(first='a')})""",
+)
 def rs9(m):
-    return resolution.resolve(cand(m), KEYS, ["a", "b"]).select(*KEYS, "source", "source_candidates", F.lit("priority").alias("mode"), F.lit(1).alias("policy_version"))
+    resolved = resolution.audited(resolution.resolve(cand(m), KEYS, ["a", "b"]), "primary_fallback", 3)
+    return resolved.select(*KEYS, "source", "candidate_sources", "resolution_mode", "resolution_policy_version", "resolution_audit")
 
 
 @query(
@@ -206,6 +216,17 @@ SQL_VIEWS |= {
 }
 
 
+SQL_VIEWS["fr_modes"] = """SELECT ts_code AS dataset, CASE ts_code % 4 WHEN 0 THEN 'a,b' WHEN 1 THEN '' ELSE 'b' END AS scope, ts_code % 11 <> 0 AS raw, ts_code % 2 = 0 AS std, ts_code % 4 = 0 AS resolution,
+  ts_code % 13 <> 0 AS serving FROM security WHERE ts_code % 8 <> 3"""
+
+
+def modes(m):
+    c = F.col("ts_code")
+    scope = F.when(c % 4 == 0, "a,b").when(c % 4 == 1, "").otherwise("b")
+    flags = {"raw": c % 11 != 0, "std": c % 2 == 0, "resolution": c % 4 == 0, "serving": c % 13 != 0}
+    return m.security.where("ts_code % 8 != 3").select(c.alias("dataset"), scope.alias("source_scope"), *[x.alias(f"{n}_enabled") for n, x in flags.items()])
+
+
 def observed(m):
     return m.daily_bar.where("ts_code % 9 != 0").groupBy(F.col("ts_code").alias("dataset")).agg(F.max("trade_date").alias("date"))
 
@@ -243,11 +264,14 @@ def fr5(m):
 
 @query(
     "fr6_layer_matrix",
-    f"""SELECT dataset, stage, CASE WHEN stage = 'light' THEN CASE WHEN t.date IS NULL THEN 'missing' WHEN date_diff('day', t.date, latest) <= 0 THEN 'healthy' WHEN date_diff('day', t.date, latest) = 1 THEN 'lagging' ELSE 'stale' END WHEN status = 'fresh' THEN 'healthy' ELSE status END AS layer_status
-    FROM fr_rows LEFT JOIN fr_state t USING (dataset), (SELECT unnest([{', '.join(chr(39) + s + chr(39) for s in health.STAGES)}]) AS stage)""",
+    """SELECT f.dataset, CASE WHEN m.scope IS NULL OR m.scope = '' OR contains(m.scope, ',') THEN '__all__' ELSE m.scope END AS source_key, stage, CASE stage WHEN 'raw' THEN CASE WHEN coalesce(m.raw, TRUE) THEN f.status ELSE 'skipped' END
+    WHEN 'std' THEN CASE WHEN coalesce(m.std, FALSE) THEN 'unobserved' ELSE 'skipped' END WHEN 'resolution' THEN CASE WHEN coalesce(m.resolution, FALSE) THEN 'unobserved' ELSE 'skipped' END
+    WHEN 'serving' THEN CASE WHEN coalesce(m.serving, TRUE) THEN f.status ELSE 'skipped' END ELSE CASE WHEN t.date IS NULL THEN 'unknown' WHEN f.latest IS NULL OR date_diff('day', t.date, f.latest) <= 0 THEN 'healthy'
+    WHEN date_diff('day', t.date, f.latest) = 1 THEN 'lagging' ELSE 'stale' END END AS layer_status FROM fr_rows f LEFT JOIN fr_modes m USING (dataset) LEFT JOIN fr_state t USING (dataset), (SELECT unnest(['raw', 'std', 'resolution', 'serving', 'light']) AS stage)
+    WHERE stage <> 'light' OR (f.dataset = 1 AND coalesce(m.serving, TRUE))""",
 )
 def fr6(m):
-    return health.layers(fresh(m), state(m))
+    return health.layers(fresh(m), modes(m), state(m), 1)
 
 
 @query("fr7_latest_layers", "SELECT dataset, date FROM fr_state UNION ALL SELECT dataset, date FROM fr_observed WHERE dataset NOT IN (SELECT dataset FROM fr_state)")
@@ -265,20 +289,57 @@ def fr8(m):
     return health.alerts(m.run_log, fresh(m), "2024-01-30 23:30:00")
 
 
+SQL_VIEWS["executions"] = """SELECT event_id AS id, CASE user_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'canceling' WHEN 3 THEN 'failed' ELSE 'success' END AS status, ts AS requested_at,
+  CASE WHEN event_id % 2 = 0 THEN ts + INTERVAL 5 MINUTE END AS queued_at, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 20 MINUTE END AS started_at, CASE WHEN event_id % 7 = 0 THEN ts + INTERVAL 50 MINUTE END AS last_progress_at,
+  CASE WHEN event_id % 6 = 1 THEN ts + INTERVAL 70 MINUTE END AS cancel_requested_at FROM events WHERE event_type = 'click'"""
+
+
+def executions(m):
+    e, later = m.table("events").where("event_type = 'click'"), lambda k, r, minutes: F.when(F.col("event_id") % k == r, F.col("ts") + F.expr(f"interval {minutes} minutes"))
+    status = F.element_at(F.array(*[F.lit(s) for s in ("queued", "running", "canceling", "failed", "success")]), (F.col("user_id") % 5 + 1).cast("int"))
+    return e.select(
+        F.col("event_id").alias("id"), status.alias("status"), F.col("ts").alias("requested_at"), later(2, 0, 5).alias("queued_at"), later(3, 0, 20).alias("started_at"), later(7, 0, 50).alias("last_progress_at"), later(6, 1, 70).alias("cancel_requested_at"),
+    )
+
+
 @query(
     "fr9_stale_runs",
-    "SELECT e.event_id FROM events e LEFT JOIN (SELECT user_id, max(ts) AS seen FROM events WHERE event_type = 'view' GROUP BY 1) v USING (user_id) LEFT JOIN (SELECT user_id, max(ts) AS bought FROM events WHERE event_type = 'purchase' GROUP BY 1) p USING (user_id) WHERE e.event_type = 'click' AND greatest(e.ts, v.seen, p.bought) < TIMESTAMP '2024-01-30 12:00:00'",
+    """SELECT id, last_activity, status AS previous_status, CASE WHEN cancel_requested_at IS NOT NULL THEN 'canceled' ELSE 'failed' END AS new_status, CASE WHEN cancel_requested_at IS NOT NULL THEN 'stop_not_finished' ELSE 'no_progress' END AS reason FROM (
+    SELECT x.*, greatest(last_progress_at, started_at, queued_at, requested_at, cancel_requested_at, e.at, l.at) AS last_activity FROM executions x LEFT JOIN (SELECT event_id - 1 AS id, max(ts) AS at FROM events WHERE event_type = 'view' GROUP BY 1) e USING (id)
+    LEFT JOIN (SELECT event_id - 2 AS id, max(CASE WHEN event_id % 2 = 0 THEN ts + INTERVAL 90 MINUTE ELSE ts END) AS at FROM events WHERE event_type = 'purchase' GROUP BY 1) l USING (id) WHERE status IN ('queued', 'running', 'canceling'))
+    WHERE last_activity < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 45 MINUTE""",
 )
 def fr9(m):
     e = m.table("events")
-    last = lambda kind, name: e.where(F.col("event_type") == kind).groupBy("user_id").agg(F.max("ts").alias(name))
-    rows = e.where("event_type = 'click'").join(last("view", "seen"), "user_id", "left").join(last("purchase", "bought"), "user_id", "left")
-    return rows.where(health.last_activity(["ts", "seen", "bought"]).cast("timestamp_ntz") < F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")).select("event_id")
+    events = e.where("event_type = 'view'").select((F.col("event_id") - 1).alias("execution_id"), F.col("ts").alias("occurred_at"))
+    ended = F.when(F.col("event_id") % 2 == 0, F.col("ts") + F.expr("interval 90 minutes"))
+    logs = e.where("event_type = 'purchase'").select((F.col("event_id") - 2).alias("execution_id"), F.col("ts").alias("started_at"), ended.alias("ended_at"))
+    return health.stale_runs(executions(m), events, logs, "2024-01-30 12:00:00", 45).withColumn("last_activity", F.col("last_activity").cast("timestamp_ntz"))
+
 
+SQL_VIEWS["fr_failed"] = """SELECT f.dataset, f.at AS failed_at FROM (SELECT dataset, max(started_at) AS at FROM run_log WHERE status = 'FAILED' AND event_id % 3 = 0 GROUP BY 1) f LEFT JOIN (SELECT dataset, max(started_at) AS at FROM run_log WHERE status = 'SUCCESS' AND dataset % 2 = 0 GROUP BY 1) s USING (dataset)
+  WHERE s.at IS NULL OR f.at > s.at"""
 
-@query("fr10_attention", "SELECT dataset, status, CAST(lag_days AS INTEGER) AS lag_days FROM fr_rows WHERE status IN ('stale', 'lagging', 'unknown')")
+
+@query(
+    "fr10_attention",
+    """SELECT dataset, status, CAST(lag_days AS INTEGER) AS lag_days, failed_at, row_number() OVER (ORDER BY failed_at IS NULL, CASE status WHEN 'stale' THEN 0 WHEN 'lagging' THEN 1 ELSE 2 END, coalesce(lag_days, 0) DESC, failed_at DESC NULLS LAST, dataset) AS place
+    FROM fr_rows LEFT JOIN fr_failed USING (dataset) WHERE failed_at IS NOT NULL OR status IN ('lagging', 'stale')""",
+)
 def fr10(m):
-    return fresh(m).where(F.col("status").isin("stale", "lagging", "unknown")).select("dataset", "status", "lag_days")
+    runs = m.run_log.where("(status = 'FAILED' AND event_id % 3 = 0) OR (status = 'SUCCESS' AND dataset % 2 = 0)")
+    failures = health.visible_failures(runs, "dataset").select("dataset", F.col("started_at").alias("failed_at"))
+    return health.attention(fresh(m), failures).withColumn("failed_at", F.col("failed_at").cast("timestamp_ntz"))
+
+
+@query(
+    "fr10_today",
+    """SELECT count(*) AS total_requests, count(*) FILTER (WHERE status IN ('success', 'failed')) AS completed_requests, count(*) FILTER (WHERE status IN ('running', 'canceling')) AS running_requests,
+    count(*) FILTER (WHERE status = 'failed') AS failed_requests, count(*) FILTER (WHERE status = 'queued') AS queued_requests FROM executions WHERE requested_at >= TIMESTAMP '2024-01-28 16:00:00'""",
+)
+def fr10_today(m):
+    """The local day begins at 16:00 UTC."""
+    return health.today(executions(m), "2024-01-28 16:00:00")
 
 
 @query("tk5_priority_order", "SELECT dataset, row_number() OVER (ORDER BY CASE status WHEN 'stale' THEN 0 WHEN 'lagging' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END, lag_days DESC NULLS LAST, dataset) AS place FROM fr_rows")
@@ -353,10 +414,43 @@ def tk3(m):
     return boards.with_members(rows, members, 5)
 
 
-@query("dm3_board_review", f"SELECT c.ts_code, constituent_count, string_agg(con_code, ',' ORDER BY con_code) AS members FROM (SELECT * FROM ({_COUNTED}) WHERE constituent_count >= 5 ORDER BY constituent_count DESC, ts_code LIMIT 12) c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY ts_code ORDER BY con_code) AS p FROM (SELECT DISTINCT ts_code, con_code FROM open_member)) o ON o.ts_code = c.ts_code AND p <= 3 GROUP BY 1, 2")
+_REVIEW = """SELECT '{p}' AS provider, c.ts_code, constituent_count, string_agg(con_code, ',' ORDER BY con_code) AS members FROM (SELECT * FROM ({c}) WHERE constituent_count >= 5 ORDER BY constituent_count DESC, ts_code LIMIT 12) c
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY ts_code ORDER BY con_code) AS p FROM (SELECT DISTINCT ts_code, con_code FROM {m})) o ON o.ts_code = c.ts_code AND p <= 3 GROUP BY 1, 2, 3"""
+
+
+@query("dm3_board_review", _REVIEW.format(p="ths", c=_COUNTED, m="open_member") + " UNION ALL " + _REVIEW.format(p="dc", c="SELECT ts_code, count(DISTINCT con_code) AS constituent_count FROM last_dc GROUP BY 1", m="last_dc"))
 def dm3(m):
-    rows, members = board_rows(m)
-    return boards.with_members(rows.where("constituent_count >= 5").orderBy(F.desc("constituent_count"), "ts_code").limit(12), members, 3)
+    """Both providers' boards; one has intervals, the other a membership of the last day."""
+    last = m.dc_member.join(F.broadcast(m.dc_member.agg(F.max("trade_date").alias("trade_date"))), "trade_date").withColumn("out_date", F.lit(None).cast("date"))
+    out = None
+    for provider, members in (("ths", cut(m.ths_member)), ("dc", cut(last.select("ts_code", "con_code", "out_date")))):
+        counts = boards.counted(members.select("ts_code").distinct(), members)
+        own = boards.with_members(counts.where("constituent_count >= 5").orderBy(F.desc("constituent_count"), "ts_code").limit(12), members, 3).select(F.lit(provider).alias("provider"), "ts_code", "constituent_count", "members")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("dm3_equity_memberships", "SELECT con_code, name, count(DISTINCT provider || ':' || board) AS board_count, string_agg(DISTINCT provider || ':' || board, ',' ORDER BY provider || ':' || board) AS boards FROM memberships JOIN security ON security.ts_code = con_code GROUP BY 1, 2")
+def dm3_memberships(m):
+    """Each stock's name and boards of all providers."""
+    named = all_members(m).select("con_code", F.concat_ws(":", "provider", "board").alias("board"))
+    listed = named.groupBy("con_code").agg(F.array_sort(F.collect_set("board")).alias("b"))  # a stock's boards
+    rows = listed.join(m.security.select(F.col("ts_code").alias("con_code"), "name"), "con_code")
+    return rows.select("con_code", "name", F.size("b").cast("long").alias("board_count"), F.array_join("b", ",").alias("boards"))
+
+
+@query("dm3_equity_suggest", "SELECT ts_code, name, CASE WHEN CAST(ts_code AS VARCHAR) = '2' THEN 0 WHEN starts_with(CAST(ts_code AS VARCHAR), '2') THEN 1 WHEN starts_with(lower(name), '2') THEN 2 ELSE 3 END AS score FROM security WHERE list_status = 'L' AND (contains(lower(name), '2') OR contains(CAST(ts_code AS VARCHAR), '2')) ORDER BY score, ts_code LIMIT 20")
+def dm3_suggest(m):
+    return boards.search(m.security.where("list_status = 'L'").select("ts_code", "name"), ["ts_code", "name"], "2", "ts_code", 20)
+
+
+@query("dm3_active_indexes", "SELECT index_code, max(trade_date) AS latest, count(*) AS n_bars FROM index_bar GROUP BY 1 HAVING max(trade_date) >= (SELECT max(trade_date) FROM index_bar) - 30")
+def dm3_indexes(m):
+    """Indexes with a bar in the last 30 days of all."""
+    from tapeworks.plans.breadth import _index_bar
+
+    own = cut(_index_bar(m).groupBy("index_code").agg(F.max("trade_date").alias("latest"), F.count("*").alias("n_bars")))
+    return own.join(F.broadcast(own.agg(F.max("latest").alias("last"))), F.lit(True)).where(F.col("latest") >= F.date_sub("last", 30)).drop("last")
 
 
 @query("st1_memberships", "SELECT * FROM memberships")
@@ -398,9 +492,17 @@ def tk4(m):
     return boards.search(m.security.select("ts_code", "area"), ["area"], "nation_1", "ts_code", 40).drop("area")
 
 
-@query("flt3_active_masters", "SELECT ts_code FROM security WHERE security_type = 'EQUITY' AND list_status IN ('L', 'P') AND exchange NOT LIKE '%BSE'")
+@query(
+    "flt3_active_masters",
+    """SELECT 'equity' AS kind, CAST(ts_code AS VARCHAR) AS ts_code FROM security WHERE security_type = 'EQUITY' AND CASE WHEN ts_code % 7 = 0 THEN 'U' ELSE list_status END IN ('L', 'P', 'D')
+    UNION ALL SELECT 'fund', p_partkey || CASE WHEN p_size % 5 = 0 THEN '.OF' ELSE '.SH' END FROM part WHERE p_size % 3 <> 0 AND p_size % 5 <> 0""",
+)
 def flt3(m):
-    return m.security.where((F.col("security_type") == "EQUITY") & F.col("list_status").isin("L", "P") & ~F.col("exchange").like("%BSE")).select("ts_code")
+    equities = m.security.withColumn("list_status", F.when(F.col("ts_code") % 7 == 0, "U").otherwise(F.col("list_status")))
+    code = F.concat(F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 5 == 0, ".OF").otherwise(".SH"))
+    funds = m.table("part").select(code.alias("ts_code"), F.when(F.col("p_size") % 3 == 0, "U").otherwise("L").alias("list_status"))
+    own = lambda rows, kind: rows.select(F.lit(kind).alias("kind"), F.col("ts_code").cast("string").alias("ts_code"))
+    return own(boards.active_masters(equities), "equity").unionByName(own(boards.active_masters(funds, fund=True), "fund"))
 
 
 @query("flt4_open_memberships", "SELECT ts_code, con_code FROM open_member")
@@ -413,11 +515,13 @@ def flt5(m):
     return boards.optional_filters(m.run_log, status="FAILED", job_name=None, dataset=3).select("event_id")
 
 
-@query("flt8_open_days_in_range", "SELECT ts_code, trade_date FROM daily_bar WHERE trade_date >= DATE '1997-06-01' AND trade_date <= DATE '1998-06-30' AND trade_date IN (SELECT trade_date FROM trade_calendar WHERE is_open)")
+@query(
+    "flt8_open_days_in_range",
+    "SELECT ts_code, trade_date FROM daily_bar WHERE trade_date >= greatest(DATE '1990-01-01', (SELECT min(trade_date) FROM moneyflow_b WHERE year(trade_date) >= 1997)) AND trade_date <= DATE '1998-06-30' AND trade_date IN (SELECT trade_date FROM trade_calendar WHERE is_open)",
+)
 def flt8(m):
-    start = F.greatest(F.lit("1990-01-01").cast("date"), F.lit("1997-06-01").cast("date"))
-    rows = m.daily_bar.where(F.col("trade_date").between(start, F.lit("1998-06-30").cast("date")))
-    return rows.join(F.broadcast(m.trade_calendar.where("is_open").select("trade_date")), "trade_date", "left_semi").select("ts_code", "trade_date")
+    first = m.moneyflow_b.where("year(trade_date) >= 1997").agg(F.min("trade_date").alias("first"))
+    return boards.open_days(m.daily_bar.select("ts_code", "trade_date"), m.trade_calendar, first, "1990-01-01", "1998-06-30")
 
 
 @query("flt1_eligible_universe", "SELECT trade_date, count(*) AS n FROM mood_rows GROUP BY trade_date")
@@ -437,15 +541,21 @@ def jn2(m):
     return m.panel_bar.select(*KEYS, "close").join(m.stk_limit.select(*KEYS, "up_limit"), KEYS, "left").join(m.daily_basic.select(*KEYS, "pe"), KEYS, "left")
 
 
-@query("jn4_dates_in_all_tables", "SELECT DISTINCT trade_date FROM daily_bar WHERE trade_date IN (SELECT trade_date FROM trade_calendar WHERE is_open) AND trade_date IN (SELECT trade_date FROM daily_basic) AND trade_date IN (SELECT trade_date FROM adj_factor)")
+@query(
+    "jn4_dates_in_all_tables",
+    "SELECT trade_date FROM trade_calendar WHERE is_open" + "".join(f" AND trade_date IN (SELECT trade_date FROM {t})" for t in ("panel_bar", "stk_limit", "adj_factor", "daily_basic", "index_bar", "dc_member")) + " AND trade_date IN (SELECT trade_date FROM dc_member WHERE ts_code LIKE 'ECONOMY%')",
+)
 def jn4(m):
-    rows = m.daily_bar.select("trade_date").distinct().join(m.trade_calendar.where("is_open"), "trade_date", "left_semi")
-    return rows.join(m.daily_basic, "trade_date", "left_semi").join(m.adj_factor, "trade_date", "left_semi")
+    """Bars, limits, factors, ratios, indexes, boards of one kind, and members."""
+    from tapeworks.plans.breadth import _index_bar
+
+    kind = m.dc_member.where(F.col("ts_code").startswith("ECONOMY"))
+    return boards.dates_in_all(m.trade_calendar, [m.panel_bar, m.stk_limit, m.adj_factor, m.daily_basic, _index_bar(m), kind, m.dc_member])
 
 
-@query("jn5_undelivered", "SELECT s.ts_code, c.trade_date FROM security s, calendar c WHERE c.n % 50 = 0 AND NOT EXISTS (SELECT 1 FROM panel_bar b WHERE b.ts_code = s.ts_code AND b.trade_date = c.trade_date)")
+@query("jn5_undelivered", "SELECT s.ts_code, c.trade_date FROM security s, calendar c WHERE NOT EXISTS (SELECT 1 FROM panel_bar b WHERE b.ts_code = s.ts_code AND b.trade_date = c.trade_date)")
 def jn5(m):
-    days = m.calendar.where("n % 50 = 0").agg(F.collect_list("trade_date").alias("days"))
+    days = m.calendar.agg(F.collect_list("trade_date").alias("days"))  # a calendar's days
     expected = m.security.select("ts_code").join(F.broadcast(days), F.lit(True)).select("ts_code", F.explode("days").alias("trade_date"))
     return expected.join(m.panel_bar, KEYS, "left_anti")
 
@@ -462,24 +572,39 @@ def jn8(m):
     return m.dc_member.join(last, ["con_code", "trade_date"]).select("ts_code", "con_code", "trade_date")
 
 
-@query("jn12_unique_match", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE s.k END AS code FROM customer LEFT JOIN (SELECT p_name AS n, min(p_partkey) AS k FROM part GROUP BY 1 HAVING count(*) = 1) s ON s.n = 'x' || c_nationkey")
+@query("jn12_unique_match", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE s.k END AS code FROM customer LEFT JOIN (SELECT s_nationkey || '-' || s_suppkey % 4 AS n, min(s_suppkey) AS k FROM supplier GROUP BY 1 HAVING count(*) = 1) s ON s.n = c_nationkey || '-' || c_custkey % 4")
 def jn12(m):
-    rows = m.table("customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).alias("code"), F.concat(F.lit("x"), F.col("c_nationkey").cast("string")).alias("name"))
-    masters = m.table("part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("code"))
+    """Of the suppliers' names by nation some are held by one supplier and some by several."""
+    name = lambda nation, key: F.concat_ws("-", F.col(nation).cast("string"), (F.col(key) % 4).cast("string")).alias("name")
+    rows = m.table("customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).alias("code"), name("c_nationkey", "c_custkey"))
+    masters = m.table("supplier").select(name("s_nationkey", "s_suppkey"), F.col("s_suppkey").alias("code"))
     return boards.unique_match(rows, masters, "name", "code").select("c_custkey", "code")
 
 
-@query("jn15_name_chain", "SELECT code, coalesce(s.s_name, c.c_name) AS name FROM (SELECT s_suppkey AS code, s_name FROM supplier WHERE s_suppkey % 2 = 0) s FULL JOIN (SELECT c_custkey AS code, c_name FROM customer) c USING (code)")
+@query(
+    "jn15_name_chain",
+    """SELECT r.code, r.security_type, CASE r.security_type WHEN 'INDEX' THEN i.c_name WHEN 'ETF' THEN e.p_name ELSE coalesce(s.s_name, i.c_name, e.p_name) END AS name
+    FROM (SELECT DISTINCT o_custkey AS code, CASE WHEN o_custkey % 4 = 0 THEN 'INDEX' WHEN o_custkey % 7 = 0 THEN 'ETF' END AS security_type FROM orders) r LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) s ON s.s_suppkey = r.code
+    LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) i ON i.c_custkey = r.code LEFT JOIN part e ON e.p_partkey = r.code""",
+)
 def jn15(m):
-    first = m.table("supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"))
-    return boards.fall_back([first, m.table("customer").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name"))], "code")
+    kind = F.when(F.col("o_custkey") % 4 == 0, "INDEX").when(F.col("o_custkey") % 7 == 0, "ETF").alias("security_type")
+    master = lambda name, key, label: m.table(name).select(F.col(key).alias("code"), F.col(label).alias("name"))
+    masters = {"EQUITY": master("supplier", "s_suppkey", "s_name").where("code % 2 = 0"), "INDEX": master("customer", "c_custkey", "c_name").where("code % 3 = 0"), "ETF": master("part", "p_partkey", "p_name")}
+    return boards.name_chain(m.table("orders").select(F.col("o_custkey").alias("code"), kind).distinct(), masters, "code")
 
 
-@query("tk6_top_decile", "SELECT trade_date, ts_code FROM (SELECT *, count(*) OVER (PARTITION BY trade_date) AS n, row_number() OVER (PARTITION BY trade_date ORDER BY close DESC, ts_code) AS p FROM panel_bar) WHERE p <= greatest(1, ceil(0.1 * n))")
+@query(
+    "tk6_top_decile",
+    """SELECT trade_date, ts_code FROM (SELECT *, count(*) OVER (PARTITION BY trade_date) AS n, row_number() OVER (PARTITION BY trade_date ORDER BY ret20 DESC, ts_code) AS p FROM (
+    SELECT ts_code, trade_date, round(CAST(close AS DOUBLE) / CAST(lag(close, 20) OVER (PARTITION BY ts_code ORDER BY trade_date) AS DOUBLE) - 1, 10) AS ret20 FROM panel_bar) WHERE ret20 IS NOT NULL) WHERE p <= greatest(1, ceil(0.1 * n))""",
+)
 def tk6(m):
-    w = Window.partitionBy("trade_date")
-    rows = m.panel_bar.withColumns({"_n": F.count("*").over(w), "_p": F.row_number().over(w.orderBy(F.desc("close"), "ts_code"))})
-    return rows.where(F.col("_p") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * 0.1))).select("trade_date", "ts_code")
+    from tapeworks.operators.breadth import top_share
+
+    before = F.lag("close", 20).over(Window.partitionBy("ts_code").orderBy("trade_date"))
+    rows = m.panel_bar.select(*KEYS, F.round(F.col("close").cast("double") / before.cast("double") - 1, 10).alias("ret20"))
+    return top_share(rows, "ret20").select("trade_date", "ts_code")
 
 
 @query("wn14_lead_labels", "SELECT trade_date, n, lead(n) OVER (ORDER BY trade_date) AS next_n FROM calendar")
@@ -501,8 +626,6 @@ def wn18(m):
     return bars.carried(m.daily_bar, "close", "raw")
 
 
-@query("dm4_latest_open_day", "SELECT b.trade_date, max(c.trade_date) AS latest_open FROM (SELECT DISTINCT trade_date FROM daily_bar) b JOIN trade_calendar c ON c.is_open AND c.trade_date <= b.trade_date AND c.trade_date > b.trade_date - 10 GROUP BY 1")
+@query("dm4_latest_open_day", "SELECT b.trade_date, max(c.trade_date) AS latest_open FROM (SELECT DISTINCT trade_date FROM daily_bar) b JOIN trade_calendar c ON c.is_open AND c.trade_date <= b.trade_date GROUP BY 1")
 def dm4(m):
-    w = Window.orderBy("trade_date").rowsBetween(-9, 0)
-    known = m.trade_calendar.select("trade_date", F.last(F.when(F.col("is_open"), F.col("trade_date")), ignorenulls=True).over(w).alias("latest_open"))
-    return m.daily_bar.select("trade_date").distinct().join(F.broadcast(known), "trade_date").where("latest_open is not null")
+    return boards.latest_open_day(m.daily_bar.select("trade_date").distinct(), m.trade_calendar)

@@ -25,7 +25,7 @@ _MARKET = "CASE WHEN contains(upper(raw), '.') THEN upper(raw) WHEN length(raw)
 
 @query("sc1_market_code", f"SELECT ts_code, trade_date, {_MARKET.format(sh=chr(39) + '6' + chr(39) + ', ' + chr(39) + '9' + chr(39))} AS code FROM {_CODED}")
 def sc1(m):
-    return coded(m).select("ts_code", "trade_date", fn.market_code(F.col("raw")).alias("code"))
+    return coded(m).select("ts_code", "trade_date", fn.market_code(F.col("raw"), required=True).alias("code"))
 
 
 @query("sc2_market_code_digits", f"SELECT ts_code, trade_date, {_MARKET.format(sh=chr(39) + '6' + chr(39))} AS code FROM {_CODED}")
@@ -59,9 +59,19 @@ def sc7(m):
 
 @query("rc6_reason_hash_backfill")
 def rc6(m):
-    """Of texts with one hash the document of the highest id."""
-    rows = m.table("documents").select("doc_id", fn.reason_hash(F.col("text")).alias("reason_hash")).where(F.col("reason_hash").isNotNull())
-    return upsert.backfill_hash(rows, "reason_hash", "doc_id")[0]
+    """Hashes for documents that lack one (two of three), keyed by language and source: those whose hash another document of the key has are conflicts, and the others
+    are then refused."""
+    rows = m.table("documents").select("doc_id", "lang", "source", fn.reason_hash(F.col("text")).alias("hash"))
+    stored = rows.withColumn("stored", F.when(F.col("doc_id") % 3 == 0, F.col("hash")))
+    return upsert.backfill_reason_hash(stored, ["lang", "source"], "doc_id", "hash", "stored")[0]
+
+
+@query("rc6_backfill_counts")
+def rc6_counts(m):
+    """The counts of a backfill keyed by document, in which nothing conflicts."""
+    rows = m.table("documents").select("doc_id", fn.reason_hash(F.col("text")).alias("hash"))
+    stored = rows.withColumn("stored", F.when(F.col("doc_id") % 3 == 0, F.col("hash")))
+    return upsert.backfill_reason_hash(stored, ["doc_id"], "doc_id", "hash", "stored")[1]
 
 
 _HASH = "sha256(concat_ws('|', CAST(ts_code AS VARCHAR), CAST(trade_date AS VARCHAR), CAST(px AS VARCHAR), coalesce(CAST(nullif(vol, 7.0000) AS VARCHAR), '')))"
@@ -92,9 +102,17 @@ def sc8(m):
     return m.tick.select("l_orderkey", "l_linenumber", "l_partkey", "px", fn.half_up(F.col("px").cast("double") / 8).cast("decimal(18,4)").alias("up"))
 
 
-@query("sc9_round_half_even", "SELECT l_orderkey, l_linenumber, l_partkey, round_even(CAST(vol AS DOUBLE) / 4, 1) AS even FROM tick")
+_HALF_EVEN = """SELECT *, CAST(sign(n) * (q + CASE WHEN 2 * (abs(n) - q * d) > d OR (2 * (abs(n) - q * d) = d AND q % 2 = 1) THEN 1 ELSE 0 END) AS DECIMAL(30,4)) / 10000 AS price FROM (SELECT *, abs(n) // d AS q FROM (
+  SELECT ts_code, trade_date, CAST(CAST(close * 10000 AS DECIMAL(22,0)) AS HUGEINT) * CAST(adj_factor * 100000000 AS HUGEINT) AS n, CAST(arg_max(adj_factor, trade_date) OVER (PARTITION BY ts_code) * 100000000 AS HUGEINT) AS d FROM panel_bar JOIN adj_factor USING (ts_code, trade_date)))"""
+
+
+@query("sc9_round_half_even", f"SELECT ts_code, trade_date, CAST(price AS DECIMAL(18,4)) AS qfq FROM ({_HALF_EVEN})")
 def sc9(m):
-    return m.tick.select("l_orderkey", "l_linenumber", "l_partkey", fn.half_even(F.col("vol").cast("double") / 4, 1).alias("even"))
+    """Forward-adjusted closes in decimals."""
+    from tapeworks.operators import bars
+
+    joined = m.panel_bar.join(m.adj_factor, ["ts_code", "trade_date"]).join(bars.anchors(m.adj_factor, True), "ts_code")
+    return joined.select("ts_code", "trade_date", bars.scaled_price(F.col("close"), F.col("adj_factor"), F.col("anchor")).alias("qfq"))
 
 
 @query("sc10_period_start", "SELECT CAST(date_trunc('week', trade_date) AS DATE) AS period, min(trade_date) AS period_start FROM trade_calendar WHERE is_open GROUP BY 1")
@@ -165,17 +183,29 @@ def sc18(m):
     return messages(m).select("event_id", fn.tagged_part(F.col("message")).alias("warning"))
 
 
+_FAILURE = """CASE event_id % 6 WHEN 0 THEN 'ERROR:  column "' || event_type || '" of relation "t' || user_id || '" does not exist' WHEN 1 THEN 'Null value in column "c' || user_id || '" of relation "' || event_type || '" violates not-null constraint'
+  WHEN 2 THEN 'there is no unique or   exclusion constraint matching the ON CONFLICT specification' WHEN 3 THEN 'Tushare API error: code ' || user_id WHEN 4 THEN 'lost  after ' || repeat('x ', CAST(event_id % 90 AS INTEGER)) ELSE '' END"""
+
+
+def failures(m):
+    text = F.expr("""CASE event_id % 6 WHEN 0 THEN 'ERROR:  column "' || event_type || '" of relation "t' || user_id || '" does not exist' WHEN 1 THEN 'Null value in column "c' || user_id || '" of relation "' || event_type || '" violates not-null constraint'
+  WHEN 2 THEN 'there is no unique or   exclusion constraint matching the ON CONFLICT specification' WHEN 3 THEN 'Tushare API error: code ' || user_id WHEN 4 THEN 'lost  after ' || repeat('x ', CAST(event_id % 90 AS INTEGER)) ELSE '' END""")
+    return m.table("events").select("event_id", text.alias("message"))
+
+
 @query(
     "sc19_error_kind",
-    f"SELECT event_id, CASE WHEN regexp_matches(m, '(?i)timed? ?out') THEN 'timeout' WHEN regexp_matches(m, '(?i)rate limit|too many') THEN 'rate_limit' WHEN regexp_matches(m, '(?i)connection|network') THEN 'connection' WHEN regexp_matches(m, '(?i)permission|denied|auth') THEN 'permission' WHEN regexp_matches(m, '(?i)null|missing|invalid') THEN 'data' ELSE 'other' END AS kind FROM (SELECT event_id, {_MESSAGE} AS m FROM events)",
+    f"""SELECT event_id, CASE WHEN m = '' THEN NULL WHEN event_id % 6 = 0 THEN '数据库字段缺失：表 t' || user_id || ' 缺少列 ' || event_type WHEN event_id % 6 = 1 THEN '数据库约束错误：表 ' || event_type || ' 的列 c' || user_id || ' 不能为空'
+    WHEN event_id % 6 = 2 THEN '数据库约束错误：缺少可用于 ON CONFLICT 的唯一约束' WHEN event_id % 6 = 3 THEN 'Tushare 接口错误：code ' || user_id WHEN length(p) > 120 THEN left(p, 120) || '...' ELSE p END AS summary
+    FROM (SELECT *, trim(regexp_replace(m, '\\s+', ' ', 'g')) AS p FROM (SELECT *, {_FAILURE} AS m FROM events))""",
 )
 def sc19(m):
-    return messages(m).select("event_id", fn.error_kind(F.col("message")).alias("kind"))
+    return failures(m).select("event_id", fn.failure_summary(F.col("message")).alias("summary"))
 
 
-@query("sc20_clipped", f"SELECT event_id, CASE WHEN length(p) > 60 THEN left(p, 57) || '...' ELSE p END AS message FROM (SELECT event_id, trim(regexp_replace({_MESSAGE}, '\\s+', ' ', 'g')) AS p FROM events)")
+@query("sc20_clipped", f"SELECT event_id, CASE WHEN length(m) > 60 THEN left(m, 60 - length('{fn.CUT_SUFFIX}')) || '{fn.CUT_SUFFIX}' ELSE m END AS message, '' AS none FROM (SELECT event_id, {_MESSAGE} AS m FROM events)")
 def sc20(m):
-    return messages(m).select("event_id", fn.clipped(F.col("message"), 60).alias("message"))
+    return messages(m).select("event_id", fn.clipped(F.col("message"), 60).alias("message"), fn.clipped(F.col("message"), 0).alias("none"))
 
 
 @query("sc21_freshness", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN date_trunc('day', ts) WHEN event_id % 3 = 1 THEN date_trunc('second', ts) END AS fresh FROM events")
@@ -263,7 +293,7 @@ def prj4(m):
 def prj5(m):
     rows = m.tick.select("l_orderkey", F.nullif("l_linenumber", F.lit(3)).alias("l_linenumber"), "px")
     kept, skipped = ingest.split_required(rows, ["l_orderkey", "l_linenumber"])
-    return kept.withColumn("skipped", F.lit(skipped.first()["skipped"]))
+    return kept.join(F.broadcast(skipped.select("skipped")), F.lit(True))  # one row
 
 
 @query("prj6_request_tags", "SELECT ts_code, name, '__ALL__' AS query_market, coalesce(nullif(exchange, 'BSE'), '__ALL__') AS content_type FROM security")

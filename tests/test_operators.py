@@ -1,12 +1,17 @@
 """Literal cases of the operators: ties, gaps, nulls, holes and empty inputs."""
 
 import datetime as dt
+import re
+import subprocess
+import sys
 from decimal import Decimal
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tapeworks import plans
 from tapeworks.functions import scalars
 from tapeworks.operators import bars, breadth, indicators, resolution, upsert, walkforward
 from tapeworks.sources import ingest, sinks
@@ -15,8 +20,15 @@ D = dt.date
 
 
 def test_half_even_adjustment(spark):
-    row = spark.range(1).select(bars.half_even(F.lit(10), F.lit(2), F.lit(4)).alias("x")).first()
-    assert row.x == 5.0
+    from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
+
+    rows = [("10", "2", "4"), ("0.0001", "1", "2"), ("0.0003", "1", "2"), ("1.2345", "1.00000001", "3"), ("-0.0001", "1", "2"), ("99999999.9999", "123.45678901", "0.07"), ("5", "1", "0"), ("5", None, "1"), ("-7.7777", "1.5", "-2.5")]
+    rows = [[None if x is None else Decimal(x) for x in r] for r in rows]
+    df = spark.createDataFrame(rows, "p decimal(18,4), f decimal(20,8), e decimal(20,8)")
+    got = df.select("*", bars.scaled_price(F.col("p"), F.col("f"), F.col("e")).alias("even"), bars.scaled_price(F.col("p"), F.col("f"), F.col("e"), even=False).alias("up")).collect()
+    for r in got:
+        exact = None if r.f is None or not r.e else r.p * r.f / r.e
+        assert r.even == (exact and exact.quantize(Decimal("0.0001"), ROUND_HALF_EVEN)) and r.up == (exact and exact.quantize(Decimal("0.0001"), ROUND_HALF_UP)), r
 
 
 def test_forward_adjustment_and_factor_hole(spark):
@@ -128,7 +140,10 @@ def test_reason_queries_read_whole_texts(spark, tmp_path):
     run = lambda name: plans.QUERIES[name](spark, str(tmp_path)).collect()
     assert {r.doc_id: r.reason for r in run("sc5_plain_reason")} == reasons
     assert {r.doc_id: r.reason_hash for r in run("sc7_reason_hash")} == hashes
-    assert {r.doc_id: r.reason_hash for r in run("rc6_reason_hash_backfill")} == {i: h for i, h in hashes.items() if h and i == max(k for k in hashes if hashes[k] == h)}
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    held = [h for h in hashes.values() if h]
+    state = lambda h: "skipped" if h is None else "conflict" if held.count(h) > 1 else "refused" if len(set(held)) < len(held) else "updated"
+    assert {r.doc_id: (r.hash, r.state) for r in run("rc6_reason_hash_backfill")} == {i: (h, state(h)) for i, h in hashes.items() if i % 3 or h is None}
 
 
 def test_probe_counts_rows_of_all_batches(spark, tmp_path):
@@ -148,7 +163,62 @@ def test_probe_counts_rows_of_all_batches(spark, tmp_path):
     assert read() == want  # no new files
 
 
-def test_entry_without_the_training_operators():
-    import __spark_entry__ as e
+@pytest.mark.parametrize("hidden", ["xxhash", "tapeworks.llm", "corpus_pipeline"])
+def test_entry_without_the_training_operators(hidden):
+    """The market queries are there where the subpackage, the pipeline or a library that they need can't be imported."""
+    code = f"import sys; sys.modules['{hidden}'] = None; import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert 'bar4_weekly_bars' in q and 'bar4_weekly_bars' in s and 'pipeline' not in q; print(len(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and int(done.stdout) >= 180, done.stderr[-1000:]
+
+
+def test_a_required_code_is_an_error(spark):
+    codes = spark.createDataFrame([("600000",), (" 430001 ",), ("000001",), ("a.b",), ("12",)], "c string")
+    assert [r[0] for r in codes.select(scalars.market_code(F.col("c"), required=True)).collect()] == ["600000.SH", "430001.BJ", "000001.SZ", "A.B", "12"]
+    for empty in ("", "  ", None):
+        with pytest.raises(Exception, match="no code"):
+            spark.createDataFrame([(empty,)], "c string").select(scalars.market_code(F.col("c"), required=True)).collect()
+
+
+def test_every_case_of_changed_queries_occurs(spark):
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).exists():
+        pytest.skip("no test tables here")
+    values = lambda name, column: {r[0] for r in plans.QUERIES[name](spark, folder).select(column).distinct().collect()}
+    assert values("fr6_layer_matrix", "layer_status") >= {"skipped", "unobserved", "stale", "unknown"} and values("fr6_layer_matrix", "source_key") == {"__all__", "b"}
+    assert values("fr9_stale_runs", "new_status") == {"canceled", "failed"} and values("fr9_stale_runs", "previous_status") == {"queued", "running", "canceling"}
+    assert values("bar2_adjustment_gaps", "reason") == {"missing_factor", "missing_anchor"}
+    assert len({(s or "")[:8] for s in values("sc19_error_kind", "summary")}) >= 6
+    attention = plans.QUERIES["fr10_attention"](spark, folder)
+    assert attention.where("failed_at is not null").count() and attention.where("failed_at is null").count()
+    assert {r.security_type for r in plans.QUERIES["jn15_name_chain"](spark, folder).where("name is null").select("security_type").distinct().collect()} >= {"INDEX"}
+    filled = plans.QUERIES["jn12_unique_match"](spark, folder).where("c_custkey % 3 != 0")
+    assert 0 < filled.where("code is not null").count() < filled.count()
+    assert {r.p for r in plans.QUERIES["dm3_board_review"](spark, folder).select(F.col("provider").alias("p")).distinct().collect()} == {"ths", "dc"}
+
+
+def brute_hash(text):
+    import hashlib
+    import unicodedata
+
+    plain = " ".join(w for w in re.split(r"[ \t\n\x0b\f\r]+", unicodedata.normalize("NFKC", text or "")) if w)
+    return plain or None, hashlib.sha256(plain.encode()).hexdigest() if plain else None
+
+
+def test_reasons_and_backfill_match_brute_force(spark):
+    rows = [(1, "k", "same first line\nand more", None), (2, "k", "same first line\nbut other", None), (3, "k", "ｗｉｄｅ，\tA\n b ", None), (4, "m", "wide, A b", None), (5, "k", None, None), (6, "k", " \n", None), (7, "n", "stored", "x"), (8, None, "ﬁne", None)]
+    df = spark.createDataFrame(rows, "id long, key string, text string, stored string").withColumn("hash", scalars.reason_hash(F.col("text"))).withColumn("plain", scalars.plain_reason(F.col("text")))
+    assert {r.id: (r.plain, r.hash) for r in df.collect()} == {i: brute_hash(t) for i, _, t, _ in rows}
+    found, counts = upsert.backfill_reason_hash(df, ["key"], "id", "hash", "stored")
+    assert {r.id: r.state for r in found.collect()} == {1: "updated", 2: "updated", 3: "updated", 4: "updated", 5: "skipped", 6: "skipped", 8: "updated"}
+    assert counts.first().asDict() == {"scanned": 7, "updated": 5, "skipped": 2, "conflicts": 0}
+    twice = df.withColumn("key", F.lit("one"))
+    found, counts = upsert.backfill_reason_hash(twice, ["key"], "id", "hash", "stored")
+    assert {r.id: r.state for r in found.collect()} == {1: "refused", 2: "refused", 3: "conflict", 4: "conflict", 5: "skipped", 6: "skipped", 8: "refused"} and counts.first().conflicts == 1
+
 
-    assert "bar4_weekly_bars" in e.queries() and "bar4_weekly_bars" in e.oracle_sql()
+def test_vendor_shapes_of_securities(spark):
+    b = spark.createDataFrame([(" 600000.SH ", " name ", "SH"), ("000001", None, " ")], "dm string, mc string, jys string")
+    got = [tuple(r) for r in resolution.standard_security(b, "b").collect()]
+    assert got == [("600000.SH", "600000", "name", "SH", "L", "EQUITY", "b"), ("000001", "000001", "000001", None, "L", "EQUITY", "b")]
+    with pytest.raises(Exception, match="no dm"):
+        resolution.standard_security(spark.createDataFrame([("", "x", "y")], b.schema), "b").collect()
