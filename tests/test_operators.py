@@ -187,7 +187,7 @@ def test_every_case_of_changed_queries_occurs(spark):
     assert values("fr6_layer_matrix", "layer_status") >= {"skipped", "unobserved", "stale", "unknown"} and values("fr6_layer_matrix", "source_key") == {"__all__", "b"}
     assert values("fr9_stale_runs", "new_status") == {"canceled", "failed"} and values("fr9_stale_runs", "previous_status") == {"queued", "running", "canceling"}
     assert values("bar2_adjustment_gaps", "reason") == {"missing_factor", "missing_anchor"}
-    assert len({(s or "")[:8] for s in values("sc19_error_kind", "summary")}) >= 6
+    assert len({(s or "")[:9] for s in values("sc19_error_kind", "summary")}) >= 6
     attention = plans.QUERIES["fr10_attention"](spark, folder)
     assert attention.where("failed_at is not null").count() and attention.where("failed_at is null").count()
     assert {r.security_type for r in plans.QUERIES["jn15_name_chain"](spark, folder).where("name is null").select("security_type").distinct().collect()} >= {"INDEX"}
