@@ -1,6 +1,6 @@
 """Market breadth for every trading day at once: eligible stocks, limit flags, temperature, emotion, themes and the collapse of leaders.
 
-Days are joined by their place in the calendar, never by lag: a stock that is absent on a day breaks its streak and has no yesterday.
+Days are told apart by their place in the calendar: a stock that is absent on a day breaks its streak and has no yesterday.
 Counts and thresholds compare decimals by cross-multiplication; rates come out as doubles. ``k`` is the least sample for a rate or a median."""
 
 from __future__ import annotations
@@ -81,9 +81,11 @@ def streaks(rows: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
 
 
 def with_yesterday(rows: DataFrame) -> DataFrame:
-    """rows with the stock's close, flags and streak of the previous open day, null where it wasn't eligible then."""
-    before = rows.select("ts_code", (F.col("n") + 1).alias("n"), F.col("close").alias("y_close"), F.col("close_up").alias("y_close_up"), F.col("tradable_up").alias("y_tradable_up"), F.col("streak").alias("y_streak"))
-    return rows.join(before, ["ts_code", "n"], "left")
+    """rows with the stock's close, flags and streak of the previous open day, null where it wasn't eligible then: its row before counts only if that is
+    one place earlier in the calendar."""
+    w = Window.partitionBy("ts_code").orderBy("n")
+    yesterday = F.lag("n").over(w) == F.col("n") - 1
+    return rows.withColumns({f"y_{c}": F.when(yesterday, F.lag(c).over(w)) for c in ("close", "close_up", "tradable_up", "streak")})
 
 
 def _yes(c: str) -> Column:

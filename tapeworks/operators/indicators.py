@@ -29,12 +29,8 @@ def moving_averages(bars: DataFrame, close: Sequence[int] = CLOSE_SPANS, volume:
 
 def ema(values: np.ndarray, n: int) -> np.ndarray:
     """Exponential average with weight 2 / (n + 1), begun with the first value; rows without a value have none, and carry the state."""
-    out, alpha, state = np.full(len(values), np.nan), 2.0 / (n + 1), np.nan
-    for i, x in enumerate(values):
-        if x == x:
-            state = x if state != state else alpha * x + (1 - alpha) * state
-            out[i] = state
-    return out
+    smoothed = pd.Series(values).ewm(alpha=2.0 / (n + 1), adjust=False, ignore_na=True).mean().to_numpy()
+    return np.where(np.isnan(values), np.nan, smoothed)
 
 
 def kdj(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,14 +38,12 @@ def kdj(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 9) -> tup
     top = pd.Series(high).rolling(n, min_periods=1).max().to_numpy()
     bottom = pd.Series(low).rolling(n, min_periods=1).min().to_numpy()
     ks, ds = np.full(len(close), np.nan), np.full(len(close), np.nan)
-    k = d = 50.0
-    for i, c in enumerate(close):
-        if c != c or top[i] != top[i] or bottom[i] != bottom[i]:
-            continue
-        rsv = 50.0 if top[i] == bottom[i] else (c - bottom[i]) / (top[i] - bottom[i]) * 100.0
-        k = k * 2.0 / 3.0 + rsv / 3.0
-        d = d * 2.0 / 3.0 + k / 3.0
-        ks[i], ds[i] = k, d
+    known = ~(np.isnan(close) | np.isnan(top) | np.isnan(bottom))
+    span = np.where(top == bottom, 1.0, top - bottom)[known]
+    rsv = np.where((top == bottom)[known], 50.0, (close - bottom)[known] / span * 100.0)
+    smoothed = lambda x: pd.Series(np.concatenate([[50.0], x])).ewm(alpha=1.0 / 3.0, adjust=False).mean().to_numpy()[1:]
+    ks[known] = smoothed(rsv)
+    ds[known] = smoothed(ks[known])
     return ks, ds, 3.0 * ks - 2.0 * ds
 
 

@@ -1,13 +1,13 @@
 """Several sources fused into one row for each key, reconciled and checked.
 
-Candidates are rows of all sources in one frame with a column ``source``; a policy names an order of sources. Resolution is one aggregate by key."""
+Candidates are rows of all sources in one frame with a column ``source``; a policy names an order of sources. Resolution is one exchange by key."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.operators.upsert import keep_one
@@ -47,24 +47,25 @@ def resolve(rows: DataFrame, keys: Sequence[str], sources: Sequence[str], freshn
     order = [priority(sources), F.col("source")]
     if freshness:
         order = [F.col(freshness).isNull(), -F.coalesce(F.unix_date(F.to_date(freshness)), F.lit(0)), *order]
-    picked = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)])).alias("_row"), provenance())
-    return picked.select(*keys, "_row.*", "source_candidates")
+    own = Window.partitionBy(*keys)
+    placed = rows.withColumns({"_place": F.row_number().over(own.orderBy(*order)), "_sources": F.collect_set("source").over(own)})
+    return placed.where("_place = 1").select(*keys, *rest, provenance("_sources"))
 
 
-def provenance() -> Column:
-    return F.array_join(F.array_sort(F.collect_set("source")), ",").alias("source_candidates")
+def provenance(sources: str) -> Column:
+    return F.array_join(F.array_sort(sources), ",").alias("source_candidates")
 
 
 def merge_fields(rows: DataFrame, keys: Sequence[str], sources: Sequence[str], rules: Mapping[str, Sequence[str]], skip_nulls: Sequence[str] = ()) -> DataFrame:
     """resolve(), with each field of rules taken from the first of its own sources that has a row for the key (its null counts, but for fields in skip_nulls)."""
-    base = resolve(rows, keys, sources)
-    picks = []
+    rest = [c for c in rows.columns if c not in keys]
+    picks = [F.min_by(F.struct(*rest), F.struct(priority(sources), F.col("source"))).alias("_row"), F.collect_set("source").alias("_sources")]
     for field, order in rules.items():
         usable = F.col("source").isin(*order) & (F.col(field).isNotNull() if field in skip_nulls else F.lit(True))
         picks.append(F.min_by(F.when(usable, F.struct(F.col(field).alias("v"))), F.when(usable, F.struct(priority(order), F.col("source")))).alias(f"_{field}"))
     chosen = rows.groupBy(*keys).agg(*picks)
-    joined = base.join(chosen, list(keys))
-    return joined.select(*[F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}")["v"]).otherwise(F.col(c)).alias(c) if c in rules else F.col(c) for c in base.columns])
+    field = lambda c: F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}")["v"]).otherwise(F.col("_row")[c]) if c in rules else F.col("_row")[c]
+    return chosen.select(*keys, *[field(c).alias(c) for c in rest], provenance("_sources"))
 
 
 def touched(rows: DataFrame, changed: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -113,8 +114,6 @@ def direction_mismatch(a: Column, b: Column) -> Column:
 
 def sample(rows: DataFrame, by: str, order: Sequence[str], n: int) -> DataFrame:
     """The first n rows of each class, in order of the keys."""
-    from pyspark.sql import Window
-
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_place") <= n).drop("_place")
 
 

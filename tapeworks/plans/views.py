@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapeworks.lineage import cut
+
 SEQ = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
 
 
@@ -15,6 +18,21 @@ def dec(c: Column, precision: int = 18, scale: int = 4) -> Column:
     return c.cast(f"decimal({precision},{scale})")
 
 
+#: Bits of an order's number, of a line's and of a price in cents, in the place of a trade.
+ORDER_BITS, LINE_BITS, CENT_BITS = 41, 3, 13
+
+
+def _placed(px: Column) -> Column:
+    """A trade's place within its week (weekday, order, line) with its price behind it, as one number: the least and greatest of a day or week give its first and
+    last price by a hash aggregate, which an order by several columns can't have."""
+    line = (F.weekday("l_shipdate").cast("long") * (1 << ORDER_BITS) + F.col("l_orderkey")) * (1 << LINE_BITS) + F.col("l_linenumber")
+    return line * (1 << CENT_BITS) + F.round(px * 100).cast("long")
+
+
+def _price(placed: Column) -> Column:
+    return ((placed % (1 << CENT_BITS)).cast("decimal(6,0)") * F.lit(Decimal("0.01"))).cast("decimal(18,4)")
+
+
 class Market:
     """The views over one folder of tables, built when first asked for."""
 
@@ -31,14 +49,15 @@ class Market:
         return li.select(
             F.col("l_suppkey").alias("ts_code"), F.to_date("l_shipdate").alias("trade_date"), dec(px).alias("px"),
             dec(F.col("l_quantity"), 20).alias("vol"), dec(F.col("l_extendedprice"), 20).alias("amount"),
-            F.struct(*SEQ).alias("seq"), "l_partkey", "l_returnflag", "l_orderkey", "l_linenumber",
+            F.struct(*SEQ).alias("seq"), _placed(px).alias("placed"), "l_partkey", "l_returnflag", "l_orderkey", "l_linenumber",
         )
 
     def _bars(self, day: Column) -> DataFrame:
-        bars = self.tick.withColumn("trade_date", day).groupBy("ts_code", "trade_date").agg(
-            F.min_by("px", "seq").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "seq").alias("close"),
+        sums = self.tick.withColumn("trade_date", day).groupBy("ts_code", "trade_date").agg(
+            F.min("placed").alias("first"), F.max("px").alias("high"), F.min("px").alias("low"), F.max("placed").alias("last"),
             dec(F.sum("vol"), 20).alias("vol"), dec(F.sum("amount"), 20).alias("amount"),
         )
+        bars = sums.select("ts_code", "trade_date", _price(F.col("first")).alias("open"), "high", "low", _price(F.col("last")).alias("close"), "vol", "amount")
         return bars.withColumn("pre_close", F.lag("close").over(Window.partitionBy("ts_code").orderBy("trade_date")))
 
     @cached_property
@@ -48,14 +67,14 @@ class Market:
 
     @cached_property
     def panel_bar(self) -> DataFrame:
-        """Dense: each week is one open day."""
-        return self._bars(F.date_trunc("week", "trade_date").cast("date"))
+        """Dense: each week is one open day. Most other views derive from it, so it is computed once and keeps its order by code and day."""
+        return cut(self._bars(F.date_trunc("week", "trade_date").cast("date")))
 
     @cached_property
     def calendar(self) -> DataFrame:
         """trade_date and its ordinal n, from 0."""
         days = self.tick.select(F.date_trunc("week", "trade_date").cast("date").alias("trade_date")).distinct()
-        return days.withColumn("n", (F.row_number().over(Window.orderBy("trade_date")) - 1).cast("int"))
+        return cut(days.withColumn("n", (F.row_number().over(Window.orderBy("trade_date")) - 1).cast("int")))
 
     @cached_property
     def trade_calendar(self) -> DataFrame:
@@ -149,7 +168,7 @@ class Market:
 TIERS = ("sm", "md", "lg", "elg")
 AMOUNTS = [f"{side}_{t}_amount" for t in TIERS for side in ("buy", "sell")]
 
-_ORDER = ", ".join(SEQ)
+_ORDER = "l_shipdate, l_orderkey, l_linenumber, px"
 _BARS = (
     "SELECT *, lag(close) OVER (PARTITION BY ts_code ORDER BY trade_date) AS pre_close FROM (SELECT ts_code, {day} AS trade_date, first(px ORDER BY " + _ORDER + ") AS open, max(px) AS high, min(px) AS low, "
     "last(px ORDER BY " + _ORDER + ") AS close, CAST(sum(vol) AS DECIMAL(20,4)) AS vol, CAST(sum(amount) AS DECIMAL(20,4)) AS amount FROM tick GROUP BY ts_code, {day})"
