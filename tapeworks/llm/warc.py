@@ -6,11 +6,12 @@ too small to train one have none. A file gets its final name by one rename once
 bytes, so lost executors leave no half archives. The folder must be one that all executors share.
 
 Defined results: a null or empty payload is an empty block; a null url is left out and control characters in one are percent-encoded; rows
-without page_id are always responses; of equal payloads under ``min_revisit`` bytes each is a response; rows that share a page_id
+without page_id are always responses; archives of other writers are read, too (WARC/1.0 and 1.1, any record type, date, id and dictionary); of equal payloads under ``min_revisit`` bytes each is a response; rows that share a page_id
 and a payload are told apart by nothing, and each gives the same record."""
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 import re
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 
 SKIPPABLE = 0x184D2A5D
 VERSION = b"WARC/1.1"
+VERSIONS = (b"WARC/1.0", VERSION)
 DATE = b"2024-01-01T00:00:00Z"
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 16 << 20
@@ -60,7 +62,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     if refers_to is None:
         block += payload
     else:
-        head.append(b"WARC-Refers-To: <urn:page:%d>" % refers_to)
+        head.append(b"WARC-Refers-To: <urn:page:%s>" % str(refers_to).encode())
         head.append(b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     head.append(b"Content-Type: application/http; msgtype=response")
     head.append(b"Content-Length: %d" % len(block))
@@ -107,6 +109,9 @@ def read_archive(data: bytes) -> Iterator[bytes]:
     reader = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     view = memoryview(data)
     while at < len(data):
+        if len(data) - at >= 8 and struct.unpack_from("<I", data, at)[0] & 0xFFFFFFF0 == SKIPPABLE & 0xFFFFFFF0:  # what else is to be skipped
+            at += 8 + struct.unpack_from("<I", data, at + 4)[0]
+            continue
         frame = reader.decompressobj()
         parts, here = [], at
         while not frame.eof:
@@ -121,39 +126,77 @@ def read_archive(data: bytes) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def parse(data: bytes) -> dict:
-    """page_id, url, record_type, refers_to, payload_bytes, payload_digest and payload (None for revisits) of a record, whose headers, lengths and
-    digest are validated."""
-    head, found, rest = data.partition(b"\r\n\r\n")
-    lines = head.split(b"\r\n")
-    if not found or lines[0] != VERSION:
-        raise Damaged("not a WARC/1.1 record")
-    fields = {}
-    for line in lines[1:]:
+def fields_of(head: bytes) -> dict[bytes, list[bytes]]:
+    """The named fields of a record's or an HTTP message's head by lower-case name, without its first line; folded lines are joined."""
+    fields: dict[bytes, list[bytes]] = {}
+    last: list[bytes] = []
+    for line in head.split(b"\r\n")[1:]:
+        if line[:1] in (b" ", b"\t") and last:
+            last[-1] += b" " + line.strip()
+            continue
         name, colon, value = line.partition(b":")
-        if not colon or name.lower() in fields:
+        if not colon or not name.strip():
             raise Damaged(f"bad header line {line[:80]!r}")
-        fields[name.lower()] = value.strip()
-    try:
-        length, kind = int(fields[b"content-length"]), fields[b"warc-type"].decode()
-        own = re.fullmatch(rb"<urn:page:(-?\d+|none)>", fields[b"warc-record-id"])[1]
-        digest = re.fullmatch(rb"sha256:([0-9a-f]{64})", fields[b"warc-payload-digest"])[1].decode()
-        refers = re.fullmatch(rb"<urn:page:(-?\d+)>", fields[b"warc-refers-to"])[1] if kind == "revisit" else None
-        if fields[b"warc-date"] != DATE or kind not in ("response", "revisit"):
-            raise Damaged("bad date or type")
-        block = rest[:length]
-        if rest[length:] != b"\r\n\r\n":
-            raise Damaged("the block is not as long as Content-Length says")
-        http, _, payload = block.partition(b"\r\n\r\n")
-        size = int(re.search(rb"\r\nContent-Length: (\d+)$", http)[1])
-    except (KeyError, TypeError, ValueError) as error:
-        raise Damaged(f"a header is missing or malformed: {error}") from error
-    if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest) or kind == "revisit" and payload:
-        raise Damaged("the payload is not as its headers say")
+        last = fields.setdefault(name.strip().lower(), [])
+        last.append(value.strip())
+    return fields
+
+
+def holds(digest: str, data: bytes) -> bool | None:
+    """Whether a labelled digest (hex or Base32) is that of data; None for algorithms that aren't known."""
+    label, _, value = digest.partition(":")
+    if label.lower().replace("-", "") not in ("sha1", "sha256", "sha512", "md5"):
+        return None
+    own = hashlib.new(label.lower().replace("-", ""), data).digest()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
+def page_of(record_id: str | None) -> int | None:
+    """The number in an id that this module wrote."""
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", record_id or "")
+    return int(found[1]) if found else None
+
+
+def parse(data: bytes) -> dict:
+    """record_id, record_type, date, url, refers_to_id, page_id and refers_to (of ids that this module wrote), payload_bytes, payload_digest (hex SHA-256; what the
+    header says for a revisit) and payload (None for revisits) of a WARC/1.0 or 1.1 record of any type. The payload is the body of an HTTP message, or the block.
+    Headers, lengths and digests are validated."""
+    head, found, rest = data.partition(b"\r\n\r\n")
+    if not found or head.split(b"\r\n", 1)[0] not in VERSIONS:
+        raise Damaged("not a WARC/1.0 or 1.1 record")
+    fields = fields_of(head)
+    repeated = [name for name, values in fields.items() if len(values) > 1 and name != b"warc-concurrent-to"]
+    missing = [name for name in (b"warc-record-id", b"warc-date", b"warc-type", b"content-length") if name not in fields]
+    if repeated or missing:
+        raise Damaged(f"headers repeated {repeated} or missing {missing}")
+    text = {name: values[0].decode("utf-8", "replace") for name, values in fields.items()}
+    if not re.fullmatch(r"\d{4}-\d\d-\d\d(T\d\d:\d\d(:\d\d(\.\d{1,9})?)?Z)?|\d{4}(-\d\d)?", text[b"warc-date"]) or not re.fullmatch(r"<[^<>\s]+>", text[b"warc-record-id"]) or not text[b"content-length"].isdigit():
+        raise Damaged("a date, an id or a length is malformed")
+    length, kind = int(text[b"content-length"]), text[b"warc-type"]
+    block = rest[:length]
+    if rest[length:] != b"\r\n\r\n":
+        raise Damaged("the block is not as long as Content-Length says")
+    if b"warc-block-digest" in text and holds(text[b"warc-block-digest"], block) is False:
+        raise Damaged("the block is not as its digest says")
+    payload, said = block, None
+    if text.get(b"content-type", "").startswith("application/http"):
+        http, split, payload = block.partition(b"\r\n\r\n")
+        own = fields_of(http) if split else {}
+        if b"content-length" in own and own[b"content-length"][0].isdigit():
+            said = int(own[b"content-length"][0])
+    digest = text.get(b"warc-payload-digest")
+    if kind == "revisit":
+        if payload and said is not None and len(payload) > said:
+            raise Damaged("a revisit holds more than its payload")
+        shown = (digest or "").partition(":")[2] or None
+    else:
+        if b"warc-truncated" not in text and said is not None and said != len(payload) or digest and b"warc-truncated" not in text and holds(digest, payload) is False:
+            raise Damaged("the payload is not as its headers say")
+        shown = hashlib.sha256(payload).hexdigest()
+    refers = text.get(b"warc-refers-to")
     return {
-        "page_id": None if own == b"none" else int(own), "url": fields[b"warc-target-uri"].decode() if b"warc-target-uri" in fields else None,
-        "record_type": kind, "refers_to": int(refers) if refers else None, "payload_bytes": size, "payload_digest": digest,
-        "payload": payload if kind == "response" else None,
+        "page_id": page_of(text[b"warc-record-id"]), "url": text.get(b"warc-target-uri"), "record_type": kind, "refers_to": page_of(refers), "payload_bytes": said if kind == "revisit" and said is not None else len(payload),
+        "payload_digest": shown, "record_id": text[b"warc-record-id"], "refers_to_id": refers, "date": text[b"warc-date"], "payload": None if kind == "revisit" else payload,
     }
 
 
@@ -203,7 +246,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
 
 SCHEMA = T.StructType(
-    [T.StructField(n, t) for n, t in (("page_id", T.LongType()), ("url", T.StringType()), ("record_type", T.StringType()), ("refers_to", T.LongType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("payload", T.BinaryType()))]
+    [T.StructField(n, t) for n, t in (("page_id", T.LongType()), ("url", T.StringType()), ("record_type", T.StringType()), ("refers_to", T.LongType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("record_id", T.StringType()), ("refers_to_id", T.StringType()), ("date", T.StringType()), ("payload", T.BinaryType()))]
 )
 
 
@@ -213,7 +256,7 @@ def read_archives(spark: SparkSession, folder: str, written: DataFrame | None =
     if written is not None:
         files = files.join(written.select("name"), F.element_at(F.split("path", "/"), -1) == F.col("name"), "left_semi")
     schema = SCHEMA if payloads else T.StructType(SCHEMA.fields[:-1])
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: len(schema)]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4, pa.binary()][: len(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:

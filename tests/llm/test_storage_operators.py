@@ -218,6 +218,49 @@ def test_damaged_archives_are_refused():
             warc.parse(bad)
 
 
+def foreign(version, headers, block):
+    return version + b"\r\n" + b"".join(b"%s: %s\r\n" % h for h in headers) + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    import base64
+    import hashlib
+    import struct
+
+    import zstandard
+
+    body = b"<html>caf\xc3\xa9</html>"
+    base = [(b"WARC-Date", b"2019-07-01T12:34:56Z")]
+    sha1 = b"sha1:" + base64.b32encode(hashlib.sha1(body).digest())
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n folded\r\ncontent-length: %d\r\n\r\n" % len(body)
+    records = [
+        foreign(b"WARC/1.0", [(b"WARC-Type", b"warcinfo"), (b"WARC-Record-ID", b"<urn:uuid:1>"), *base, (b"Content-Type", b"application/warc-fields")], b"software: other\r\n"),
+        foreign(b"WARC/1.0", [(b"WARC-Type", b"response"), (b"WARC-Record-ID", b"<urn:uuid:2>"), *base, (b"WARC-Target-URI", b"http://a/"), (b"Content-Type", b"application/http; msgtype=response"), (b"WARC-Payload-Digest", sha1), (b"WARC-Concurrent-To", b"<urn:uuid:3>"), (b"WARC-Concurrent-To", b"<urn:uuid:4>")], http + body),
+        foreign(b"WARC/1.1", [(b"WARC-Type", b"request"), (b"WARC-Record-ID", b"<urn:uuid:3>"), (b"WARC-Date", b"2019-07-01T12:34:56.123456Z"), (b"Content-Type", b"application/http; msgtype=request")], b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        foreign(b"WARC/1.1", [(b"WARC-Type", b"metadata"), (b"WARC-Record-ID", b"<urn:uuid:4>"), *base], b"fetchTimeMs: 1\r\n"),
+        foreign(b"WARC/1.1", [(b"WARC-Type", b"revisit"), (b"WARC-Record-ID", b"<urn:uuid:5>"), *base, (b"WARC-Refers-To", b"<urn:uuid:2>"), (b"WARC-Payload-Digest", sha1), (b"Content-Type", b"application/http; msgtype=response")], http),
+        foreign(b"WARC/1.0", [(b"WARC-Type", b"resource"), (b"WARC-Record-ID", b"<urn:uuid:6>"), *base, (b"WARC-Block-Digest", b"md5:" + hashlib.md5(b"x").hexdigest().encode())], b"x"),
+    ]
+    dictionary = zstandard.train_dictionary(2048, [r[:40] + b"%d" % i * 30 + r for i in range(400) for r in records[:3]])
+    (tmp_path / "w").mkdir()
+    for name, raw in (("plain", True), ("packed", False)):
+        kept = dictionary.as_bytes() if raw else zstandard.ZstdCompressor().compress(dictionary.as_bytes())
+        pack = zstandard.ZstdCompressor(dict_data=dictionary).compress
+        between = struct.pack("<II", 0x184D2A50, 3) + b"abc"
+        (tmp_path / "w" / f"{name}.warc.zst").write_bytes(struct.pack("<II", warc.SKIPPABLE, len(kept)) + kept + between.join(pack(r) for r in records))
+    got = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert len(got) == 2 * len(records)
+    by = {r.record_id: r for r in got}
+    assert [by[f"<urn:uuid:{i}>"].record_type for i in range(1, 7)] == ["warcinfo", "response", "request", "metadata", "revisit", "resource"]
+    page, again = by["<urn:uuid:2>"], by["<urn:uuid:5>"]
+    assert bytes(page.payload) == body and page.payload_digest == hashlib.sha256(body).hexdigest() and page.url == "http://a/" and page.page_id is None
+    assert again.payload is None and again.refers_to_id == "<urn:uuid:2>" and again.payload_bytes == len(body) and by["<urn:uuid:3>"].date.endswith(".123456Z")
+    bad = [records[1].replace(b"caf", b"cag"), records[5].replace(b"\r\n\r\nx", b"\r\n\r\ny"), records[3].replace(b"WARC-Date: 2019", b"WARC-Date: x"), records[0].replace(b"<urn:uuid:1>", b"urn:uuid:1"), records[2].replace(b"WARC-Type: request", b"WARC-Type: request\r\nWARC-Type: x"), b"WARC/0.9" + records[0][8:]]
+    for record in bad:
+        with pytest.raises(warc.Damaged):
+            warc.parse(record)
+
+
 def test_packing_covers_every_id(spark):
     from tokenizers import Tokenizer
 
