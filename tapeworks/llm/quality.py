@@ -2,9 +2,10 @@
 
 Two public vocabularies read each text's words: a byte-level BPE gives characters per token and the entropy of the token
 distribution, a piece model with byte fallback the share of its tokens that are single bytes. Texts whose measures lie far
-outside those of their group are rejected: the group is the language where it is known, else the script; its band is the
-median of all its documents, less ``width[0]`` times the lower quartile's distance from it, to ``width[1]`` times the upper
-one's above it, and never narrower than ``floors``. Bands are computed over all documents; groups of fewer than ``min_group`` documents take the band of all.
+outside those of their group are rejected: the group is the language where it is known, else the script. The language's quartiles are drawn towards those of
+the script that most of its documents have, as if ``shrink`` documents more had those; a script has its own median, and the distances of its quartiles are drawn
+towards those of all documents. So no group is too small to be judged, and a rare script isn't measured by a common one. A band is the median, less ``width[0]`` times the lower quartile's distance from it, to ``width[1]`` times the upper
+one's above it, and never narrower than ``floors``. Bands are computed over all documents.
 Texts of fewer than ``min_words`` words aren't judged by their measures.
 
 Defined results: null and empty texts have no words and fail the base rules; rows are judged one by one, so that repeated
@@ -19,7 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +32,7 @@ _NOT_SYMBOLS = bytes(b for b in range(256) if b not in SYMBOLS)
 #: Quartile distances below and above the median that a measure may lie away, and the least such distances.
 WIDTH = (6.0, 12.0)
 FLOORS = {"chars_per_token": 0.1, "byte_share": 0.1, "entropy": 0.3}
-MIN_GROUP = 50
+SHRINK = 50
 MIN_WORDS = 50
 #: What a piece that begins a word starts with, and how many words are read at once.
 SPACE = "\u2581"
@@ -146,16 +147,16 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measures(docs: DataFrame, bpe_path: str, piece_path: str) -> DataFrame:
-    """doc_id, band (language or script), the five counts and the three measures (null without words) for each row of docs.
+    """doc_id, lang, script, the five counts and the three measures (null without words) for each row of docs.
     The entropy is that of the text's tokens in bits, over the logarithm of their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         bpe, model = byte_bpe(bpe_path), pieces(piece_path)
         for batch in batches:
-            bands, rows = [], []
-            for text, lang in zip(batch.column(1), batch.column(2)):
-                text, lang = text.as_py() or "", lang.as_py()
+            scripts, rows = [], []
+            for text in batch.column(1):
+                text = text.as_py() or ""
                 counts = rules(text)
                 if counts[0]:
                     ids = np.frombuffer(bpe.ids(text), np.uint32)
@@ -166,48 +167,52 @@ def measures(docs: DataFrame, bpe_path: str, piece_path: str) -> DataFrame:
                     rows.append((*counts, len(text) / len(ids), total.imag / max(1.0, total.real), entropy))
                 else:
                     rows.append((*counts, None, None, None))
-                bands.append(lang or script(text))
+                scripts.append(script(text))
             columns = list(zip(*rows)) or [()] * 8
             arrays = [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(c, pa.float64()) for c in columns[5:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.string()), *arrays], ["doc_id", "band", *COUNTS, *MEASURES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scripts, pa.string()), *arrays], ["doc_id", "lang", "script", *COUNTS, *MEASURES])
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), lang.alias("lang"))
-    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("band", T.StringType())]
+    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("lang", T.StringType()), T.StructField("script", T.StringType())]
     fields += [T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField(c, T.DoubleType()) for c in MEASURES]
     return rows.mapInArrow(run, T.StructType(fields))
 
 
-def bands(measured: DataFrame, width: tuple[float, float] = WIDTH, floors: dict[str, float] = FLOORS, min_group: int = MIN_GROUP, min_words: int = MIN_WORDS) -> DataFrame:
-    """band, low_*, high_* for each language or script; the band of all documents is null."""
+def bands(measured: DataFrame, width: tuple[float, float] = WIDTH, floors: dict[str, float] = FLOORS, shrink: int = SHRINK, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three frames of limits (an array of low and high for each measure): by lang, by script, and one row for all documents."""
     judged = measured.where(F.col("n_words") >= min_words)
     quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES]
-    each = judged.groupBy("band").agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= min_group)
-    overall = judged.agg(F.count("*").alias("n"), *quartiles).where("n > 0").select(F.lit(None).cast("string").alias("band"), "n", *MEASURES)
-    limits = []
-    for m in MEASURES:
-        q = F.col(m)
-        limits.append((q[1] - F.greatest((q[1] - q[0]) * width[0], F.lit(floors[m]))).alias(f"low_{m}"))
-        limits.append((q[1] + F.greatest((q[2] - q[1]) * width[1], F.lit(floors[m]))).alias(f"high_{m}"))
-    return each.unionByName(overall).select("band", *limits)
-
-
-def in_band(measure: str) -> Column:
-    value = F.col(measure)
-    return F.coalesce(value.between(F.col(f"low_{measure}"), F.col(f"high_{measure}")), F.lit(True))
+    every = judged.agg(F.count("*").alias("n"), *quartiles).where("n > 0")
+    above = lambda rows, by: F.broadcast(rows.select(*by, *[F.col(m).alias(f"up_{m}") for m in MEASURES]))
+    mean = lambda x, y: (x * F.col("n") + y * shrink) / (F.col("n") + shrink)
+    spread = lambda m: F.transform(f"up_{m}", lambda y: y - F.col(f"up_{m}")[1] + F.col(m)[1])
+    plain = judged.groupBy("script").agg(F.count("*").alias("n"), *quartiles).join(above(every, []), F.lit(True))
+    by_script = cut(plain.select("script", "n", *[F.zip_with(m, spread(m), mean).alias(m) for m in MEASURES]))  # a row for each script
+    known = judged.where(F.col("lang").isNotNull())
+    main = known.groupBy("lang", "script").agg(F.count("*").alias("k")).groupBy("lang").agg(F.max_by("script", F.struct("k", "script")).alias("script"))
+    named = known.groupBy("lang").agg(F.count("*").alias("n"), *quartiles).join(main, "lang").join(above(by_script, ["script"]), "script")
+    by_lang = named.select("lang", *[F.zip_with(m, f"up_{m}", mean).alias(m) for m in MEASURES])
+
+    def limits(rows: DataFrame, by: list[str]) -> DataFrame:
+        q = {m: F.col(m) for m in MEASURES}
+        low = {m: q[m][1] - F.greatest((q[m][1] - q[m][0]) * width[0], F.lit(floors[m])) for m in MEASURES}
+        high = {m: q[m][1] + F.greatest((q[m][2] - q[m][1]) * width[1], F.lit(floors[m])) for m in MEASURES}
+        return rows.select(*by, F.array(*[F.struct(low[m].alias("low"), high[m].alias("high")) for m in MEASURES]).alias("limits"))
+
+    return limits(by_lang, ["lang"]), limits(by_script, ["script"]), limits(every, [])
 
 
 def verdicts(docs: DataFrame, bpe_path: str, piece_path: str, **options) -> DataFrame:
     """measures() with base_failed and kept for each row of docs."""
     measured = cut(measures(docs, bpe_path, piece_path))
-    limits = cut(bands(measured, **options))
-    if limits.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 bands: is lang a language?")
-    overall = limits.where(F.col("band").isNull()).drop("band").first()  # one row: the band of all documents
-    own = limits.where(F.col("band").isNotNull()).withColumnRenamed("band", "own_band")
-    named = measured.join(F.broadcast(own), F.col("band") == F.col("own_band"), "left")
-    filled = named.withColumns({c: F.coalesce(c, F.lit(overall[c] if overall else None)) for c in limits.columns if c != "band"})
+    by_lang, by_script, every = (cut(x) for x in bands(measured, **options))
+    own = by_lang.select(F.col("lang").alias("_lang"), F.col("limits").alias("_own"))
+    named = measured.join(own, F.col("lang") == F.col("_lang"), "left").join(F.broadcast(by_script.withColumnRenamed("limits", "_of_script")), "script", "left")
+    filled = named.join(F.broadcast(every.withColumnRenamed("limits", "_of_all")), F.lit(True), "left").withColumn("_limits", F.coalesce("_own", "_of_script", "_of_all"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    min_words = options.get("min_words", MIN_WORDS)
-    fair = (F.col("n_words") < min_words) | (in_band("chars_per_token") & in_band("byte_share") & in_band("entropy"))
-    return filled.select(*measured.columns, failed.alias("base_failed"), (~failed & fair).alias("kept"))
+    fair = F.col("n_words") < options.get("min_words", MIN_WORDS)
+    inside = F.lit(True)
+    for i, m in enumerate(MEASURES):
+        inside &= F.coalesce(F.col(m).between(F.col("_limits")[i]["low"], F.col("_limits")[i]["high"]), F.lit(True))
+    return filled.select(*measured.columns, failed.alias("base_failed"), (~failed & (fair | inside)).alias("kept"))

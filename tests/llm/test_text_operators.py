@@ -214,6 +214,104 @@ def test_quality_verdicts(docs, spark):
     assert not got[1000] and sum(got.values()) == 80
 
 
+def test_verdicts_match_brute_force(spark):
+    import math
+    import random
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    bpe, pieces = Tokenizer.from_file(paths[0]), sentencepiece.SentencePieceProcessor(model_file=paths[1])
+    rng = random.Random(11)
+    words = [w for w in "the of and to in a is that for it was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()]
+    other = ["".join(chr(0x0E01 + rng.randrange(40)) for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(20, 120))), rng.choice(["en", "en", "xx", None])) for i in range(60)]
+    rows += [(100 + i, " ".join(rng.choices(other, k=70)), "th" if i % 2 else None) for i in range(7)]
+    rows += [(200, " ".join(chr(0x4E00 + rng.randrange(900)) * 3 + "§" for _ in range(120)), "en"), (201, " ".join("".join(rng.choices("qxzjkvw", k=9)) for _ in range(90)), "en"), (202, "short", "en"), (203, None, "en"), (204, "", None), (205, "a b c d e " * 40, "en"), (205, "a b c d e " * 40, "en"), (None, rows[0][1], "rare")]
+    docs = spark.createDataFrame([(i, t, lang, "clash", 3) for i, t, lang in rows], "doc_id long, text string, lang string, script string, n int").repartition(3)
+    got = quality.verdicts(docs, *paths).collect()
+
+    def measured(text):
+        own = re.findall(r"[^\x20\x09-\x0D]+", text)
+        ids = bpe.encode(text, add_special_tokens=False).ids
+        counts = Counter(ids)
+        entropy = -sum(c / len(ids) * math.log2(c / len(ids)) for c in counts.values()) / max(1.0, math.log2(len(ids)))
+        split = [pieces.encode(w) for w in own]
+        return len(own), (len(text) / len(ids), sum(pieces.is_byte(p) for s in split for p in s) / max(1, sum(map(len, split))), entropy)
+
+    facts = [(i, t, lang, quality.script(t or ""), *(measured(t) if (t or "").strip() else (0, None))) for i, t, lang in rows]
+
+    def quartiles(some):
+        return [[sorted(f[5][k] for f in some)[max(0, math.ceil(q * len(some)) - 1)] for q in (0.25, 0.5, 0.75)] for k in range(3)]
+
+    def drawn(some, above):
+        return [[(x * len(some) + y * 50) / (len(some) + 50) for x, y in zip(a, b)] for a, b in zip(quartiles(some), above)]
+
+    judged = [f for f in facts if f[4] >= 50]
+    every = quartiles(judged)
+    around = lambda some: [[y - b[1] + a[1] for y in b] for a, b in zip(quartiles(some), every)]
+    scripts = {k: drawn(own, around(own)) for k in {f[3] for f in judged} for own in [[f for f in judged if f[3] == k]]}
+    main = {k: max((n, script) for script, n in Counter(f[3] for f in judged if f[2] == k).items())[1] for k in {f[2] for f in judged if f[2]}}
+    langs = {k: drawn([f for f in judged if f[2] == k], scripts[script]) for k, script in main.items()}
+    want = Counter()
+    for i, t, lang, script, n, m in facts:
+        q = langs.get(lang) or scripts.get(script) or every
+        inside = n < 50 or all(b[1] - max((b[1] - b[0]) * 6.0, f) <= x <= b[1] + max((b[2] - b[1]) * 12.0, f) for x, b, f in zip(m, q, (0.1, 0.1, 0.3)))
+        counts = quality.rules(t)
+        failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
+        want[(i, lang, script, n, None if m is None else tuple(round(x, 9) for x in m), failed, not failed and inside)] += 1
+    assert Counter((r.doc_id, r.lang, r.script, r.n_words, None if r.entropy is None else (round(r.chars_per_token, 9), round(r.byte_share, 9), round(r.entropy, 9)), r.base_failed, r.kept) for r in got) == want
+    rare = [(r.doc_id, r.n_words, r.base_failed, r.kept) for r in got if r.doc_id is not None and 100 <= r.doc_id < 107]
+    assert {r.kept for r in got if r.doc_id in (200, 201)} == {False} and sum(r[-1] for r in rare) >= 6, rare
+
+
+def brute_profile(text):
+    """The bundled trigram vector of a text, letter by letter."""
+    import unicodedata
+
+    import numpy as np
+
+    low = (text or "").lower()
+    codes = [ord(c) % (langid.ROWS - 1) + 1 if unicodedata.category(c)[0] == "L" else 0 for c in low]
+    if not any(codes):
+        return None
+    codes = [0, *codes, 0]
+    codes = [c for k, c in enumerate(codes) if c or (codes[k + 1] if k + 1 < len(codes) else 1)]
+    first, second, third = langid._vectors(langid.DIMENSIONS)
+    total = np.zeros(langid.DIMENSIONS)
+    for a, b, c in zip(codes, codes[1:], codes[2:]):
+        total += first[a].astype(float) * second[b] * third[c]
+    return total / np.linalg.norm(total) if np.linalg.norm(total) else total
+
+
+def test_languages_match_brute_force(spark):
+    import numpy as np
+
+    rng = __import__("random").Random(4)
+    words = {"en": "the quick brown fox jumps over lazy dog and then they went home".split(), "fr": "le petit chat est parti dans la forêt avec les oiseaux rentrés".split(), "ru": "быстрая лиса прыгает через ленивую собаку и потом домой".split()}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(1, 30))) + rng.choice(["", " 12!", "\n"]), lang) for i, lang in enumerate(sorted(words) * 12)]
+    rows += [(100, None, "en"), (101, "", None), (102, "12 !?", "fr"), (103, "the le", None), (103, "the le", None), (104, "ĐÞ ok", None), (None, rows[0][1], "en")]
+    docs = spark.createDataFrame([(i, t, lang, 1) for i, t, lang in rows], "doc_id long, text string, lang string, score int")
+    training = docs.where(langid.in_training(F.col("doc_id"))).select("text", "lang")
+    got = Counter((r.doc_id, r.text, r.p, round(r.s, 4)) for r in langid.identify(docs, training).select("doc_id", "text", F.col("__tw_lang.lang_pred").alias("p"), F.col("__tw_lang.score").alias("s")).collect())
+    sums = {}
+    for i, t, lang in rows:
+        if lang and i is not None and __import__("zlib").crc32(str(i).encode()) % 4 != 2 and brute_profile(t) is not None:
+            sums[lang] = sums.get(lang, 0) + brute_profile(t)
+    names = sorted(sums)
+    matrix = np.stack([sums[n] / np.linalg.norm(sums[n]) for n in names])
+    want = Counter()
+    for i, t, _ in rows:
+        v = brute_profile(t)
+        cosines = None if v is None else matrix @ v
+        want[(i, t, "und" if v is None else names[int(cosines.argmax())], 0.0 if v is None else round(float(np.clip(cosines.max(), 0, 1)), 4))] += 1
+    near = lambda a, b: set(a) == set(b) or all(x[:3] in {y[:3] for y in b} for x in a)
+    assert near(got, want) and sum(got.values()) == len(rows)
+    scores = {x[:3]: x[3] for x in want}
+    assert all(abs(scores[x[:3]] - x[3]) < 2e-4 for x in got)
+
+
 def test_language(spark):
     en, fr = "the quick brown fox jumps over the lazy dog and then they all went home together ", "le petit chat est parti dans la forêt avec les oiseaux et nous sommes rentrés chez nous "
     words = {"en": en.split(), "fr": fr.split()}
