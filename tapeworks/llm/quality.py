@@ -32,7 +32,7 @@ _NOT_SYMBOLS = bytes(b for b in range(256) if b not in SYMBOLS)
 #: Quartile distances below and above the median that a measure may lie away, and the least such distances.
 WIDTH = (6.0, 12.0)
 FLOORS = {"chars_per_token": 0.1, "byte_share": 0.1, "entropy": 0.3}
-SHRINK = 50
+SHRINK = 5
 MIN_WORDS = 50
 #: What a piece that begins a word starts with, and how many words are read at once.
 SPACE = "\u2581"

@@ -246,7 +246,7 @@ def test_verdicts_match_brute_force(spark):
         return [[sorted(f[5][k] for f in some)[max(0, math.ceil(q * len(some)) - 1)] for q in (0.25, 0.5, 0.75)] for k in range(3)]
 
     def drawn(some, above):
-        return [[(x * len(some) + y * 50) / (len(some) + 50) for x, y in zip(a, b)] for a, b in zip(quartiles(some), above)]
+        return [[(x * len(some) + y * 5) / (len(some) + 5) for x, y in zip(a, b)] for a, b in zip(quartiles(some), above)]
 
     judged = [f for f in facts if f[4] >= 50]
     every = quartiles(judged)
