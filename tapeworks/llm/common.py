@@ -50,8 +50,8 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, keep: Column) -> DataFrame:
     return joined.where(keep).select(*[own[f"`{c}`"] for c in docs.columns])
 
 
-def join_hot(rows: DataFrame, small: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
-    """rows joined with small, which has each key (of longs) once and in column n about how many of rows have it. The rows of the HOT_KEYS most frequent keys
+def join_hot(rows: DataFrame, small: DataFrame, keys: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined with small (inner or left), which has each key (of longs) once and in column n about how many of rows have it. The rows of the HOT_KEYS most frequent keys
     meet a broadcast of those keys and are then dealt out by a hash of the row, so that no task gets a hot key's rows; all others are joined by a shuffle."""
     rest = [c for c in small.columns if c not in keys]
     named = small.select(*[F.col(k).alias(f"{OWN}{k}") for k in keys], F.struct(*rest).alias(f"{OWN}rest"))
@@ -62,4 +62,5 @@ def join_hot(rows: DataFrame, small: DataFrame, keys: list[str], n: str = "n") -
     same = [F.col(f"{OWN}deal") == F.col(f"{OWN}{keys[0]}"), *[F.col(k) == F.col(f"{OWN}{k}") for k in keys[1:]], F.col(f"{OWN}cold") == F.col(f"{OWN}open")]
     both = dealt.join(named.withColumn(f"{OWN}open", F.lit(True)), same, "left")
     found = F.coalesce(f"{OWN}hot", f"{OWN}rest")
-    return both.where(found.isNotNull()).select(*[F.col(c) for c in rows.columns], *[found[c].alias(c) for c in rest])
+    kept = both if how == "left" else both.where(found.isNotNull())
+    return kept.select(*[F.col(c) for c in rows.columns], *[found[c].alias(c) for c in rest])

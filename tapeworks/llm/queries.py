@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import decontam, langid, lines, packing, pii, quality, sharding, simhash, substring, warc
+from tapeworks.llm import conversations, decontam, langid, licenses, lines, packing, phrases, pii, quality, sharding, simhash, substring, warc
 from tapeworks.llm.common import fresh_dir
 
 
@@ -95,6 +95,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", *quality.MEASURES)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    named = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", named("base_labels"), named("labels"), F.round("score", 6).alias("score"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
@@ -106,4 +120,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_phrases": op11_phrases,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_license_scan": op13_license_scan,
 }
