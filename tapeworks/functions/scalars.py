@@ -29,14 +29,21 @@ def split_code(code: Column) -> tuple[Column, Column]:
     return F.substring_index(code, ".", 1), F.when(code.contains("."), F.substring(code, F.instr(code, ".") + 1, F.length(code)))
 
 
+#: White space of any script, and the four separators U+001C to U+001F.
+SPACES = r"(?U)[\s\x1c-\x1f]+"
+
+
 def plain_name(name: Column) -> Column:
-    return F.regexp_replace(name, r"\s+", "")
+    """A name without any white space; null is empty."""
+    return F.regexp_replace(F.coalesce(name, F.lit("")), SPACES, "")
 
 
 def exchange_code(exchange: Column) -> Column:
-    known = F.upper(F.trim(exchange))
+    """An exchange's short name in capitals; null is empty."""
+    plain = F.upper(F.regexp_replace(F.coalesce(exchange, F.lit("")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+    known = plain
     for long, short in EXCHANGES.items():
-        known = F.when(F.upper(F.trim(exchange)) == long, short).otherwise(known)
+        known = F.when(plain == long, short).otherwise(known)
     return known
 
 
@@ -102,13 +109,14 @@ FAILURES = (
     (r'null value in column "([^"]+)" of relation "([^"]+)" violates not-null constraint', "数据库约束错误：表 $2 的列 $1 不能为空"),
     (r"there is no unique or exclusion constraint matching the ON CONFLICT specification", "数据库约束错误：缺少可用于 ON CONFLICT 的唯一约束"),
 )
+#: Fixed value: a vendor's prefix and its summary.
 VENDOR_ERROR = ("Tushare API error: ", "Tushare 接口错误：")
 
 
 def failure_summary(message: Column, most: int = 120) -> Column:
     """A failure message in short: known database errors by their column and table, a vendor's by its prefix, others with white space collapsed and
     cut to most characters; empty is null."""
-    plain = F.trim(F.regexp_replace(message, r"\s+", " "))
+    plain = F.trim(F.regexp_replace(message, SPACES, " "))
     out = F.when(F.length(plain) > most, F.concat(F.substring(plain, 1, most), F.lit("..."))).otherwise(plain)
     out = F.when(plain.startswith(VENDOR_ERROR[0]), F.concat(F.lit(VENDOR_ERROR[1]), F.substring(plain, len(VENDOR_ERROR[0]) + 1, 1 << 20))).otherwise(out)
     for pattern, summary in reversed(FAILURES):

@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PRICES = ("open", "high", "low", "close", "pre_close")
+PRICES = ("open", "high", "low", "close", "pre_close", "change_amount")
 
 
 def anchors(factors: DataFrame, forward: bool) -> DataFrame:
@@ -27,15 +27,14 @@ def adjustment_gaps(bars: DataFrame, factors: DataFrame, forward: bool = True, s
     return holes.unionByName(none)
 
 
-def adjusted(bars: DataFrame, factors: DataFrame, forward: bool = True, places: int = 4) -> DataFrame:
-    """Bars with prices scaled by factor over anchor. Codes with an incomplete or useless set of factors are left out (see adjustment_gaps)."""
+def adjusted(bars: DataFrame, factors: DataFrame, forward: bool = True) -> DataFrame:
+    """Bars with prices, and their change, scaled by factor over anchor in whole numbers (see scaled_price). Codes with an incomplete or useless set of factors are left out (see adjustment_gaps)."""
     pick = F.max_by if forward else F.min_by
     own = Window.partitionBy("ts_code")
     anchored = factors.withColumn("anchor", pick("adj_factor", "trade_date").over(own))
     joined = bars.join(anchored, ["ts_code", "trade_date"], "left")
     whole = joined.withColumn("_gaps", F.count_if(F.col("adj_factor").isNull()).over(own)).where("_gaps = 0 AND anchor != 0")
-    scale = F.col("adj_factor").cast("double") / F.col("anchor").cast("double")
-    scaled = [F.round(F.col(c).cast("double") * scale, places).alias(c) if c in PRICES else F.col(c) for c in bars.columns]
+    scaled = [scaled_price(F.col(c), F.col("adj_factor"), F.col("anchor")).alias(c) if c in PRICES else F.col(c) for c in bars.columns]
     return whole.select(*scaled)
 
 

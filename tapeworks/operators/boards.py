@@ -110,12 +110,18 @@ def open_days(rows: DataFrame, calendar: DataFrame, first: DataFrame, start: str
     return clipped.drop("_first").join(F.broadcast(calendar.where("is_open").select("trade_date")), "trade_date", "left_semi").select(*rows.columns)
 
 
-def dates_in_all(calendar: DataFrame, tables: Sequence[DataFrame]) -> DataFrame:
-    """Open days of the calendar on which every table has rows."""
+def dates_in_all(calendar: DataFrame, tables: Sequence[DataFrame], last: int | None = None) -> DataFrame:
+    """Open days of the calendar on which every table has rows; of them the last ones, if a number of days is given (0 or less: all)."""
     out = calendar.where("is_open").select("trade_date")
     for rows in tables:
         out = out.join(rows.select("trade_date").distinct(), "trade_date", "left_semi")
-    return out
+    return out.orderBy(F.desc("trade_date")).limit(last) if last and last > 0 else out
+
+
+def latest_sets(rows: DataFrame, index: str, date: str, at: str) -> DataFrame:
+    """The rows of each index on its own last date up to at: one exchange by index."""
+    last = F.max(date).over(Window.partitionBy(index))
+    return rows.where(F.col(date) <= at).withColumn("_last", last).where(F.col(date) == F.col("_last")).drop("_last")
 
 
 def latest_open_day(days: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -22,17 +22,51 @@ def run_summary(runs: DataFrame, by: str) -> DataFrame:
     )
 
 
-def freshness(spec: DataFrame, observed: DataFrame, state: DataFrame, last_open: DataFrame, reference_day: str) -> DataFrame:
-    """dataset, cadence, latest, date_source, expected, lag_days, status. spec: dataset, cadence, observed_only; observed and state: dataset, and the date that the table and the
-    recorded state reach; last_open: one row, last_open."""
+def freshness(spec: DataFrame, observed: DataFrame, state: DataFrame, last_open: DataFrame, reference_day: str, synced: DataFrame | None = None) -> DataFrame:
+    """dataset, cadence, latest, date_source, expected, lag_days, status, and what else spec has. spec: dataset, cadence, observed_only (the table's date counts where there is one), and with synced
+    has_date (whether the table has a date at all); observed, state and synced: dataset, and the date that the table, the recorded state and the last sync reach; last_open: one row, last_open.
+    date_source names those of table and state whose date is the latest, or else the sync of a table without a date."""
     rows = spec.join(observed.withColumnRenamed("date", "_seen"), "dataset", "left").join(state.withColumnRenamed("date", "_state"), "dataset", "left").join(F.broadcast(last_open), F.lit(True), "left")
-    known = F.when(~F.col("observed_only"), F.col("_state"))
-    latest = F.greatest(known, F.col("_seen"))
-    source = F.when(known.isNotNull() & F.col("_seen").isNotNull(), "state+observed").when(known.isNotNull(), "state").when(F.col("_seen").isNotNull(), "observed").otherwise("none")
+    latest = F.when(F.col("observed_only") & F.col("_seen").isNotNull(), F.col("_seen")).otherwise(F.greatest("_state", "_seen"))
+    named = F.array_compact(F.array(F.when(F.col("_state") == latest, "state"), F.when(F.col("_seen") == latest, "observed")))
+    source = F.when(F.size(named) > 0, F.array_join(named, "+")).otherwise("none")
+    if synced is not None:
+        rows = rows.join(synced.withColumnRenamed("date", "_synced"), "dataset", "left")
+        by_sync = latest.isNull() & ~F.col("has_date") & F.col("_synced").isNotNull()
+        source, latest = F.when(by_sync, "sync_date").otherwise(source), F.when(by_sync, F.col("_synced")).otherwise(latest)
+    kept = [c for c in spec.columns if c not in ("dataset", "cadence", "observed_only", "has_date")]
     expected = F.when(F.col("cadence").isin(*TRADING), F.col("last_open")).otherwise(F.to_date(F.lit(reference_day)))
     timed = rows.withColumns({"latest": latest, "date_source": source, "expected": expected})
     lag = timed.withColumn("lag_days", F.when(F.col("latest").isNotNull(), F.greatest(F.datediff("expected", "latest"), F.lit(0))))
-    return lag.withColumn("status", status(F.col("cadence"), F.col("lag_days"))).select("dataset", "cadence", "latest", "date_source", "expected", "lag_days", "status")
+    return lag.withColumn("status", status(F.col("cadence"), F.col("lag_days"))).select("dataset", "cadence", "latest", "date_source", "expected", "lag_days", "status", *kept)
+
+
+#: The order of states in lists. Fixed values.
+STATES = ("stale", "lagging", "unknown", "disabled", "fresh")
+
+
+def worst_first(rows: DataFrame) -> list[Column]:
+    """The order in lists: by state, most lag, and name."""
+    place = F.lit(len(STATES))
+    for i, name in enumerate(STATES):
+        place = F.when(F.col("status") == name, i).otherwise(place)
+    return [place, F.desc(F.coalesce("lag_days", F.lit(0))), F.col("dataset")]
+
+
+def lagging(fresh: DataFrame, n: int = 5) -> DataFrame:
+    """The first n datasets that lag or are stale."""
+    return fresh.where(F.col("status").isin("lagging", "stale")).orderBy(*worst_first(fresh)).limit(n)
+
+
+def grouped(fresh: DataFrame, by: str = "domain") -> DataFrame:
+    """fresh with each dataset's place in its domain's list."""
+    return fresh.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*worst_first(fresh))))
+
+
+def summary(fresh: DataFrame, by: str = "domain") -> DataFrame:
+    """Datasets by status, for each domain and for all (a null domain), in one pass: is_total, domain, total, fresh, lagging, stale, unknown, disabled."""
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("fresh", "lagging", "stale", "unknown", "disabled")]
+    return fresh.rollup(by).agg((F.grouping(by) == 1).alias("is_total"), F.count("*").alias("total"), *counts)
 
 
 def status(cadence: Column, lag: Column) -> Column:
@@ -92,6 +126,56 @@ def alerts(runs: DataFrame, fresh: DataFrame, now: str, each: int = 8, cap: int
     return once.orderBy("rank", "subject").limit(cap)
 
 
+REPORT = ("section", "place", "name", "n", "detail")
+
+
+def in_local_day(time: Column, day: str, zone: str) -> Column:
+    """Whether a time falls on a day of a zone."""
+    here = lambda c: F.convert_timezone(F.lit(zone), F.current_timezone(), c.cast("timestamp_ntz"))
+    start = F.lit(day).cast("date")
+    own = time.cast("timestamp_ntz")
+    return (own >= here(start)) & (own < here(F.date_add(start, 1)))
+
+
+def day_report(executions: DataFrame, runs: DataFrame, fresh: DataFrame, day: str, zone: str, now: str, each: int = 8, cap: int = 12, stuck_minutes: int = 30) -> DataFrame:
+    """section, place, name, n, detail: the report of a local day. ``freshness``: datasets by status; ``execution``: executions requested on the day (id, name, status, requested_at, started_at,
+    message) by status; ``run``: run_summary() of the runs (dataset, ...) started on it; ``alert``: stale datasets (most lag first), failed executions (by request), those that have run too
+    long at now, and datasets that fetched rows and wrote none; each once, cap in all."""
+    own = executions.where(in_local_day(F.col("requested_at"), day, zone))
+    by_dataset = run_summary(runs.where(in_local_day(F.col("started_at"), day, zone)), "dataset")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+    def counted(rows: DataFrame, section: str, states: tuple[str, ...]) -> DataFrame:
+        s = F.lower("status")
+        pairs = F.array(F.struct(F.lit(0).alias("place"), F.lit("total").alias("name"), F.col("_total").alias("n")), *[F.struct(F.lit(i).alias("place"), F.lit(x).alias("name"), F.col(f"_{x}").alias("n")) for i, x in enumerate(states, 1)])
+        one = rows.agg(F.count("*").alias("_total"), *[F.count_if(s == x).alias(f"_{x}") for x in states])
+        return one.select(F.lit(section).alias("section"), F.explode(pairs).alias("x")).select("section", "x.*", F.lit(None).cast("string").alias("detail"))
+
+    listed = by_dataset.select(
+        F.lit("run").alias("section"), F.row_number().over(Window.orderBy("dataset")).alias("place"), text("dataset").alias("name"), F.col("runs").alias("n"),  # a row a dataset
+        F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), text(c)) for c in ("n_success", "n_failed", "n_running", "rows_fetched", "rows_written", "last_status")]).alias("detail"),
+    )
+
+    def alert(rows: DataFrame, kind: int, name: str, order: list[Column], subject: Column, n: Column, detail: Column, most: int | None) -> DataFrame:
+        some = rows.orderBy(*order).limit(most or cap)  # the report has no place for more than cap
+        placed = some.withColumn("_p", F.row_number().over(Window.orderBy(*order)))
+        return placed.select(F.lit(kind).alias("_kind"), "_p", F.lit(name).alias("kind"), subject.alias("subject"), n.cast("long").alias("n"), detail.alias("detail"))
+
+    none, minutes = F.lit(""), (F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("started_at").cast("timestamp"))) / 60
+    who, by_request, by_name = F.concat_ws("#", text("name"), text("id")), [F.col("requested_at"), F.col("id")], [F.col("dataset")]
+    found = (
+        alert(fresh.where("status = 'stale'"), 1, "stale", [F.desc(F.coalesce("lag_days", F.lit(0))), F.col("dataset")], text("dataset"), F.col("lag_days"), none, each)
+        .unionByName(alert(own.where("lower(status) = 'failed'"), 2, "failed", by_request, who, F.lit(None), F.substring(F.trim(text("message")), 1, 60), each))
+        .unionByName(alert(own.where((F.lower("status") == "running") & (minutes >= stuck_minutes)), 3, "running_long", by_request, who, F.floor(minutes), none, None))
+        .unionByName(alert(by_dataset.where("rows_fetched > 0 AND rows_written = 0"), 4, "nothing_written", by_name, text("dataset"), F.col("rows_fetched"), none, None))
+    )
+    once = found.groupBy("kind", "subject", "n", "detail").agg(F.min("_kind").alias("_kind"), F.min("_p").alias("_p"))
+    order = F.row_number().over(Window.orderBy("_kind", "_p"))  # four lists of bounded length
+    alerts = once.withColumn("place", order).where(F.col("place") <= cap).select(F.lit("alert").alias("section"), "place", F.concat_ws(":", "kind", "subject").alias("name"), "n", "detail")
+    parts = [counted(fresh, "freshness", ("fresh", "lagging", "stale", "unknown", "disabled")), counted(own, "execution", ("success", "failed", "running", "queued")), listed, alerts]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).select(*REPORT)
+
+
 #: States in which a run still counts as going on, and those that end it.
 ACTIVE = ("queued", "running", "canceling")
 ENDED = ("success", "failed", "canceled", "partial_success")

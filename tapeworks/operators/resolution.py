@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeworks.functions.scalars import exchange_code, plain_name
 from tapeworks.operators.upsert import keep_one
 
 UNKNOWN_PRIORITY = 10_000
@@ -68,6 +69,49 @@ def merge_fields(rows: DataFrame, keys: Sequence[str], sources: Sequence[str], r
     return chosen.select(*keys, *[field(c).alias(c) for c in rest], provenance("_sources"))
 
 
+#: How a dataset is resolved: a row for each.
+POLICY = "dataset string, mode string, primary_source string, fallback_sources array<string>, field_rules map<string,struct<sources:array<string>,skip_empty:boolean>>, freshness_field string, version int, enabled boolean"
+BY_PRIORITY, BY_FIELD, BY_FRESHNESS = ("primary", "fallback", "primary_fallback"), "field_merge", "freshness_first"
+
+
+def resolve_by_policy(rows: DataFrame, keys: Sequence[str], policies: DataFrame, status: DataFrame | None = None) -> DataFrame:
+    """rows (dataset, keys, fields, source) of many datasets resolved in one plan and one exchange, each by its policy (POLICY): a row for each dataset and key, with fields, source,
+    candidate_sources, resolution_mode, resolution_policy_version and resolution_audit. A dataset without a policy, or whose policy isn't enabled, gives no row; an unknown mode is an error.
+    Sources count if status (dataset, source, is_active) calls them active; where it calls none of a dataset so, all do. An unknown source comes after the policy's, by name.
+    freshness_field (null: updated_at) is compared as a time, null last. A key's candidates are gathered: as many as it has sources."""
+    fields = [c for c in rows.columns if c not in ("dataset", "source", *keys)]
+    whole = reduce(lambda a, b: a & b, [F.coalesce(F.trim(F.col(k).cast("string")) != "", F.lit(False)) for k in keys])
+    chain = F.array_distinct(F.filter(F.concat(F.array("primary_source"), F.coalesce("fallback_sources", F.array().cast("array<string>"))), lambda s: s.isNotNull() & (s != "")))
+    named = policies.where("enabled").select("dataset", F.struct("mode", "version", chain.alias("chain"), "field_rules", F.coalesce("freshness_field", F.lit("updated_at")).alias("freshness_field")).alias("_policy"))
+    own = rows.where(whole).join(named, "dataset")
+    if status is not None:
+        active = status.where("is_active").groupBy("dataset").agg(F.collect_set("source").alias("_on"))
+        own = own.join(active, "dataset", "left").where(F.col("_on").isNull() | F.array_contains("_on", F.col("source")))
+    place = F.coalesce(F.nullif(F.array_position("_policy.chain", F.col("source")), F.lit(0)), F.lit(UNKNOWN_PRIORITY))
+    fresh = F.coalesce(*[F.when(F.col("_policy.freshness_field") == c, F.unix_micros(F.try_to_timestamp(F.col(c).cast("string")))) for c in fields], F.lit(None).cast("long"))
+    candidate = F.struct(place.cast("int").alias("place"), "source", fresh.alias("fresh"), F.struct(*fields).alias("row"))
+    met = own.groupBy("dataset", *keys).agg(F.collect_list(candidate).alias("_all"), F.first("_policy").alias("_policy"))
+    mode = F.col("_policy.mode")
+    first = F.array_min(F.transform("_all", lambda x: F.struct(x["place"].alias("place"), x["source"].alias("source"))))["source"]
+    newest = F.array_min(F.transform("_all", lambda x: F.struct(x["fresh"].isNull().alias("none"), (-F.coalesce(x["fresh"], F.lit(0))).alias("age"), x["place"].alias("place"), x["source"].alias("source"))))["source"]
+    unknown = F.raise_error(F.concat(F.lit("no such mode: "), F.coalesce(mode, F.lit("null")))).cast("string")
+    chosen = met.withColumn("source", F.when(mode.isin(*BY_PRIORITY, BY_FIELD), first).when(mode == BY_FRESHNESS, newest).otherwise(unknown))
+    row_of = lambda source: F.filter("_all", lambda x: x["source"] == source)[0]["row"]
+
+    def field(c: str) -> Column:
+        rule = F.try_element_at("_policy.field_rules", F.lit(c))
+        usable = F.filter(rule["sources"], lambda s: F.exists("_all", lambda x: (x["source"] == s) & (x["row"][c].isNotNull() | ~F.coalesce(rule["skip_empty"], F.lit(False)))))
+        ruled = (mode == BY_FIELD) & (F.coalesce(F.size(usable), F.lit(0)) > 0)
+        return F.when(ruled, row_of(F.get(usable, F.lit(0)))[c]).otherwise(row_of(F.col("source"))[c])
+
+    listed = F.array_sort(F.array_distinct(F.transform("_all", lambda x: x["source"])))
+    audit = F.to_json(F.struct(mode.alias("mode"), F.col("_policy.version").alias("version"), F.col("source"), listed.alias("candidates")))
+    return chosen.select(
+        "dataset", *keys, *[field(c).alias(c) for c in fields], "source", F.array_join(listed, ",").alias("candidate_sources"), mode.alias("resolution_mode"),
+        F.col("_policy.version").alias("resolution_policy_version"), audit.alias("resolution_audit"),
+    )
+
+
 def touched(rows: DataFrame, changed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The candidates of those keys alone that have changed."""
     return rows.join(changed.select(*keys).distinct(), list(keys), "left_semi")
@@ -107,6 +151,13 @@ def compare(a: DataFrame, b: DataFrame, keys: Sequence[str], fields: Sequence[st
     return rows.select(*keys, "presence", F.size("_bad").alias("n_violations"), F.array_join(F.array_sort(F.transform("_bad", lambda c: c["field"])), ",").alias("violations"), F.array_max("_bad")["field"].alias("worst"))
 
 
+def compare_masters(a: DataFrame, b: DataFrame, code: str) -> DataFrame:
+    """code, result (only_a, only_b, diff, same) of two security masters by plain name and exchange (null: empty). Which side has a code is marked, not told from its values."""
+    plain = lambda rows, tag: rows.select(code, F.lit(True).alias(f"_{tag}"), plain_name(F.col("name")).alias(f"_n_{tag}"), exchange_code(F.col("exchange")).alias(f"_x_{tag}"))
+    differ = (F.col("_n_a") != F.col("_n_b")) | (F.col("_x_a") != F.col("_x_b"))
+    return plain(a, "a").join(plain(b, "b"), code, "full").select(code, F.when(F.col("_b").isNull(), "only_a").when(F.col("_a").isNull(), "only_b").when(differ, "diff").otherwise("same").alias("result"))
+
+
 def direction_mismatch(a: Column, b: Column) -> Column:
     """Whether two net amounts, null as 0, have different signs."""
     return F.signum(F.coalesce(a, F.lit(0)).cast("double")) != F.signum(F.coalesce(b, F.lit(0)).cast("double"))

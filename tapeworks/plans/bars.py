@@ -49,20 +49,27 @@ _SCALE = "CAST(adj_factor AS DOUBLE) / nullif(CAST(anchor AS DOUBLE), 0)"
 
 
 def _adjusted_sql(pick: str) -> str:
-    prices = ", ".join(f"round(CAST({c} AS DOUBLE) * ({_SCALE}), 4) AS {c}" for c in bars.PRICES)
+    """Prices in whole numbers: the quotient, and one more if the remainder is over half, or half and the quotient odd."""
+    p, f, e = "CAST({c} * 10000 AS HUGEINT)", "CAST(adj_factor * 100000000 AS HUGEINT)", "CAST(anchor * 100000000 AS HUGEINT)"
+    q, r = f"((abs({p}) * {f}) // {e})", f"((abs({p}) * {f}) % {e})"
+    price = f"CAST(sign({p}) * ({q} + CASE WHEN 2 * {r} > {e} OR (2 * {r} = {e} AND {q} % 2 = 1) THEN 1 ELSE 0 END) AS DECIMAL(22,4)) / 10000 AS {{c}}"
     return f"""WITH f AS (SELECT *, {pick}(adj_factor, trade_date) OVER (PARTITION BY ts_code) AS anchor FROM adj_factor),
-    j AS (SELECT b.*, adj_factor, anchor, count(*) FILTER (WHERE adj_factor IS NULL) OVER (PARTITION BY b.ts_code) AS gaps FROM panel_bar b LEFT JOIN f USING (ts_code, trade_date))
-    SELECT ts_code, trade_date, {prices}, vol, amount FROM j WHERE gaps = 0"""
+    j AS (SELECT b.*, close - pre_close AS change_amount, adj_factor, anchor, count(*) FILTER (WHERE adj_factor IS NULL) OVER (PARTITION BY b.ts_code) AS gaps FROM panel_bar b LEFT JOIN f USING (ts_code, trade_date))
+    SELECT ts_code, trade_date, {", ".join(price.format(c=c) for c in bars.PRICES)}, vol, amount FROM j WHERE gaps = 0"""
+
+
+def changed(m):
+    return m.panel_bar.withColumn("change_amount", F.col("close") - F.col("pre_close"))
 
 
 @query("bar1_forward_adjusted", _adjusted_sql("arg_max"))
 def forward(m):
-    return bars.adjusted(m.panel_bar, m.adj_factor)
+    return bars.adjusted(changed(m), m.adj_factor)
 
 
 @query("bar1_backward_adjusted", _adjusted_sql("arg_min"))
 def backward(m):
-    return bars.adjusted(m.panel_bar, m.adj_factor, forward=False)
+    return bars.adjusted(changed(m), m.adj_factor, forward=False)
 
 
 @query(

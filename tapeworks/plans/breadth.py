@@ -240,7 +240,12 @@ def wn20(m):
     return m.calendar.select("trade_date", *[F.lag("trade_date", k).over(w).alias(name) for k, name in ((1, "prev"), (19, "listed"), (21, "base"))])
 
 
-@query("jn10_board_bridge", "SELECT d.trade_date, d.ts_code AS board, r.ts_code, r.amount FROM dc_member d JOIN mood_rows r ON r.trade_date = d.trade_date AND r.ts_code = d.con_code")
+@query(
+    "jn10_board_bridge",
+    "SELECT d.trade_date, d.ts_code AS board, r.ts_code, r.amount FROM dc_member d JOIN dc_index i ON i.trade_date = d.trade_date AND i.ts_code = d.ts_code AND i.idx_type = 'concept' JOIN mood_rows r ON r.trade_date = d.trade_date AND r.ts_code = d.con_code",
+)
 def jn10(m):
-    members = m.dc_member.select("trade_date", F.col("ts_code").alias("board"), F.col("con_code").alias("ts_code"))
+    """Members of the boards of one kind with their metrics."""
+    kind = m.dc_index.where("idx_type = 'concept'").select("trade_date", "ts_code")
+    members = m.dc_member.join(kind, ["trade_date", "ts_code"], "left_semi").select("trade_date", F.col("ts_code").alias("board"), F.col("con_code").alias("ts_code"))
     return members.join(eligible(m).select("trade_date", "ts_code", "amount"), ["trade_date", "ts_code"])

@@ -92,4 +92,5 @@ def kline(m):
 
 @query("bar9_header_defaults")
 def header(m):
-    return indicators.header(bars.adjusted(m.panel_bar, m.adj_factor).withColumns({c: F.col(c).cast("double") for c in bars.PRICES}), m.panel_bar.withColumns({c: F.col(c).cast("double") for c in bars.PRICES}), m.daily_basic)
+    doubles = lambda rows: rows.withColumns({c: F.col(c).cast("double") for c in bars.PRICES if c in rows.columns})
+    return indicators.header(doubles(bars.adjusted(m.panel_bar, m.adj_factor)), doubles(m.panel_bar), m.daily_basic)

@@ -100,6 +100,32 @@ def rs8(m):
     return resolution.resolve(resolution.active(cand(m), status), KEYS, ["a", "b"]).select(*KEYS, "net_amount", "source")
 
 
+#: Datasets of the policy queries, by code, and how each is resolved.
+_POLICIES = [
+    ("d0", "primary_fallback", "b", ["a", "b"], {}, None, 4, True), ("d1", "field_merge", "a", ["b"], {"buy_sm_amount": (["b", "a"], False), "buy_md_amount": (["c", "b"], True)}, None, 2, True),
+    ("d2", "freshness_first", "a", ["b"], {}, "seen", 7, True), ("d3", "primary", "a", [], {}, None, 1, False), ("d4", "fallback", "a", ["b"], {}, None, 1, True), ("d5", "primary", "z", [""], {}, None, 9, True),
+]
+
+
+@query(
+    "rs5_policy_table",
+    """WITH x AS (SELECT 'd' || ts_code % 7 AS dataset, *, trade_date + CASE WHEN source = 'b' THEN CAST(ts_code % 3 AS INTEGER) - 1 ELSE 0 END AS seen FROM cand),
+    y AS (SELECT * FROM x WHERE dataset NOT IN ('d3', 'd6') AND NOT (dataset = 'd4' AND source = 'a')),
+    f AS (SELECT dataset, ts_code, trade_date, coalesce(a.source, b.source) AS any_source, a.source IS NOT NULL AS has_a, b.source IS NOT NULL AS has_b, a.buy_sm_amount AS sm_a, b.buy_sm_amount AS sm_b, a.buy_md_amount AS md_a, b.buy_md_amount AS md_b, a.seen AS seen_a, b.seen AS seen_b
+      FROM (SELECT * FROM y WHERE source = 'a') a FULL JOIN (SELECT * FROM y WHERE source = 'b') b USING (dataset, ts_code, trade_date)),
+    g AS (SELECT *, CASE WHEN NOT has_a THEN 'b' WHEN NOT has_b THEN 'a' WHEN dataset = 'd0' THEN 'b' WHEN dataset = 'd2' THEN CASE WHEN seen_b > seen_a THEN 'b' ELSE 'a' END ELSE 'a' END AS source FROM f)
+    SELECT dataset, ts_code, trade_date, CASE WHEN dataset = 'd1' THEN CASE WHEN has_b THEN sm_b ELSE sm_a END WHEN source = 'a' THEN sm_a ELSE sm_b END AS buy_sm_amount,
+    CASE WHEN dataset = 'd1' AND md_b IS NOT NULL THEN md_b WHEN source = 'a' THEN md_a ELSE md_b END AS buy_md_amount, source, CASE WHEN has_a AND has_b THEN 'a,b' WHEN has_a THEN 'a' ELSE 'b' END AS candidate_sources,
+    CASE dataset WHEN 'd0' THEN 'primary_fallback' WHEN 'd1' THEN 'field_merge' WHEN 'd2' THEN 'freshness_first' WHEN 'd4' THEN 'fallback' ELSE 'primary' END AS resolution_mode, CASE dataset WHEN 'd0' THEN 4 WHEN 'd1' THEN 2 WHEN 'd2' THEN 7 WHEN 'd4' THEN 1 ELSE 9 END AS resolution_policy_version FROM g""",
+)
+def rs5_policy(m):
+    rows = cand(m).withColumns({"dataset": F.concat(F.lit("d"), (F.col("ts_code") % 7).cast("string")), "seen": F.when(F.col("source") == "b", F.expr("date_add(trade_date, int(ts_code % 3) - 1)")).otherwise(F.col("trade_date"))})
+    policies = m.spark.createDataFrame(_POLICIES, resolution.POLICY)
+    status = m.spark.createDataFrame([("d4", "a", False), ("d4", "b", True), ("d0", "a", False)], "dataset string, source string, is_active boolean")
+    found = resolution.resolve_by_policy(rows.select("dataset", *KEYS, "source", "buy_sm_amount", "buy_md_amount", "seen"), KEYS, policies, status)
+    return found.drop("seen", "resolution_audit")
+
+
 @query("rs10_touched_keys", f"SELECT ts_code, trade_date, net_amount, source FROM ({_PRIORITY.format(first='a')}) WHERE (ts_code, trade_date) IN (SELECT (ts_code, trade_date) FROM moneyflow_b WHERE year(trade_date) = 1997)")
 def rs10(m):
     changed = m.moneyflow_b.where("year(trade_date) = 1997")
@@ -161,19 +187,21 @@ def rc2(m):
     return ends.withColumn("start_date", F.date_sub("end_date", 29))
 
 
+_PLAIN_X = "CASE coalesce({x}, '') WHEN 'SSE' THEN 'SH' WHEN 'SZSE' THEN 'SZ' WHEN 'BSE' THEN 'BJ' ELSE coalesce({x}, '') END"
+
+
 @query(
     "rc3_security_reconcile",
-    """WITH a AS (SELECT ts_code, regexp_replace(name, '\\s+', '', 'g') AS n, exchange AS x FROM security WHERE ts_code % 13 <> 0), b AS (SELECT ts_code, regexp_replace(CASE WHEN ts_code % 7 = 0 THEN name || ' ltd' ELSE name END, '\\s+', '', 'g') AS n, CASE WHEN ts_code % 11 = 0 THEN 'BSE' ELSE exchange END AS x FROM security WHERE ts_code % 17 <> 0)
-    SELECT ts_code, CASE WHEN b.n IS NULL THEN 'only_a' WHEN a.n IS NULL THEN 'only_b' WHEN a.n <> b.n OR a.x <> b.x THEN 'diff' ELSE 'same' END AS result FROM a FULL JOIN b USING (ts_code)""",
+    f"""WITH a AS (SELECT ts_code, TRUE AS here, coalesce(regexp_replace(CASE WHEN ts_code % 5 <> 0 THEN name END, '\\s+', '', 'g'), '') AS n, {_PLAIN_X.format(x="exchange")} AS x FROM security WHERE ts_code % 13 <> 0),
+    b AS (SELECT ts_code, TRUE AS here, coalesce(regexp_replace(CASE WHEN ts_code % 10 = 0 THEN NULL WHEN ts_code % 7 = 0 THEN name || ' ltd' ELSE name END, '\\s+', '', 'g'), '') AS n, {_PLAIN_X.format(x="CASE WHEN ts_code % 11 = 0 THEN 'BSE' WHEN ts_code % 6 <> 0 THEN exchange END")} AS x FROM security WHERE ts_code % 17 <> 0)
+    SELECT ts_code, CASE WHEN b.here IS NULL THEN 'only_a' WHEN a.here IS NULL THEN 'only_b' WHEN a.n <> b.n OR a.x <> b.x THEN 'diff' ELSE 'same' END AS result FROM a FULL JOIN b USING (ts_code)""",
 )
 def rc3(m):
-    from tapeworks.functions.scalars import exchange_code, plain_name
-
-    plain = lambda rows, tag: rows.select("ts_code", plain_name(F.col("name")).alias(f"n_{tag}"), exchange_code(F.col("exchange")).alias(f"x_{tag}"))
-    other = m.security.where("ts_code % 17 != 0").withColumns({"name": F.when(F.col("ts_code") % 7 == 0, F.concat("name", F.lit(" ltd"))).otherwise(F.col("name")), "exchange": F.when(F.col("ts_code") % 11 == 0, "BSE").otherwise(F.col("exchange"))})
-    both = plain(m.security.where("ts_code % 13 != 0"), "a").join(plain(other, "b"), "ts_code", "full")
-    differ = (F.col("n_a") != F.col("n_b")) | (F.col("x_a") != F.col("x_b"))
-    return both.select("ts_code", F.when(F.col("n_b").isNull(), "only_a").when(F.col("n_a").isNull(), "only_b").when(differ, "diff").otherwise("same").alias("result"))
+    c = F.col("ts_code")
+    a = m.security.where(c % 13 != 0).withColumn("name", F.when(c % 5 != 0, F.col("name")))
+    name = F.when(c % 10 == 0, None).when(c % 7 == 0, F.concat("name", F.lit(" ltd"))).otherwise(F.col("name"))
+    b = m.security.where(c % 17 != 0).withColumns({"name": name, "exchange": F.when(c % 11 == 0, "BSE").when(c % 6 != 0, F.col("exchange"))})
+    return resolution.compare_masters(a, b, "ts_code")
 
 
 @query("rc4_gate", "SELECT only_a, only_b, n_bad, concat_ws(',', CASE WHEN n_bad > 5 THEN 'n_bad' END, CASE WHEN only_b > 0 THEN 'only_b' END) AS failed FROM (SELECT count(*) FILTER (WHERE presence = 'only_a') AS only_a, count(*) FILTER (WHERE presence = 'only_b') AS only_b, count(*) FILTER (WHERE n_violations > 0) AS n_bad FROM rc_rows)")
@@ -208,11 +236,14 @@ def fr3(m):
 _CADENCE = "CASE ts_code % 5 WHEN 0 THEN 'reference' WHEN 1 THEN 'daily' WHEN 2 THEN 'weekly' WHEN 3 THEN 'monthly' ELSE 'event' END"
 SQL_VIEWS |= {
     "fr_observed": "SELECT ts_code AS dataset, max(trade_date) AS date FROM daily_bar WHERE ts_code % 9 <> 0 GROUP BY 1",
-    "fr_state": "SELECT ts_code AS dataset, max(trade_date) AS date FROM daily_bar WHERE ts_code % 4 <> 0 AND year(trade_date) < 2001 GROUP BY 1",
+    "fr_state": "SELECT ts_code AS dataset, max(trade_date) AS date FROM daily_bar WHERE ts_code % 4 <> 0 AND (year(trade_date) < 2001 OR ts_code % 7 = 0) GROUP BY 1",
+    "fr_synced": "SELECT ts_code AS dataset, max(trade_date) AS date FROM daily_bar WHERE ts_code % 8 = 0 GROUP BY 1",
+    "fr_known": f"""SELECT ts_code AS dataset, {_CADENCE} AS cadence, CASE ts_code % 3 WHEN 0 THEN 'equity' WHEN 1 THEN 'index' ELSE 'board' END AS domain, ts_code % 4 <> 0 AS has_date, t.date AS known, o.date AS seen, y.date AS synced,
+      CASE WHEN ts_code % 6 = 0 AND o.date IS NOT NULL THEN o.date ELSE greatest(t.date, o.date) END AS top FROM security s LEFT JOIN fr_observed o ON o.dataset = s.ts_code LEFT JOIN fr_state t ON t.dataset = s.ts_code LEFT JOIN fr_synced y ON y.dataset = s.ts_code""",
     "fr_rows": f"""SELECT *, CASE WHEN lag_days IS NULL THEN 'unknown' {' '.join(f"WHEN cadence = '{c}' THEN CASE WHEN lag_days <= {a} THEN 'fresh' WHEN lag_days <= {b} THEN 'lagging' ELSE 'stale' END" for c, (a, b) in health.CADENCES.items())} END AS status FROM (
-      SELECT *, CASE WHEN latest IS NOT NULL THEN greatest(date_diff('day', latest, expected), 0) END AS lag_days FROM (SELECT s.ts_code AS dataset, {_CADENCE} AS cadence, greatest(CASE WHEN s.ts_code % 6 <> 0 THEN t.date END, o.date) AS latest,
-      CASE WHEN s.ts_code % 6 <> 0 AND t.date IS NOT NULL AND o.date IS NOT NULL THEN 'state+observed' WHEN s.ts_code % 6 <> 0 AND t.date IS NOT NULL THEN 'state' WHEN o.date IS NOT NULL THEN 'observed' ELSE 'none' END AS date_source,
-      CASE WHEN s.ts_code % 5 IN (1, 2, 3) THEN (SELECT max(trade_date) FROM trade_calendar WHERE is_open) ELSE DATE '2002-01-01' END AS expected FROM security s LEFT JOIN fr_observed o ON o.dataset = s.ts_code LEFT JOIN fr_state t ON t.dataset = s.ts_code))""",
+      SELECT *, CASE WHEN latest IS NOT NULL THEN greatest(date_diff('day', latest, expected), 0) END AS lag_days FROM (SELECT dataset, cadence, domain, CASE WHEN top IS NULL AND NOT has_date THEN synced ELSE top END AS latest,
+      CASE WHEN top IS NULL THEN CASE WHEN NOT has_date AND synced IS NOT NULL THEN 'sync_date' ELSE 'none' END WHEN known = top AND seen = top THEN 'state+observed' WHEN known = top THEN 'state' ELSE 'observed' END AS date_source,
+      CASE WHEN cadence IN ('daily', 'weekly', 'monthly') THEN (SELECT max(trade_date) FROM trade_calendar WHERE is_open) ELSE DATE '2002-01-01' END AS expected FROM fr_known))""",
 }
 
 
@@ -232,19 +263,22 @@ def observed(m):
 
 
 def state(m):
-    return m.daily_bar.where("ts_code % 4 != 0 and year(trade_date) < 2001").groupBy(F.col("ts_code").alias("dataset")).agg(F.max("trade_date").alias("date"))
+    return m.daily_bar.where("ts_code % 4 != 0 and (year(trade_date) < 2001 or ts_code % 7 = 0)").groupBy(F.col("ts_code").alias("dataset")).agg(F.max("trade_date").alias("date"))
 
 
 def fresh(m):
     cadence = F.element_at(F.array(*[F.lit(c) for c in health.CADENCES]), (F.col("ts_code") % 5 + 1).cast("int"))
-    spec = m.security.select(F.col("ts_code").alias("dataset"), cadence.alias("cadence"), (F.col("ts_code") % 6 == 0).alias("observed_only"))
+    c = F.col("ts_code")
+    domain = F.when(c % 3 == 0, "equity").when(c % 3 == 1, "index").otherwise("board")
+    spec = m.security.select(c.alias("dataset"), cadence.alias("cadence"), (c % 6 == 0).alias("observed_only"), (c % 4 != 0).alias("has_date"), domain.alias("domain"))
     last_open = m.trade_calendar.where("is_open").agg(F.max("trade_date").alias("last_open"))
-    return health.freshness(spec, observed(m), state(m), last_open, "2002-01-01")
+    synced = m.daily_bar.where("ts_code % 8 = 0").groupBy(c.alias("dataset")).agg(F.max("trade_date").alias("date"))
+    return health.freshness(spec, observed(m), state(m), last_open, "2002-01-01", synced)
 
 
 @query("fr1_freshness", "SELECT dataset, cadence, latest, expected, CAST(lag_days AS INTEGER) AS lag_days, status FROM fr_rows")
 def fr1(m):
-    return fresh(m).drop("date_source")
+    return fresh(m).drop("date_source", "domain")
 
 
 @query("fr2_date_source", "SELECT dataset, date_source FROM fr_rows")
@@ -252,9 +286,25 @@ def fr2(m):
     return fresh(m).select("dataset", "date_source")
 
 
-@query("fr4_top_lagging", "SELECT dataset, status, CAST(lag_days AS INTEGER) AS lag_days FROM fr_rows WHERE lag_days > 0 ORDER BY lag_days DESC, dataset LIMIT 5")
+_WORST = "CASE status WHEN 'stale' THEN 0 WHEN 'lagging' THEN 1 WHEN 'unknown' THEN 2 WHEN 'disabled' THEN 3 ELSE 4 END, coalesce(lag_days, 0) DESC, dataset"
+
+
+@query("fr4_top_lagging", f"SELECT dataset, status, CAST(lag_days AS INTEGER) AS lag_days FROM fr_rows WHERE status IN ('lagging', 'stale') ORDER BY {_WORST} LIMIT 5")
 def fr4(m):
-    return fresh(m).where("lag_days > 0").orderBy(F.desc("lag_days"), "dataset").limit(5).select("dataset", "status", "lag_days")
+    return health.lagging(fresh(m)).select("dataset", "status", "lag_days")
+
+
+@query("fr4_grouped", f"SELECT domain, dataset, status, CAST(lag_days AS INTEGER) AS lag_days, row_number() OVER (PARTITION BY domain ORDER BY {_WORST}) AS place FROM fr_rows")
+def fr4_grouped(m):
+    return health.grouped(fresh(m)).select("domain", "dataset", "status", "lag_days", "place")
+
+
+@query(
+    "fr4_summary",
+    "SELECT grouping(domain) = 1 AS is_total, domain, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in ("fresh", "lagging", "stale", "unknown", "disabled")) + " FROM fr_rows GROUP BY ROLLUP (domain)",
+)
+def fr4_summary(m):
+    return health.summary(fresh(m))
 
 
 @query("fr5_behind_state", "SELECT o.dataset, o.date AS observed, t.date AS recorded FROM fr_observed o LEFT JOIN fr_state t USING (dataset) WHERE t.date IS NULL OR o.date > t.date")
@@ -302,6 +352,38 @@ def executions(m):
     )
 
 
+_DAY = "requested_at >= TIMESTAMP '2024-01-14 16:00:00' AND requested_at < TIMESTAMP '2024-01-15 16:00:00'"
+SQL_VIEWS |= {
+    "day_executions": f"SELECT id, 'sync_' || id % 7 AS name, status, requested_at, started_at, CASE WHEN id % 2 = 0 THEN ' ' || repeat('lost ', 20) END AS message FROM executions WHERE {_DAY}",
+    "day_runs": """SELECT dataset, count(*) AS runs, count(*) FILTER (WHERE status = 'SUCCESS') AS n_success, count(*) FILTER (WHERE status = 'FAILED') AS n_failed, count(*) FILTER (WHERE status = 'RUNNING') AS n_running, CAST(sum(rows_fetched) AS BIGINT) AS rows_fetched,
+      CAST(sum(CASE WHEN dataset % 3 = 0 THEN 0 ELSE rows_written END) AS BIGINT) AS rows_written, arg_max(status, (started_at, event_id)) AS last_status FROM run_log WHERE started_at >= TIMESTAMP '2024-01-14 16:00:00' AND started_at < TIMESTAMP '2024-01-15 16:00:00' GROUP BY 1""",
+    "day_alerts": """SELECT 1 AS kind, 'stale:' || dataset AS name, row_number() OVER (ORDER BY coalesce(lag_days, 0) DESC, dataset) AS p, CAST(lag_days AS BIGINT) AS n, '' AS detail FROM fr_rows WHERE status = 'stale' QUALIFY p <= 8
+      UNION ALL SELECT 2, 'failed:' || name || '#' || id, row_number() OVER (ORDER BY requested_at, id) AS p, NULL, left(trim(coalesce(message, '')), 60) FROM day_executions WHERE status = 'failed' QUALIFY p <= 8
+      UNION ALL SELECT 3, 'running_long:' || name || '#' || id, row_number() OVER (ORDER BY requested_at, id), date_diff('second', started_at, TIMESTAMP '2024-01-15 16:00:00') // 60, '' FROM day_executions WHERE status = 'running' AND started_at <= TIMESTAMP '2024-01-15 15:30:00'
+      UNION ALL SELECT 4, 'nothing_written:' || dataset, row_number() OVER (ORDER BY dataset), rows_fetched, '' FROM day_runs WHERE rows_fetched > 0 AND rows_written = 0""",
+}
+
+
+@query(
+    "fr8_day_report",
+    "WITH "
+    + ", ".join(
+        f"{section} AS (SELECT '{section}' AS section, unnest([{', '.join(str(i) for i in range(len(names) + 1))}]) AS place, unnest([{', '.join(repr(x) for x in ('total', *names))}]) AS name, unnest([count(*), {', '.join(f'count(*) FILTER (WHERE status = {x!r})' for x in names)}]) AS n, NULL AS detail FROM {rows})"
+        for section, rows, names in (("freshness", "fr_rows", ("fresh", "lagging", "stale", "unknown", "disabled")), ("execution", "day_executions", ("success", "failed", "running", "queued")))
+    )
+    + """ SELECT * FROM freshness UNION ALL SELECT * FROM execution UNION ALL SELECT 'run', row_number() OVER (ORDER BY dataset), CAST(dataset AS VARCHAR), runs,
+    'n_success=' || n_success || ' n_failed=' || n_failed || ' n_running=' || n_running || ' rows_fetched=' || rows_fetched || ' rows_written=' || rows_written || ' last_status=' || last_status FROM day_runs
+    UNION ALL SELECT 'alert', row_number() OVER (ORDER BY kind, p) AS place, name, n, detail FROM day_alerts QUALIFY place <= 12""",
+)
+def fr8_report(m):
+    """A local day that begins at 16:00 UTC, seen at its end."""
+    c = F.col("id")
+    runs = m.run_log.withColumn("rows_written", F.when(F.col("dataset") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("rows_written")))
+    own = executions(m).withColumns({"name": F.concat(F.lit("sync_"), (c % 7).cast("string")), "message": F.when(c % 2 == 0, F.concat(F.lit(" "), F.repeat(F.lit("lost "), 20)))})
+    few = fresh(m)
+    return health.day_report(own, runs, few, "2024-01-15", "Asia/Shanghai", "2024-01-15 16:00:00")
+
+
 @query(
     "fr9_stale_runs",
     """SELECT id, last_activity, status AS previous_status, CASE WHEN cancel_requested_at IS NOT NULL THEN 'canceled' ELSE 'failed' END AS new_status, CASE WHEN cancel_requested_at IS NOT NULL THEN 'stop_not_finished' ELSE 'no_progress' END AS reason FROM (
@@ -560,10 +642,9 @@ def jn5(m):
     return expected.join(m.panel_bar, KEYS, "left_anti")
 
 
-@query("jn7_as_of_snapshot", "SELECT ts_code, con_code FROM dc_member WHERE trade_date = (SELECT max(trade_date) FROM dc_member d WHERE d.trade_date <= DATE '1998-03-04')")
+@query("jn7_as_of_snapshot", "SELECT ts_code, con_code, trade_date FROM (SELECT *, max(trade_date) OVER (PARTITION BY ts_code) AS last FROM dc_member WHERE trade_date <= DATE '1998-03-04') WHERE trade_date = last")
 def jn7(m):
-    at = m.dc_member.where(F.col("trade_date") <= "1998-03-04").agg(F.max("trade_date").alias("trade_date"))
-    return m.dc_member.join(F.broadcast(at), "trade_date").select("ts_code", "con_code")
+    return boards.latest_sets(m.dc_member, "ts_code", "trade_date", "1998-03-04").select("ts_code", "con_code", "trade_date")
 
 
 @query("jn8_latest_members", "SELECT d.ts_code, d.con_code, d.trade_date FROM dc_member d JOIN (SELECT con_code, max(trade_date) AS trade_date FROM dc_member GROUP BY 1) l USING (con_code, trade_date)")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tapeworks.functions import scalars as fn
+from tapeworks.lineage import shared_dir
 from tapeworks.operators import upsert
 from tapeworks.plans.registry import query
 from tapeworks.sources import ingest
+from tapeworks.sources.tables import Table
 
 _CODE = "CASE WHEN ts_code % 7 = 0 THEN lpad(CAST(ts_code AS VARCHAR), 6, '6') WHEN ts_code % 7 = 1 THEN lpad(CAST(ts_code AS VARCHAR), 6, '9') WHEN ts_code % 7 = 2 THEN lpad(CAST(ts_code AS VARCHAR), 6, '8') WHEN ts_code % 7 = 3 THEN 'x' || CAST(ts_code AS VARCHAR) || '.hk' ELSE lpad(CAST(ts_code AS VARCHAR), 6, '0') END"
 
@@ -39,9 +44,14 @@ def sc3(m):
     return m.table("customer").select("c_custkey", symbol.alias("symbol"), market.alias("market"))
 
 
-@query("sc4_plain_names", "SELECT ts_code, regexp_replace(name || ' ' || area, '\\s+', '', 'g') AS name, CASE exchange WHEN 'SSE' THEN 'SH' WHEN 'SZSE' THEN 'SZ' WHEN 'BSE' THEN 'BJ' ELSE exchange END AS exchange FROM security")
+_SPACED = "CASE WHEN ts_code % 19 <> 0 THEN name || CASE ts_code % 3 WHEN 0 THEN chr(12288) WHEN 1 THEN chr(160) ELSE chr(9) || ' ' END || area END"
+
+
+@query("sc4_plain_names", f"SELECT ts_code, coalesce(regexp_replace({_SPACED}, '[\\s\\x{{A0}}\\x{{3000}}]+', '', 'g'), '') AS name, CASE WHEN ts_code % 23 = 0 THEN '' ELSE CASE exchange WHEN 'SSE' THEN 'SH' WHEN 'SZSE' THEN 'SZ' WHEN 'BSE' THEN 'BJ' ELSE exchange END END AS exchange FROM security")
 def sc4(m):
-    return m.security.select("ts_code", fn.plain_name(F.concat_ws(" ", "name", "area")).alias("name"), fn.exchange_code(F.col("exchange")).alias("exchange"))
+    c = F.col("ts_code")
+    gap = F.when(c % 3 == 0, "\u3000").when(c % 3 == 1, "\u00a0").otherwise("\t ")
+    return m.security.select("ts_code", fn.plain_name(F.when(c % 19 != 0, F.concat("name", gap, "area"))).alias("name"), fn.exchange_code(F.when(c % 23 != 0, F.concat(F.lower("exchange"), F.lit(" ")))).alias("exchange"))
 
 
 @query("sc5_plain_reason")
@@ -258,6 +268,46 @@ def map1(m):
     return ingest.map_columns(m.table("supplier"), rules)
 
 
+@query(
+    "map1_active_rules",
+    """SELECT 'basic' AS dataset, 'a' AS source, CAST(s_suppkey AS VARCHAR) AS code, s_name AS name, CAST(s_acctbal AS DECIMAL(18,4)) AS balance, CAST(NULL AS DATE) AS listed FROM supplier
+    UNION ALL SELECT 'basic', 'b', CAST(c_custkey AS VARCHAR), c_name, NULL, NULL FROM customer UNION ALL SELECT 'parts', 'a', CAST(p_partkey AS VARCHAR), NULL, NULL, NULL FROM part""",
+)
+def map1_active(m):
+    rules = [
+        ("basic", "a", "s_suppkey", "code", "string", "active"), ("basic", "a", "s_name", "name", "string", "active"), ("basic", "a", "s_acctbal", "balance", "decimal(18,4)", "active"),
+        ("basic", "a", "s_listed", "listed", "date", "active"), ("basic", "a", "s_phone", "phone", "string", "inactive"), ("basic", "b", "c_custkey", "code", "string", "active"),
+        ("basic", "b", "c_name", "name", "string", "active"), ("basic", "b", "c_acctbal", "balance", "decimal(18,4)", "disabled"), ("parts", "a", "p_partkey", "code", "string", "active"), ("parts", "b", "p_name", "label", "string", "active"),
+    ]
+    frames = {("basic", "a"): m.table("supplier"), ("basic", "b"): m.table("customer"), ("parts", "a"): m.table("part"), ("orders", "a"): m.table("orders")}
+    return ingest.map_by_rules(frames, m.spark.createDataFrame(rules, ingest.RULES))
+
+
+@query("src2_landed_files", "SELECT CAST(ts_code AS VARCHAR) AS code, strftime(trade_date, '%Y%m%d') AS day, CAST(close AS VARCHAR) AS close, (SELECT count(*) FROM calendar WHERE n % 25 = 0) AS n_broken FROM panel_bar JOIN calendar USING (trade_date) WHERE n % 25 <> 0")
+def src2_landed(m):
+    """A file for each day in a landing folder; every 25th is cut off in the middle."""
+    item = F.array(F.col("close").cast("string"), F.col("ts_code").cast("string"), F.date_format("trade_date", "yyyyMMdd"))
+    days = m.panel_bar.groupBy("trade_date").agg(F.to_json(F.struct(F.array(F.lit("close"), F.lit("code"), F.lit("day")).alias("fields"), F.collect_list(item).alias("items"))).alias("payload")).join(F.broadcast(m.calendar), "trade_date")
+    value = F.when(F.col("n") % 25 == 0, F.expr("left(payload, length(payload) - 9)")).otherwise(F.col("payload"))
+    folder = f"{shared_dir(m.spark)}/landed-{uuid.uuid4().hex}"
+    days.select(value.alias("value")).write.text(folder)
+    whole, broken = ingest.quarantined(ingest.read_landed(m.spark, folder, lines=True))
+    rows = ingest.decode_envelope(whole, "payload", ["code", "day", "close"])
+    return rows.join(F.broadcast(broken.agg(F.count("*").alias("n_broken"))), F.lit(True))  # one row
+
+
+@query("src3_landed_lists", "SELECT ts_code AS code, CAST(close AS DOUBLE) AS close, (SELECT count(DISTINCT ts_code) FROM panel_bar WHERE ts_code % 10 = 4) AS n_broken FROM panel_bar WHERE ts_code % 10 NOT IN (3, 4)")
+def src3_landed(m):
+    rows = F.to_json(F.collect_list(F.struct(F.col("ts_code").alias("code"), F.col("close").cast("double").alias("close"))))
+    landed = m.panel_bar.groupBy("ts_code").agg(rows.alias("rows"))
+    value = F.when(F.col("ts_code") % 10 == 3, '{"error": "no data"}').when(F.col("ts_code") % 10 == 4, F.concat(F.lit("["), F.substring("rows", 3, 1 << 30))).otherwise(F.concat(F.lit('["x",'), F.substring("rows", 2, 1 << 30)))
+    folder = f"{shared_dir(m.spark)}/landed-{uuid.uuid4().hex}"
+    landed.select(value.alias("value")).write.text(folder)
+    whole, broken = ingest.quarantined(ingest.read_landed(m.spark, folder, lines=True))
+    found = ingest.decode_list(whole, "payload", "code long, close double")
+    return found.join(F.broadcast(broken.agg(F.count("*").alias("n_broken"))), F.lit(True))  # one row
+
+
 @query("prj1_renames", "SELECT ts_code, trade_date, close - pre_close AS change_amount, close AS closing FROM panel_bar")
 def prj1(m):
     return m.panel_bar.select("ts_code", "trade_date", (F.col("close") - F.col("pre_close")).alias("change"), F.col("close")).withColumnsRenamed({"change": "change_amount", "close": "closing"})
@@ -278,7 +328,8 @@ def prj3(m):
 @query(
     "prj4_dividend_dates",
     """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) WHEN o_orderkey % 5 > 0 THEN CAST(o_orderdate AS DATE) + 1 WHEN o_orderkey % 7 > 0 THEN CAST(o_orderdate AS DATE) + 2 END AS ex_date,
-    CASE WHEN o_orderkey % 2 = 0 THEN NULL WHEN o_orderkey % 5 > 0 THEN 'record_date' WHEN o_orderkey % 7 > 0 THEN 'pay_date' END AS filled FROM orders""",
+    CASE WHEN o_orderkey % 2 = 0 THEN NULL WHEN o_orderkey % 5 > 0 THEN 'record_date' WHEN o_orderkey % 7 > 0 THEN 'pay_date' END AS filled, count(*) FILTER (WHERE o_orderkey % 2 <> 0 AND o_orderkey % 5 > 0) OVER () AS by_record_date,
+    count(*) FILTER (WHERE o_orderkey % 2 <> 0 AND o_orderkey % 5 = 0 AND o_orderkey % 7 > 0) OVER () AS by_pay_date FROM orders""",
 )
 def prj4(m):
     day = F.to_date("o_orderdate")
@@ -286,14 +337,20 @@ def prj4(m):
         "o_orderkey", F.lit("实施").alias("div_proc"), F.when(F.col("o_orderkey") % 2 == 0, day).alias("ex_date"), F.date_add(day, 1).alias("record_date"), F.date_add(day, 2).alias("pay_date"),
         (F.col("o_orderkey") % 5).alias("stk_div"), (F.col("o_orderkey") % 7).alias("cash_div"),
     )
-    return ingest.fill_dividend_dates(raw).select("o_orderkey", "ex_date", "filled")
+    seen = Observation()
+    rows = ingest.fill_dividend_dates(raw, seen).select("o_orderkey", "ex_date", "filled")
+    table = Table(m.spark, f"{shared_dir(m.spark)}/dividend-{uuid.uuid4().hex}", rows.schema)
+    table.replace(rows)
+    return table.read().withColumns({c: F.lit(n).cast("long") for c, n in seen.get.items()})
 
 
 @query("prj5_required_keys", "SELECT l_orderkey, l_linenumber, px, (SELECT count(*) FROM tick WHERE l_linenumber = 3) AS skipped FROM tick WHERE l_linenumber <> 3")
 def prj5(m):
     rows = m.tick.select("l_orderkey", F.nullif("l_linenumber", F.lit(3)).alias("l_linenumber"), "px")
-    kept, skipped = ingest.split_required(rows, ["l_orderkey", "l_linenumber"])
-    return kept.join(F.broadcast(skipped.select("skipped")), F.lit(True))  # one row
+    seen = Observation()
+    table = Table(m.spark, f"{shared_dir(m.spark)}/core-{uuid.uuid4().hex}", rows.schema)
+    table.replace(ingest.split_required(rows, ["l_orderkey", "l_linenumber"], seen))
+    return table.read().withColumn("skipped", F.lit(seen.get["skipped"]).cast("long"))
 
 
 @query("prj6_request_tags", "SELECT ts_code, name, '__ALL__' AS query_market, coalesce(nullif(exchange, 'BSE'), '__ALL__') AS content_type FROM security")

@@ -126,6 +126,12 @@ class Market:
         ticks = self.tick.join(self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
         return ticks.select(F.date_trunc("week", "trade_date").cast("date").alias("trade_date"), F.col("p_type").alias("ts_code"), F.col("ts_code").alias("con_code")).distinct()
 
+    @cached_property
+    def dc_index(self) -> DataFrame:
+        """trade_date, ts_code (board), idx_type: the boards of each week and their kind."""
+        kind = F.when(F.col("ts_code").startswith("ECONOMY") | F.col("ts_code").startswith("PROMO"), "concept").when(F.col("ts_code").startswith("SMALL"), "region").otherwise("industry")
+        return self.dc_member.select("trade_date", "ts_code", kind.alias("idx_type")).distinct()
+
     @cached_property
     def ths_member(self) -> DataFrame:
         """Board membership with a validity interval."""
@@ -195,6 +201,7 @@ SQL_VIEWS = {
     "suspend": "SELECT ts_code, trade_date FROM panel_bar JOIN calendar USING (trade_date) WHERE (ts_code + n) % 53 = 0",
     "adj_factor": "SELECT ts_code, trade_date, CAST((100 + 5 * (year(trade_date) - 1995) + ts_code % 3) / 100.0 AS DECIMAL(20,8)) AS adj_factor FROM panel_bar WHERE ts_code % 41 <> 0",
     "dc_member": f"SELECT DISTINCT {_WEEK} AS trade_date, p_type AS ts_code, ts_code AS con_code FROM tick JOIN part ON p_partkey = l_partkey",
+    "dc_index": "SELECT DISTINCT trade_date, ts_code, CASE WHEN ts_code LIKE 'ECONOMY%' OR ts_code LIKE 'PROMO%' THEN 'concept' WHEN ts_code LIKE 'SMALL%' THEN 'region' ELSE 'industry' END AS idx_type FROM dc_member",
     "ths_member": "SELECT ts_code, con_code, in_date, CASE WHEN year(last_date) < 2000 THEN last_date END AS out_date FROM (SELECT p_brand AS ts_code, ts_code AS con_code, min(trade_date) AS in_date, max(trade_date) AS last_date FROM tick JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)",
     "daily_basic": "SELECT ts_code, trade_date, CAST(vol / 100 AS DECIMAL(12,4)) AS turnover_rate, CAST(close / 2 AS DECIMAL(18,4)) AS pe, CAST(amount * 2 AS DECIMAL(20,4)) AS total_mv FROM panel_bar JOIN calendar USING (trade_date) WHERE n % 3 = 0",
     "moneyflow_a": f"SELECT ts_code, trade_date, {_FLOW_A} FROM (SELECT ts_code, CAST(date_trunc('month', trade_date) AS DATE) AS trade_date, amount, l_returnflag = 'R' AS sell, CASE WHEN vol <= 10 THEN 'sm' WHEN vol <= 25 THEN 'md' WHEN vol <= 40 THEN 'lg' ELSE 'elg' END AS tier FROM tick) GROUP BY ts_code, trade_date",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeworks.lineage import cut
-from tapeworks.operators import breadth
+from tapeworks.operators import boards, breadth
 from tapeworks.operators import walkforward as wf
 from tapeworks.plans.breadth import _index_bar, eligible, rounded
 from tapeworks.plans.registry import query
@@ -156,12 +156,23 @@ def ag12(m):
     return rounded(wf.rank_correlation(m.panel_bar, "vol", "close", ("ts_code",)), 6)
 
 
-@query(
-    "wf2_common_dates",
-    "SELECT trade_date FROM calendar WHERE " + " AND ".join(f"trade_date IN (SELECT trade_date FROM {t})" for t in ("panel_bar", "stk_limit", "adj_factor", "daily_basic", "dc_member")),
+_COMMON = (
+    "SELECT trade_date FROM trade_calendar WHERE is_open"
+    + "".join(f" AND trade_date IN (SELECT trade_date FROM {t})" for t in ("panel_bar", "stk_limit", "adj_factor", "daily_basic", "index_bar", "dc_member"))
+    + " AND trade_date IN (SELECT trade_date FROM dc_index WHERE idx_type = 'concept')"
 )
+
+
+def common(m, last=None):
+    """Open days of bars, limits, factors, ratios, indexes, boards of concepts, and members."""
+    return boards.dates_in_all(m.trade_calendar, [m.panel_bar, m.stk_limit, m.adj_factor, m.daily_basic, _index_bar(m), m.dc_index.where("idx_type = 'concept'"), m.dc_member], last)
+
+
+@query("wf2_common_dates", _COMMON)
 def wf2(m):
-    rows = m.calendar.select("trade_date")
-    for other in (m.panel_bar, m.stk_limit, m.adj_factor, m.daily_basic, m.dc_member):
-        rows = rows.join(other.select("trade_date").distinct(), "trade_date", "left_semi")
-    return rows
+    return common(m)
+
+
+@query("wf2_last_dates", f"{_COMMON} ORDER BY trade_date DESC LIMIT 40")
+def wf2_last(m):
+    return common(m, 40)

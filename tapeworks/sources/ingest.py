@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.lineage import cut
-
 
 def decode_envelope(df: DataFrame, payload: str, columns: Sequence[str]) -> DataFrame:
     """Rows of an envelope {fields: [...], items: [[...], ...]}: items by position of the field's name; fields that it lacks are null."""
@@ -24,6 +23,24 @@ def decode_list(df: DataFrame, payload: str, schema: str) -> DataFrame:
     return df.select(F.explode(listed).alias("_x")).where(F.trim("_x").startswith("{")).select(F.from_json("_x", schema).alias("r")).select("r.*")
 
 
+def read_landed(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """file, payload of the JSON that has landed in a folder: a row for each file that isn't empty, or for each of its lines that isn't blank."""
+    rows = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("payload"))
+    return rows.where(F.trim("payload") != "") if lines else rows
+
+
+def _broken(payload: Column) -> Column:
+    """Whether a payload is no JSON object or list."""
+    kind = F.when(F.trim(payload).startswith("["), F.from_json(payload, "array<string>", {"mode": "PERMISSIVE"}).isNull())
+    return F.coalesce(kind, F.from_json(payload, "map<string,string>", {"mode": "PERMISSIVE"}).isNull(), F.lit(True))
+
+
+def quarantined(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Landed payloads (file, payload) that are JSON, and the others with their size, which are kept aside."""
+    marked = landed.withColumn("_broken", _broken(F.col("payload")))
+    return marked.where("NOT _broken").drop("_broken"), marked.where("_broken").select("file", "payload", F.octet_length("payload").cast("long").alias("bytes"))
+
+
 def as_date(c: Column) -> Column:
     """YYYYMMDD or ISO; empty is null, anything else an error."""
     text = F.nullif(F.trim(c.cast("string")), F.lit(""))
@@ -47,22 +64,45 @@ def map_columns(df: DataFrame, rules: DataFrame) -> DataFrame:
     return df.select(*[pick(r).cast(r["std_type"]).alias(r["std_field"]) for r in listed])
 
 
+RULES = "dataset string, source string, src_field string, std_field string, std_type string, status string"
+
+
+def map_by_rules(frames: Mapping[tuple[str, str], DataFrame], rules: DataFrame) -> DataFrame:
+    """Applies the active rules (RULES) of many datasets and sources in one plan: dataset, source and all target columns, null where a dataset has no rule for one. Rules of other datasets and
+    sources, and inactive ones, have no effect; a source without an active rule gives no rows. A target whose rules differ in type is an error."""
+    listed = rules.where("status = 'active'").orderBy("dataset", "source", "std_field", "src_field").collect()  # a row for each target column of a source
+    types: dict[str, str] = {}
+    for r in listed:
+        if types.setdefault(r["std_field"], r["std_type"]) != r["std_type"]:
+            raise ValueError(f"{r['std_field']} is {types[r['std_field']]} and {r['std_type']}")
+    parts = []
+    for (dataset, source), df in frames.items():
+        own = {r["std_field"]: r["src_field"] for r in listed if (r["dataset"], r["source"]) == (dataset, source)}
+        if own:
+            value = {std: (F.col(src) if src in df.columns else F.lit(None)).cast(types[std]).alias(std) for std, src in own.items()}
+            parts.append(df.select(F.lit(dataset).alias("dataset"), F.lit(source).alias("source"), *value.values()))
+    if not parts:
+        raise ValueError("no active rule for any of these sources")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def first_existing(df: DataFrame, names: Sequence[str], kind: str) -> Column:
     """The first of the named columns that df has, else null."""
     return next((F.col(n) for n in names if n in df.columns), F.lit(None)).cast(kind)
 
 
-def split_required(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows with all keys, and the number of the others as one row."""
-    rows = cut(df)
+def split_required(df: DataFrame, keys: Sequence[str], seen: Observation | None = None) -> DataFrame:
+    """Rows with all keys. seen counts the others (skipped) and these (kept) in the pass that computes them."""
     whole = F.coalesce(*[F.when(F.col(k).isNull(), 1) for k in keys]).isNull()
-    return rows.where(whole), rows.agg(F.count_if(~whole).alias("skipped"))
+    rows = df.observe(seen, F.count_if(~whole).alias("skipped"), F.count_if(whole).alias("kept")) if seen else df
+    return rows.where(whole)
 
 
-def fill_dividend_dates(df: DataFrame) -> DataFrame:
-    """Carried-out dividends without ex_date: record_date for stock, pay_date for cash alone; filled says which."""
+def fill_dividend_dates(df: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """Carried-out dividends without ex_date: record_date for stock, pay_date for cash alone; filled says which. seen counts both fills (by_record_date, by_pay_date) in the pass that computes them."""
     due = (F.col("div_proc") == "实施") & F.col("ex_date").isNull()
     stock, cash = F.coalesce(F.col("stk_div"), F.lit(0)) > 0, (F.coalesce(F.col("stk_div"), F.lit(0)) == 0) & (F.col("cash_div") > 0)
     filled = F.when(due & stock, "record_date").when(due & cash, "pay_date")
     value = F.when(filled == "record_date", F.col("record_date")).when(filled == "pay_date", F.col("pay_date")).otherwise(F.col("ex_date"))
-    return df.withColumn("filled", filled).withColumn("ex_date", value)
+    out = df.withColumn("filled", filled).withColumn("ex_date", value)
+    return out.observe(seen, F.count_if(F.col("filled") == "record_date").alias("by_record_date"), F.count_if(F.col("filled") == "pay_date").alias("by_pay_date")) if seen else out
