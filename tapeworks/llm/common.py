@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.lineage import cut, shared_dir
+from tapeworks.lineage import clear, cut, shared_dir
 
-__all__ = ["OWN", "ascii_lower", "cut", "fresh_dir", "join_hot", "keep_rows", "row_key", "shared_dir", "text_of"]
+__all__ = ["Scratch", "OWN", "ascii_lower", "cut", "fresh_dir", "join_hot", "keep_rows", "row_key", "shared_dir", "text_of"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -26,6 +28,43 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Written tables of an iterative job: each name holds one, and what it held before is deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        folder = fresh_dir(self.spark, name)
+        df.write.parquet(folder)
+        self.drop(name)
+        self.folders[name] = folder
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.folders:
+                clear(self.spark, self.folders.pop(name))
+
+
+#: Whether Spark deletes an execution's shuffle files when it ends, not when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files go as each execution ends: jobs of hundreds of exchanges would keep them all."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else. Text that is all ASCII takes the fast built-in."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import cut
+from tapeworks.llm.common import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,10 +28,11 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component for every node of edges (a, b): the least node that can be reached. Nulls and loops are left out. Rounds go on until one changes nothing,
     which takes some log(nodes) squared of them."""
     a, b = F.greatest("a", "b"), F.least("a", "b")
-    stars = cut(edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(a.alias("a"), b.alias("b")).distinct())
+    scratch = Scratch(edges.sparkSession)
+    stars = scratch.put("stars", edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(a.alias("a"), b.alias("b")).distinct())
     before = after = None
     while before is None or after != before:
-        stars = cut(_star(_star(stars, large=True), large=False))
+        stars = scratch.put("stars", _star(_star(stars, large=True), large=False))
         before, after = after, stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     roots = stars.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -12,6 +12,7 @@ import corpus_pipeline
 from tapeworks.llm import packing, sharding, similar, simhash, substring, warc
 from tapeworks.llm.components import components
 from tapeworks.llm.queries import tokenizer_path
+from tapeworks.shipping import ship
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 
@@ -385,3 +386,55 @@ def test_near_copy_stage_matches_brute_force(spark):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [*(i for i in range(len(rows)) if find(i) == i), None]
     assert similar.near_copies(docs.where("false")).count() == 0
+
+
+def template_pages(rng, n, shared, own):
+    """Pages of one template, each with words of its own in one place."""
+    template = [f"t{x}" for x in range(shared)]
+    return [" ".join([*template[: shared // 2], *[f"p{i}x{k}" for k in range(own)], *template[shared // 2 :]]) for i in range(n)]
+
+
+def brute_similar(sets):
+    return {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4}
+
+
+def test_pairs_to_check_grow_in_proportion(spark):
+    """Pages that have a template in common, at a similarity of 0.6 to 0.75, don't meet in all pairs."""
+    ship(spark)
+    rng, n_pairs = random.Random(1), {}
+    for n in (200, 400):
+        texts = [t for own in (40, 60) for t in template_pages(rng, n // 2, 240, own)] + ["a b c d e f g"] * 1
+        rows = [(i, i, similar.shingles(t).view(np.int64).tolist()) for i, t in enumerate(texts)]
+        sets = [set(h) for _, _, h in rows]
+        first, other = sets[0], sets[1]
+        assert 0.6 < len(first & other) / len(first | other) < 0.8
+        n_pairs[n] = similar.rare_pairs(spark.createDataFrame(rows, "id long, part long, hashes array<long>")).count()
+    assert n_pairs[400] <= 400 and n_pairs[200] <= 200
+
+
+def test_rare_pairs_lose_none(spark):
+    ship(spark)
+    rng = random.Random(2)
+    sets = []
+    for _ in range(12):
+        base = rng.sample(range(2000), rng.randint(1, 120))
+        for _ in range(12):
+            keep = [x for x in base if rng.random() < rng.choice((0.8, 0.9, 0.95, 1.0))]
+            sets.append({*keep, *rng.sample(range(2000, 4000), rng.randint(0, max(1, len(base) // 8)))} or {1})
+    for i in range(30):  # at the very limit
+        sets += [set(range(5000 + 100 * i, 5000 + 100 * i + 9)), set(range(5001 + 100 * i, 5000 + 100 * i + 10))]
+    parts = [rng.randint(0, 40) for _ in sets]
+    frame = spark.createDataFrame([(i, p, sorted(s)) for i, (p, s) in enumerate(zip(parts, sets))], "id long, part long, hashes array<long>")
+    found = {tuple(sorted((r.a, r.b))) for r in similar.rare_pairs(frame).collect()}
+    want = {(i, j) for i, j in brute_similar(sets) if parts[i] != parts[j]}
+    assert len(want) > 100 and want <= found and all(parts[i] != parts[j] for i, j in found)
+
+
+def test_near_copies_of_repeated_rows_and_other_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text, "x", 1), (5, text, "y", 2), (5, "another text under the same id", "z", 3), (2, text + " w60", "x", 4), (None, text, "x", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string, keys int")
+    got = {(r.doc_id, r.component_id) for r in similar.near_copies(docs.where("doc_id IS NOT NULL")).collect()}
+    assert got == {(5, 2), (5, 5), (2, 2)} and similar.near_copies(docs.where("doc_id IS NOT NULL")).count() == 4
+    assert sorted(r["keys"] for r in similar.drop_near_copies(docs).collect()) == [3, 4, 5]
+    assert similar.near_copies(docs.limit(0)).count() == 0
