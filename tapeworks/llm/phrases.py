@@ -1,7 +1,7 @@
 """Phrase collocation mining with mergeable Misra-Gries summaries (Misra and Gries, 1982; Agarwal et al., 2012).
 
 Phrases are word sequences within pieces of text, told apart by language. A first pass hashes them, deals the hashes to partitions and keeps a summary for each:
-counters, of which the least are subtracted from all whenever there are more than the capacity. A partition's capacity exceeds its mass (the occurrences dealt to it) divided by the
+counters, of which the least are subtracted from all whenever there are more than the capacity. A partition's capacity (``COUNTERS`` at least) exceeds its mass (the occurrences dealt to it) divided by the
 threshold, so no hash loses ``threshold`` of its count, and every frequent phrase survives. Map tasks send the counts of a stretch of text as a summary that was never cut, after the
 stretch's mass, so a partition knows its whole mass before it merges the first one. Words and pairs are mined first; phrases of three or more words go in a second time over the texts,
 and only where all their pairs have survived.
@@ -14,6 +14,7 @@ Defined results: null texts are empty, a null lang is ``und``; repeated rows and
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,9 @@ _PLAIN = bytes(10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 3
 _GAP = re.compile(rb"\n+")
 #: Bytes of text that are hashed at once, and different hashes that a map task holds before it sends them.
 STRETCH, HELD = 4 << 20, 3 << 20
-#: Counters of a hash partition, as a rule.
+#: Phrases whose exact counts a map task holds before it sends them.
+COUNTED = 600_000
+#: Counters that a hash partition has in any case: the more, the less is cut, and the fewer rare phrases survive.
 COUNTERS = 1 << 20
 #: Bits of the table of survivors, and how many of them each sets.
 BITS, PROBES = 1 << 27, 2
@@ -191,7 +194,7 @@ def _merge(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Rec
                 part, mass, summary = p, 0, None
             mass += m
             if kind == 1:
-                summary = summary or Summary(mass // threshold + 1)
+                summary = summary or Summary(max(mass // threshold + 1, COUNTERS))
                 summary.merge(np.frombuffer(ks, np.uint64), np.frombuffer(cs[1:], np.uint8 if cs[0] == 1 else np.int64).astype(np.int64))
     if summary:
         yield survivors()
@@ -216,10 +219,10 @@ def bit_table(keys: DataFrame) -> Broadcast:
     return keys.sparkSession.sparkContext.broadcast(table.view(np.uint8))
 
 
-def _exact(lang: str, texts: list[bytes], longest: int, table: np.ndarray) -> tuple[list[str], list[int], list[int]]:
-    """Phrases, their numbers of words and counts in a stretch, by the words; an empty phrase of 0 words counts all words."""
+def _exact(lang: str, texts: list[bytes], longest: int, table: np.ndarray) -> tuple[list[str], list[int]]:
+    """Phrases and their counts in a stretch, by the words; the empty phrase counts all words."""
     numbers, words = numbered(texts)
-    phrases, sizes, counts = [""], [0], [int((numbers > 0).sum())]
+    phrases, counts = [""], [int((numbers > 0).sum())]
     same, found = numbers, None  # same: a number for each different phrase of the size before, where there is one
     for size, hashes, whole in phrase_hashes(lang, numbers, words, longest):
         if size > 1:
@@ -230,28 +233,65 @@ def _exact(lang: str, texts: list[bytes], longest: int, table: np.ndarray) -> tu
         at = at[_in_table(table, hashes[at])]
         found = np.zeros(len(whole), bool)
         found[at] = True
-        values, first, inverse, n = np.unique(same[at], return_index=True, return_inverse=True, return_counts=True)
+        _, first, inverse, n = np.unique(same[at], return_index=True, return_inverse=True, return_counts=True)
         phrases += [b" ".join(words[w] for w in numbers[i : i + size]).decode("utf-8", "replace") for i in at[first].tolist()]
-        sizes += [size] * len(values)
         counts += n.tolist()
         dense = np.zeros(len(same), np.int64)
         dense[at] = inverse
         same = dense
-    return phrases, sizes, counts
+    return phrases, counts
 
 
-def phrase_counts(texts: DataFrame, longest: int, threshold: int, table: Broadcast) -> DataFrame:
-    """lang, phrase, size, n: exact counts of all phrases of up to longest words with threshold occurrences or more, and of all words as the phrase of size 0."""
+def _counted(batches: Iterator[pa.RecordBatch], longest: int, table: Broadcast, n_parts: int) -> Iterator[pa.RecordBatch]:
+    """part, lang, phrases (by lines), counts: exact counts of stretches, cut up by hash partition."""
+    held: dict[str, dict[str, int]] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, some in _stretches(batches):
-            phrases, sizes, counts = _exact(lang, some, longest, table.value)
-            for at in range(0, len(phrases), 1 << 16):
-                columns = [pa.array(x[at : at + (1 << 16)], kind) for x, kind in ((phrases, pa.string()), (sizes, pa.int32()), (counts, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(columns[0]), pa.string()), *columns], ["lang", "phrase", "size", "n"])
+    def sent() -> Iterator[pa.RecordBatch]:
+        for lang, found in held.items():
+            parts: dict[int, list[str]] = {}
+            for phrase in found:
+                parts.setdefault(zlib.crc32(phrase.encode()) % n_parts, []).append(phrase)
+            columns = [pa.array(list(parts), pa.int32()), pa.array([lang] * len(parts), pa.string()), pa.array(["\n".join(some) for some in parts.values()], pa.string()), pa.array([np.array([found[p] for p in some], np.int64).tobytes() for some in parts.values()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "lang", "phrases", "counts"])
+        held.clear()
+
+    for lang, some in _stretches(batches):
+        own = held.setdefault(lang, {})
+        for phrase, n in zip(*_exact(lang, some, longest, table.value)):
+            own[phrase] = own.get(phrase, 0) + n
+        if sum(map(len, held.values())) >= COUNTED:
+            yield from sent()
+    yield from sent()
+
+
+def _totals(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """lang, phrase, size, n of the phrases that are frequent, and of the empty one. Rows come by partition."""
+    part, sums = None, {}
+
+    def frequent_ones() -> Iterator[pa.RecordBatch]:
+        for lang, found in sums.items():
+            rows = [(p, n) for p, n in found.items() if n >= threshold or not p]
+            columns = [pa.array([lang] * len(rows), pa.string()), pa.array([p for p, _ in rows], pa.string()), pa.array([p.count(" ") + 1 if p else 0 for p, _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "size", "n"])
 
-    part = texts.mapInArrow(run, "lang string, phrase string, size int, n long")
-    return part.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where((F.col("n") >= threshold) | (F.col("size") == 0))
+    for batch in batches:
+        for p, lang, phrases, counts in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+            if p != part:
+                yield from frequent_ones()
+                part, sums = p, {}
+            own = sums.setdefault(lang, {})
+            for phrase, n in zip(phrases.split("\n"), np.frombuffer(counts, np.int64).tolist()):
+                own[phrase] = own.get(phrase, 0) + n
+    yield from frequent_ones()
+
+
+def phrase_counts(texts: DataFrame, longest: int, threshold: int, table: Broadcast) -> DataFrame:
+    """lang, phrase, size, n: exact counts of all phrases of up to longest words with threshold occurrences or more, and of all words as the phrase of size 0. Tasks send what they have counted by hash
+    partition, as they send summaries, so that words that all stretches hold cross the exchange in a few rows for each task."""
+    n_parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = texts.mapInArrow(lambda batches: _counted(batches, longest, table, n_parts), "part int, lang string, phrases string, counts binary")
+    dealt = sent.repartition(n_parts, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(lambda batches: _totals(batches, threshold), "lang string, phrase string, size int, n long")
 
 
 def scored(counts: DataFrame) -> DataFrame:
