@@ -5,8 +5,8 @@ distribution, a piece model with byte fallback the share of its tokens that are
 outside those of their group are rejected: the group is the language where it is known, else the script. The language's quartiles are drawn towards those of
 the script that most of its documents have, as if ``shrink`` documents more had those; a script has its own median, and the distances of its quartiles are drawn
 towards those of all documents. So no group is too small to be judged, and a rare script isn't measured by a common one. A band is the median, less ``width[0]`` times the lower quartile's distance from it, to ``width[1]`` times the upper
-one's above it, and never narrower than ``floors``. Bands are computed over all documents.
-Texts of fewer than ``min_words`` words aren't judged by their measures.
+one's above it, and never narrower than ``floors``. Bands are computed over all documents that have words.
+The measures of a short text scatter more: a text of n words has a band wider by sqrt(1 + ``settling`` / n), so that texts of all lengths are judged.
 
 Defined results: null and empty texts have no words and fail the base rules; rows are judged one by one, so that repeated
 rows and ids get equal results."""
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeworks.llm.common import cut
+from tapeworks.llm.decontam import SALTS, is_bounded
 from tapeworks.llm.tokens import MEMO_BYTES, STRETCH, Memo, byte_bpe
 
 SYMBOLS = b"#*$%&|<>"
@@ -33,7 +34,8 @@ _NOT_SYMBOLS = bytes(b for b in range(256) if b not in SYMBOLS)
 WIDTH = (6.0, 12.0)
 FLOORS = {"chars_per_token": 0.1, "byte_share": 0.1, "entropy": 0.3}
 SHRINK = 5
-MIN_WORDS = 50
+#: Words at which a text's measures scatter as much by its shortness as between long texts.
+SETTLING = 50
 #: What a piece that begins a word starts with, and how many words are read at once.
 SPACE = "\u2581"
 RUN_WORDS = 500
@@ -179,9 +181,10 @@ def measures(docs: DataFrame, bpe_path: str, piece_path: str) -> DataFrame:
     return rows.mapInArrow(run, T.StructType(fields))
 
 
-def bands(measured: DataFrame, width: tuple[float, float] = WIDTH, floors: dict[str, float] = FLOORS, shrink: int = SHRINK, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three frames of limits (an array of low and high for each measure): by lang, by script, and one row for all documents."""
-    judged = measured.where(F.col("n_words") >= min_words)
+def bands(measured: DataFrame, width: tuple[float, float] = WIDTH, floors: dict[str, float] = FLOORS, shrink: int = SHRINK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three frames of limits (an array of middle, below and above for each measure: the median, and how far a long text may lie from it): by lang, by script, and one row for
+    all documents."""
+    judged = measured.where(F.col("n_words") > 0)
     quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES]
     every = judged.agg(F.count("*").alias("n"), *quartiles).where("n > 0")
     above = lambda rows, by: F.broadcast(rows.select(*by, *[F.col(m).alias(f"up_{m}") for m in MEASURES]))
@@ -196,23 +199,30 @@ def bands(measured: DataFrame, width: tuple[float, float] = WIDTH, floors: dict[
 
     def limits(rows: DataFrame, by: list[str]) -> DataFrame:
         q = {m: F.col(m) for m in MEASURES}
-        low = {m: q[m][1] - F.greatest((q[m][1] - q[m][0]) * width[0], F.lit(floors[m])) for m in MEASURES}
-        high = {m: q[m][1] + F.greatest((q[m][2] - q[m][1]) * width[1], F.lit(floors[m])) for m in MEASURES}
-        return rows.select(*by, F.array(*[F.struct(low[m].alias("low"), high[m].alias("high")) for m in MEASURES]).alias("limits"))
+        below = {m: F.greatest((q[m][1] - q[m][0]) * width[0], F.lit(floors[m])) for m in MEASURES}
+        above = {m: F.greatest((q[m][2] - q[m][1]) * width[1], F.lit(floors[m])) for m in MEASURES}
+        return rows.select(*by, F.array(*[F.struct(q[m][1].alias("middle"), below[m].alias("below"), above[m].alias("above")) for m in MEASURES]).alias("limits"))
 
     return limits(by_lang, ["lang"]), limits(by_script, ["script"]), limits(every, [])
 
 
-def verdicts(docs: DataFrame, bpe_path: str, piece_path: str, **options) -> DataFrame:
+def verdicts(docs: DataFrame, bpe_path: str, piece_path: str, settling: float = SETTLING, **options) -> DataFrame:
     """measures() with base_failed and kept for each row of docs."""
     measured = cut(measures(docs, bpe_path, piece_path))
     by_lang, by_script, every = (cut(x) for x in bands(measured, **options))
     own = by_lang.select(F.col("lang").alias("_lang"), F.col("limits").alias("_own"))
-    named = measured.join(own, F.col("lang") == F.col("_lang"), "left").join(F.broadcast(by_script.withColumnRenamed("limits", "_of_script")), "script", "left")
+    if is_bounded(own.select("_lang")):
+        named = measured.join(F.broadcast(own), F.col("lang") == F.col("_lang"), "left")
+    else:  # a language's rows are dealt over copies of its limits
+        dealt = measured.withColumn("_salt", F.pmod(F.xxhash64(*measured.columns), F.lit(SALTS)))
+        copies = own.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        named = dealt.join(copies, (F.col("lang") == F.col("_lang")) & (F.col("_salt") == F.col("_copy")), "left")
+    named = named.join(F.broadcast(by_script.withColumnRenamed("limits", "_of_script")), "script", "left")
     filled = named.join(F.broadcast(every.withColumnRenamed("limits", "_of_all")), F.lit(True), "left").withColumn("_limits", F.coalesce("_own", "_of_script", "_of_all"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    fair = F.col("n_words") < options.get("min_words", MIN_WORDS)
+    wider = F.sqrt(1 + settling / F.greatest(F.col("n_words"), F.lit(1)))
     inside = F.lit(True)
     for i, m in enumerate(MEASURES):
-        inside &= F.coalesce(F.col(m).between(F.col("_limits")[i]["low"], F.col("_limits")[i]["high"]), F.lit(True))
-    return filled.select(*measured.columns, failed.alias("base_failed"), (~failed & (fair | inside)).alias("kept"))
+        limit = F.col("_limits")[i]
+        inside &= F.coalesce(F.col(m).between(limit["middle"] - limit["below"] * wider, limit["middle"] + limit["above"] * wider), F.lit(True))
+    return filled.select(*measured.columns, failed.alias("base_failed"), (~failed & inside).alias("kept"))

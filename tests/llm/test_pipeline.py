@@ -9,19 +9,19 @@ import numpy as np
 import corpus_pipeline
 from tapeworks.llm import langid
 from tapeworks.llm.queries import tokenizer_path
-from tests.llm.test_text_operators import brute_lines, brute_overlap, brute_profile
+from tests.llm.test_text_operators import brute_lines, brute_overlap, brute_profile, brute_trigrams
 
 
 def brute_languages(rows):
     sums = {}
-    for _, text, lang in rows:
+    for text, lang in {(text, lang) for _, text, lang in rows}:
         if lang and brute_profile(text) is not None:
             sums[lang] = sums.get(lang, 0) + brute_profile(text)
     matrix = np.stack([v / np.linalg.norm(v) for v in sums.values()])
     kept = []
     for row in rows:
         v = brute_profile(row[1])
-        if v is not None and ((matrix @ v).max() >= langid.MIN_SCORE or len(row[1]) < langid.JUDGED_CHARS):
+        if v is not None and (matrix @ v).max() >= langid.MIN_SCORE * np.sqrt((n := brute_trigrams(row[1])) / (n + langid.SETTLING)):
             kept.append(row)
     return kept
 

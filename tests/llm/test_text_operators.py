@@ -214,6 +214,25 @@ def test_quality_verdicts(docs, spark):
     assert not got[1000] and sum(got.values()) == 80
 
 
+def test_texts_around_fifty_words_are_judged_alike(spark):
+    """Junk of 30, 49 and 50 words goes, plain texts of these lengths stay."""
+    rng = __import__("random").Random(2)
+    words = [f"{a}{b}" for a in ("house", "river", "walk", "light", "stone", "green") for b in ("", "s", "ing", "er", "ed")]
+    plain = [(i, " ".join(rng.choices(words, k=rng.randint(25, 150))), "en") for i in range(120)] + [(500 + n, " ".join(rng.sample(words * 4, k=n)), "en") for n in (25, 49, 50)]
+    junk = [(1000 + n, " ".join("".join(chr(0x12000 + rng.randrange(900)) for _ in range(4)) for _ in range(n)), "en") for n in (30, 49, 50, 51)]
+    docs = spark.createDataFrame(plain + junk, "doc_id long, text string, lang string")
+    rows = quality.verdicts(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")).collect()
+    assert {r.kept for r in rows if r.doc_id >= 1000} == {False}
+    assert {r.kept for r in rows if r.doc_id < 1000 and not r.base_failed} == {True}
+
+
+def test_bands_that_are_not_broadcast_give_the_same(spark, docs, monkeypatch):
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    want = Counter(map(tuple, quality.verdicts(docs, *paths).collect()))
+    monkeypatch.setattr(quality, "is_bounded", lambda df: False)
+    assert Counter(map(tuple, quality.verdicts(docs, *paths).collect())) == want
+
+
 def test_verdicts_match_brute_force(spark):
     import math
     import random
@@ -248,7 +267,7 @@ def test_verdicts_match_brute_force(spark):
     def drawn(some, above):
         return [[(x * len(some) + y * 5) / (len(some) + 5) for x, y in zip(a, b)] for a, b in zip(quartiles(some), above)]
 
-    judged = [f for f in facts if f[4] >= 50]
+    judged = [f for f in facts if f[4]]
     every = quartiles(judged)
     around = lambda some: [[y - b[1] + a[1] for y in b] for a, b in zip(quartiles(some), every)]
     scripts = {k: drawn(own, around(own)) for k in {f[3] for f in judged} for own in [[f for f in judged if f[3] == k]]}
@@ -257,7 +276,8 @@ def test_verdicts_match_brute_force(spark):
     want = Counter()
     for i, t, lang, script, n, m in facts:
         q = langs.get(lang) or scripts.get(script) or every
-        inside = n < 50 or all(b[1] - max((b[1] - b[0]) * 6.0, f) <= x <= b[1] + max((b[2] - b[1]) * 12.0, f) for x, b, f in zip(m, q, (0.1, 0.1, 0.3)))
+        wider = math.sqrt(1 + 50 / n) if n else 1
+        inside = not n or all(b[1] - max((b[1] - b[0]) * 6.0, f) * wider <= x <= b[1] + max((b[2] - b[1]) * 12.0, f) * wider for x, b, f in zip(m, q, (0.1, 0.1, 0.3)))
         counts = quality.rules(t)
         failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
         want[(i, lang, script, n, None if m is None else tuple(round(x, 9) for x in m), failed, not failed and inside)] += 1
@@ -285,6 +305,54 @@ def brute_profile(text):
     return total / np.linalg.norm(total) if np.linalg.norm(total) else total
 
 
+def brute_trigrams(text):
+    """How many trigrams a text has: its letters, one space for each run of others, and one before and after."""
+    import unicodedata
+
+    runs = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()).split()
+    return sum(map(len, runs)) + len(runs) - 1 if runs else 0
+
+
+def test_all_languages_are_learned(spark):
+    """1,001 languages, in one block and in many: none is dropped."""
+    rng = __import__("random").Random(8)
+    rows = []
+    for k in range(1001):
+        letters = [chr(0x4E00 + 3 * k + j) for j in range(3)]
+        rows += [(f"l{k}", "".join(rng.choices(letters, k=60)))] * 2
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    one = langid.identify(docs, docs).select("lang", "text", "__tw_lang.lang_pred", F.round("__tw_lang.score", 4).alias("score")).collect()
+    assert sum(r.lang == r.lang_pred for r in one) >= 0.99 * len(rows)
+    many = langid.identify(docs, docs, block_langs=300).select("lang", "text", "__tw_lang.lang_pred", F.round("__tw_lang.score", 4).alias("score")).collect()
+    assert Counter(r[:3] for r in one) == Counter(r[:3] for r in many)
+
+
+def test_copies_count_once_and_the_sample_is_bounded(spark):
+    text = lambda k: " ".join("abcdefghij"[int(d)] * 3 for d in str(k * 7919))
+    rows = [("en", "the very same text")] * 3000 + [("en", text(k)) for k in range(400)] + [("fr", text(k)) for k in range(50)] + [(None, "no language"), ("fr", None)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    for bound, en, fr in ((100, 100, 50), (1000, 401, 50), (1, 1, 1)):
+        got = langid.sampled(docs, bound).collect()
+        assert Counter(r.lang for r in got) == {"en": en, "fr": fr} and len(set(got)) == len(got)
+    twice = [langid.fit_prototypes(d, max_docs_per_lang=100).orderBy("lang").collect() for d in (docs, docs.distinct())]
+    assert [r.lang for r in twice[0]] == ["en", "fr"]
+    for a, b in zip(*twice):
+        assert max(abs(x - y) for x, y in zip(a.v, b.v)) < 1e-6
+
+
+def test_short_and_long_texts_are_judged_alike(spark):
+    """Junk in a script of no prototype goes at 20, 199, 200 and 2,000 characters; prose stays, down to a few words."""
+    rng = __import__("random").Random(5)
+    en = "the quick brown fox jumps over the lazy dog and then they all went home together while some others stayed".split()
+    prose = [(i, " ".join(rng.choices(en, k=rng.randint(30, 200))), "en") for i in range(60)]
+    short = [(100 + n, " ".join(en[:n]), None) for n in (1, 2, 3, 5, 8)]
+    junk = [(1000 + i, "".join(rng.choice("\u4e2d\u6587\u5b57\u6f22\u8a9e") for _ in range(n)), None) for i, n in enumerate((20, 199, 200, 2000))]
+    docs = spark.createDataFrame(prose + short + junk, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in langid.keep_identified(docs, docs.where("lang is not null")).collect()}
+    assert {i for i, *_ in prose + short} <= kept
+    assert not {1002, 1003} & kept
+
+
 def test_languages_match_brute_force(spark):
     import numpy as np
 
@@ -296,8 +364,9 @@ def test_languages_match_brute_force(spark):
     training = docs.where(langid.in_training(F.col("doc_id"))).select("text", "lang")
     got = Counter((r.doc_id, r.text, r.p, round(r.s, 4)) for r in langid.identify(docs, training).select("doc_id", "text", F.col("__tw_lang.lang_pred").alias("p"), F.col("__tw_lang.score").alias("s")).collect())
     sums = {}
-    for i, t, lang in rows:
-        if lang and i is not None and __import__("zlib").crc32(str(i).encode()) % 4 != 2 and brute_profile(t) is not None:
+    learned = {(t, lang) for i, t, lang in rows if lang and i is not None and __import__("zlib").crc32(str(i).encode()) % 4 != 2}
+    for t, lang in learned:
+        if brute_profile(t) is not None:
             sums[lang] = sums.get(lang, 0) + brute_profile(t)
     names = sorted(sums)
     matrix = np.stack([sums[n] / np.linalg.norm(sums[n]) for n in names])
