@@ -6,7 +6,8 @@ outside those of their group are rejected: the group is the language where it is
 the script that most of its documents have, as if ``shrink`` documents more had those; a script has its own median, and the distances of its quartiles are drawn
 towards those of all documents. So no group is too small to be judged, and a rare script isn't measured by a common one. A band is the median, less ``width[0]`` times the lower quartile's distance from it, to ``width[1]`` times the upper
 one's above it, and never narrower than ``floors``. Bands are computed over all documents that have words.
-The measures of a short text scatter more: a text of n words has a band wider by sqrt(1 + ``settling`` / n), so that texts of all lengths are judged.
+The measures of a short text scatter more: the distances of a text of n words are those of its group times the square root of (1 + ``settling`` / n) over
+(1 + ``settling`` / m), where m is the group's median of words, so that texts of all lengths are judged.
 
 Defined results: null and empty texts have no words and fail the base rules; rows are judged one by one, so that repeated
 rows and ids get equal results."""
@@ -181,35 +182,36 @@ def measures(docs: DataFrame, bpe_path: str, piece_path: str) -> DataFrame:
     return rows.mapInArrow(run, T.StructType(fields))
 
 
-def bands(measured: DataFrame, width: tuple[float, float] = WIDTH, floors: dict[str, float] = FLOORS, shrink: int = SHRINK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three frames of limits (an array of middle, below and above for each measure: the median, and how far a long text may lie from it): by lang, by script, and one row for
+def bands(measured: DataFrame, width: tuple[float, float] = WIDTH, shrink: int = SHRINK, settling: float = SETTLING) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three frames of limits (an array of middle, below and above for each measure: the median, and how far a text of very many words may lie from it, floors aside): by lang, by script, and one row for
     all documents."""
-    judged = measured.where(F.col("n_words") > 0)
-    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES]
+    judged, drawn = measured.where(F.col("n_words") > 0), [*MEASURES, "n_words"]
+    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in drawn]
     every = judged.agg(F.count("*").alias("n"), *quartiles).where("n > 0")
-    above = lambda rows, by: F.broadcast(rows.select(*by, *[F.col(m).alias(f"up_{m}") for m in MEASURES]))
+    above = lambda rows, by: F.broadcast(rows.select(*by, *[F.col(m).alias(f"up_{m}") for m in drawn]))
     mean = lambda x, y: (x * F.col("n") + y * shrink) / (F.col("n") + shrink)
     spread = lambda m: F.transform(f"up_{m}", lambda y: y - F.col(f"up_{m}")[1] + F.col(m)[1])
     plain = judged.groupBy("script").agg(F.count("*").alias("n"), *quartiles).join(above(every, []), F.lit(True))
-    by_script = cut(plain.select("script", "n", *[F.zip_with(m, spread(m), mean).alias(m) for m in MEASURES]))  # a row for each script
+    by_script = cut(plain.select("script", "n", *[F.zip_with(m, spread(m), mean).alias(m) for m in drawn]))  # a row for each script
     known = judged.where(F.col("lang").isNotNull())
     main = known.groupBy("lang", "script").agg(F.count("*").alias("k")).groupBy("lang").agg(F.max_by("script", F.struct("k", "script")).alias("script"))
     named = known.groupBy("lang").agg(F.count("*").alias("n"), *quartiles).join(main, "lang").join(above(by_script, ["script"]), "script")
-    by_lang = named.select("lang", *[F.zip_with(m, f"up_{m}", mean).alias(m) for m in MEASURES])
+    by_lang = named.select("lang", *[F.zip_with(m, f"up_{m}", mean).alias(m) for m in drawn])
 
     def limits(rows: DataFrame, by: list[str]) -> DataFrame:
         q = {m: F.col(m) for m in MEASURES}
-        below = {m: F.greatest((q[m][1] - q[m][0]) * width[0], F.lit(floors[m])) for m in MEASURES}
-        above = {m: F.greatest((q[m][2] - q[m][1]) * width[1], F.lit(floors[m])) for m in MEASURES}
+        long = F.sqrt(1 + settling / F.col("n_words")[1])
+        below = {m: (q[m][1] - q[m][0]) * width[0] / long for m in MEASURES}
+        above = {m: (q[m][2] - q[m][1]) * width[1] / long for m in MEASURES}
         return rows.select(*by, F.array(*[F.struct(q[m][1].alias("middle"), below[m].alias("below"), above[m].alias("above")) for m in MEASURES]).alias("limits"))
 
     return limits(by_lang, ["lang"]), limits(by_script, ["script"]), limits(every, [])
 
 
-def verdicts(docs: DataFrame, bpe_path: str, piece_path: str, settling: float = SETTLING, **options) -> DataFrame:
+def verdicts(docs: DataFrame, bpe_path: str, piece_path: str, settling: float = SETTLING, floors: dict[str, float] = FLOORS, **options) -> DataFrame:
     """measures() with base_failed and kept for each row of docs."""
     measured = cut(measures(docs, bpe_path, piece_path))
-    by_lang, by_script, every = (cut(x) for x in bands(measured, **options))
+    by_lang, by_script, every = (cut(x) for x in bands(measured, settling=settling, **options))
     own = by_lang.select(F.col("lang").alias("_lang"), F.col("limits").alias("_own"))
     if is_bounded(own.select("_lang")):
         named = measured.join(F.broadcast(own), F.col("lang") == F.col("_lang"), "left")
@@ -223,6 +225,7 @@ def verdicts(docs: DataFrame, bpe_path: str, piece_path: str, settling: float =
     wider = F.sqrt(1 + settling / F.greatest(F.col("n_words"), F.lit(1)))
     inside = F.lit(True)
     for i, m in enumerate(MEASURES):
-        limit = F.col("_limits")[i]
-        inside &= F.coalesce(F.col(m).between(limit["middle"] - limit["below"] * wider, limit["middle"] + limit["above"] * wider), F.lit(True))
+        limit, least = F.col("_limits")[i], F.lit(floors[m])
+        low, high = limit["middle"] - F.greatest(limit["below"] * wider, least), limit["middle"] + F.greatest(limit["above"] * wider, least)
+        inside &= F.coalesce(F.col(m).between(low, high), F.lit(True))
     return filled.select(*measured.columns, failed.alias("base_failed"), (~failed & inside).alias("kept"))

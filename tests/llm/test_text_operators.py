@@ -262,7 +262,7 @@ def test_verdicts_match_brute_force(spark):
     facts = [(i, t, lang, quality.script(t or ""), *(measured(t) if (t or "").strip() else (0, None))) for i, t, lang in rows]
 
     def quartiles(some):
-        return [[sorted(f[5][k] for f in some)[max(0, math.ceil(q * len(some)) - 1)] for q in (0.25, 0.5, 0.75)] for k in range(3)]
+        return [[sorted((*f[5], f[4])[k] for f in some)[max(0, math.ceil(q * len(some)) - 1)] for q in (0.25, 0.5, 0.75)] for k in range(4)]
 
     def drawn(some, above):
         return [[(x * len(some) + y * 5) / (len(some) + 5) for x, y in zip(a, b)] for a, b in zip(quartiles(some), above)]
@@ -276,8 +276,8 @@ def test_verdicts_match_brute_force(spark):
     want = Counter()
     for i, t, lang, script, n, m in facts:
         q = langs.get(lang) or scripts.get(script) or every
-        wider = math.sqrt(1 + 50 / n) if n else 1
-        inside = not n or all(b[1] - max((b[1] - b[0]) * 6.0, f) * wider <= x <= b[1] + max((b[2] - b[1]) * 12.0, f) * wider for x, b, f in zip(m, q, (0.1, 0.1, 0.3)))
+        wider = math.sqrt((1 + 50 / n) / (1 + 50 / q[3][1])) if n else 1
+        inside = not n or all(b[1] - max((b[1] - b[0]) * 6.0 * wider, f) <= x <= b[1] + max((b[2] - b[1]) * 12.0 * wider, f) for x, b, f in zip(m, q, (0.1, 0.1, 0.3)))
         counts = quality.rules(t)
         failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
         want[(i, lang, script, n, None if m is None else tuple(round(x, 9) for x in m), failed, not failed and inside)] += 1
