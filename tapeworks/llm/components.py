@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tapeworks.llm.common import Scratch
@@ -24,15 +24,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") > F.col("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node, component for every node of edges (a, b): the least node that can be reached. Nulls and loops are left out. Rounds go on until one changes nothing,
-    which takes some log(nodes) squared of them."""
+    which takes some log(nodes) squared of them, and one where edges are components found before. The table of a call goes with the next one over the same scratch."""
     a, b = F.greatest("a", "b"), F.least("a", "b")
-    scratch = Scratch(edges.sparkSession)
+    scratch = scratch or Scratch(edges.sparkSession)
     stars = scratch.put("stars", edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(a.alias("a"), b.alias("b")).distinct())
-    before = after = None
-    while before is None or after != before:
+    before, after = None, _digest(stars)
+    while after != before:
         stars = scratch.put("stars", _star(_star(stars, large=True), large=False))
-        before, after = after, stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        before, after = after, _digest(stars)
     roots = stars.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def _digest(edges: DataFrame) -> Row:
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
