@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,15 +47,20 @@ def exchange_code(exchange: Column) -> Column:
     return known
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+#: Characters that are their own normal form wherever they stand: no compatibility form, nothing to compose with, no mark (ASCII, most of Latin, Greek and Cyrillic letters,
+#: dashes and quotation marks, kana, ideographs).
+_SETTLED = r"^[\x00-\x7F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0391-\u03A1\u03A3-\u03CE\u0400-\u0482\u2010\u2012-\u2016\u2018-\u2023\u3001-\u3029\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF]*$"
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(values: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else unicodedata.normalize("NFKC", v) for v in (x.as_py() for x in values)], pa.string())
 
 
 def plain_reason(reason: Column) -> Column:
-    """NFKC form with white space collapsed; empty is null. Spark has no normal forms, hence an Arrow function; ASCII text, which has no other form, goes to it as null."""
-    ascii_only = F.length(reason) == F.octet_length(reason)
-    collapsed = F.trim(F.regexp_replace(F.coalesce(_nfkc(F.when(~ascii_only, reason)), reason), r"\s+", " "))
+    """NFKC form with white space collapsed; empty is null. Spark has no normal forms, hence an Arrow function; text that is its own form goes to it as null."""
+    settled = (F.length(reason) == F.octet_length(reason)) | reason.rlike(_SETTLED)
+    collapsed = F.trim(F.regexp_replace(F.coalesce(_nfkc(F.when(~settled, reason)), reason), r"\s+", " "))
     return F.nullif(collapsed, F.lit(""))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeworks.lineage import cut
+
 Order = Column | str
 
 
@@ -100,6 +102,7 @@ def backfill_hash(df: DataFrame, hashed: str, id_column: str) -> tuple[DataFrame
 def backfill_reason_hash(df: DataFrame, keys: Sequence[str], id_column: str, hashed: str, stored: str) -> tuple[DataFrame, DataFrame]:
     """Hashes for the rows that lack one (stored is null): id, hash and state; and a row of counts: scanned, updated, skipped (without a reason) and conflicts. A key and
     hash that several rows share is a conflict, and with any conflict nothing is updated."""
+    df = cut(df)  # hashes are costly, and read three times below
     whole = df.where(F.col(hashed).isNotNull()).groupBy(*keys, hashed).agg(F.count("*").alias("_n"))
     conflicts = whole.agg(F.count_if(F.col("_n") > 1).alias("conflicts"))
     shared = whole.where("_n > 1").select(*[F.col(c).alias(f"_{c}") for c in (*keys, hashed)])

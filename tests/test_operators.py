@@ -117,6 +117,24 @@ def test_reasons_and_hashes(spark):
     assert [r.r for r in rows] == ["A b", "A b", None, None] and rows[0].h == rows[1].h and rows[3].h is None
 
 
+def test_settled_characters_are_their_own_normal_form(spark):
+    import re
+    import unicodedata
+
+    settled = [c for c in map(chr, range(0x110000)) if re.match(scalars._SETTLED, c)]
+    pairs = [unicodedata.decomposition(chr(c)).split() for c in range(0x110000)]
+    seconds = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and not p[0].startswith("<")}
+    assert len(settled) > 20_000 and all(unicodedata.is_normalized("NFKC", c) and not unicodedata.combining(c) and c not in seconds for c in settled)
+    texts = ["Größe “ein”  – да", "e\u0301\u00a0x", "ﬁn", "が"]
+    assert [r.r for r in spark.createDataFrame([(t,) for t in texts], "r string").coalesce(1).select(scalars.plain_reason(F.col("r")).alias("r")).collect()] == ["Größe “ein” – да", "é x", "fin", "が"]
+
+
+def test_backfill_reads_hashes_once(spark):
+    rows = spark.createDataFrame([(1, "é\u00a0", None), (2, "b", None)], "id long, text string, stored string").withColumn("hash", scalars.reason_hash(F.col("text")))
+    found, _ = upsert.backfill_reason_hash(rows, ["id"], "id", "hash", "stored")
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 2
+
+
 def test_reason_queries_read_whole_texts(spark, tmp_path):
     import hashlib
     import re
