@@ -130,7 +130,7 @@ def links(fps: DataFrame, max_bits: int = 2, bucket: int = BUCKET) -> DataFrame:
         raise ValueError("Golay keys find up to two differing bits")
     keys = cut(with_keys(fps))
     sizes = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    sized = join_hot(keys, sizes, ["key"])
+    sized = cut(join_hot(keys, sizes, ["key"]))  # the rows of shared keys, dealt out once for the pairs' two sides and the large buckets
     small = sized.where(F.col("n") <= bucket).select("key", "fp")
     other = small.select("key", F.col("fp").alias("b"))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= max_bits

@@ -68,6 +68,12 @@ def test_near_duplicates_match_brute_force(spark, bucket):
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_shared_keys_are_dealt_out_once(spark):
+    fps = spark.range(200).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(fps)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2  # the pairs' two sides, and the stars: none deals the keys out again
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100), (200, 201), (201, 202), (None, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
