@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeworks.lineage import cut
+
 CLOSE_SPANS = (5, 10, 15, 20, 30, 60, 120, 250)
 VOLUME_SPANS = (5, 10)
 #: Earlier bars that recursive indicators are run over before the asked range.
@@ -98,7 +100,7 @@ def header(adjusted: DataFrame, plain: DataFrame, basic: DataFrame, n: int = PRE
     """The last bar's row of kline() over the last n bars of each code: adjusted prices where the code has them, else plain ones."""
     chosen = adjusted.withColumn("adjustment", F.lit("forward")).unionByName(plain.join(adjusted.select("ts_code").distinct(), "ts_code", "left_anti").withColumn("adjustment", F.lit("none")))
     back = F.row_number().over(Window.partitionBy("ts_code").orderBy(F.desc("trade_date")))
-    recent = chosen.withColumn("_back", back).where(F.col("_back") <= n).drop("_back")
+    recent = cut(chosen.withColumn("_back", back).where(F.col("_back") <= n).drop("_back"))  # read twice by kline()
     rows = kline(recent, basic, n)
     last = F.row_number().over(Window.partitionBy("ts_code").orderBy(F.desc("trade_date")))
     return rows.withColumn("_back", last).where("_back = 1").drop("_back")

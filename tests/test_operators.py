@@ -231,3 +231,16 @@ def test_vendor_shapes_of_securities(spark):
     assert got == [("600000.SH", "600000", "name", "SH", "L", "EQUITY", "b"), ("000001", "000001", "000001", None, "L", "EQUITY", "b")]
     with pytest.raises(Exception, match="no dm"):
         resolution.standard_security(spark.createDataFrame([("", "x", "y")], b.schema), "b").collect()
+
+
+def test_header_adjusts_prices_once(spark, monkeypatch):
+    from tapeworks.operators import indicators
+
+    rows = [(1, D(2024, 1, i), float(i), float(i), float(i), 1.0) for i in range(1, 5)]
+    bars = spark.createDataFrame(rows, "ts_code int, trade_date date, high double, low double, close double, vol double")
+    basic = spark.createDataFrame([], "ts_code int, trade_date date, turnover_rate double")
+    seen = []
+    kline = indicators.kline
+    monkeypatch.setattr(indicators, "kline", lambda recent, *rest: seen.append(recent._jdf.queryExecution().executedPlan().toString()) or kline(recent, *rest))
+    assert [(r.close, r.adjustment) for r in indicators.header(bars.where("false"), bars, basic).collect()] == [(4.0, "none")]
+    assert "Window" not in seen[0] and "Join" not in seen[0]
