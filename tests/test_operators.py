@@ -233,6 +233,14 @@ def test_vendor_shapes_of_securities(spark):
         resolution.standard_security(spark.createDataFrame([("", "x", "y")], b.schema), "b").collect()
 
 
+def test_shared_market_views_are_computed_once(spark):
+    from tapeworks.plans.views import Market
+
+    m = Market(spark, "/root/testdata/sf0.001")
+    for view in (m.dc_member,):
+        assert "lineitem.parquet" not in view._jdf.queryExecution().executedPlan().toString()
+
+
 def test_header_adjusts_prices_once(spark, monkeypatch):
     from tapeworks.operators import indicators
 
