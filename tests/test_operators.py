@@ -237,7 +237,7 @@ def test_shared_market_views_are_computed_once(spark):
     from tapeworks.plans.views import Market
 
     m = Market(spark, "/root/testdata/sf0.001")
-    for view in (m.dc_member,):
+    for view in (m.dc_member, m.moneyflow_a, m.moneyflow_b):
         assert "lineitem.parquet" not in view._jdf.queryExecution().executedPlan().toString()
 
 
