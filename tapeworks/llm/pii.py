@@ -66,7 +66,6 @@ VARIANTS = {
     "ip": ((r"\.", "[.]", True, "dotted"), (r"\.", " [dot] ", True, "dotted"), (r"\.", "(dot)", True, "dotted"), (r"\.[0-9]+$", "", False, "dotted"), (r"^[0-9]+", "$0.$0", False, "dotted"), (r"^[0-9]+\.", "9$0", False, "dotted")),
 }
 CONTEXT = 24
-MAX_TRAINING = 20_000
 RECALL = 0.98
 GRID = (0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
 #: The threshold that few held-out rows are drawn towards, and how many rows it counts as.
@@ -215,17 +214,15 @@ def _scored(model: GBTClassificationModel, assembled: DataFrame) -> DataFrame:
     return model.transform(assembled).withColumn("p", vector_to_array("probability")[1])
 
 
-def _sampled(rows: DataFrame, most: int) -> DataFrame:
-    """About most of the different rows (by text, place and rank) at most, drawn by a hash of the text and place: equal texts count once."""
-    once = rows.dropDuplicates(["text_hash", "rank", "start", "end"])
-    share = min(1.0, most / max(1, once.count()))
-    return once.where(F.pmod(F.xxhash64("text_hash", "start", "end", "rank"), F.lit(1_000_000)) < share * 1_000_000)
+def _once(rows: DataFrame) -> DataFrame:
+    """The different rows (by text, place and rank): equal texts count once."""
+    return rows.dropDuplicates(["text_hash", "rank", "start", "end"])
 
 
-def labelled(found: DataFrame, max_training: int = MAX_TRAINING) -> DataFrame:
-    """text_hash, rank, label, weight and features of at most about 2 * max_training natural candidates, and of the variants of at most max_training / 8 base spans."""
-    natural = _sampled(found.where((F.col("rank") >= len(PATTERNS)) & ~F.col("proof")), 2 * max_training)
-    rewritten = _rewritten(_sampled(found.where(F.col("rank") < len(PATTERNS)), max_training // 8))
+def labelled(found: DataFrame) -> DataFrame:
+    """text_hash, rank, label, weight and features of all natural candidates, and of the variants of all base spans."""
+    natural = _once(found.where((F.col("rank") >= len(PATTERNS)) & ~F.col("proof")))
+    rewritten = _rewritten(_once(found.where(F.col("rank") < len(PATTERNS))))
     label = F.when(F.col("assigned"), 1.0).alias("label")  # null: unlabelled
     rows = cut(natural.select("text_hash", "rank", label, *[f"f_{n}" for n in FEATURES]).unionByName(rewritten))
     weight = F.lit(1.0)
@@ -235,13 +232,13 @@ def labelled(found: DataFrame, max_training: int = MAX_TRAINING) -> DataFrame:
     return rows.withColumns({"weight": weight, "label": F.coalesce("label", F.lit(0.0))}).where("weight > 0")
 
 
-def fit(found: DataFrame, max_training: int = MAX_TRAINING, recall: float = RECALL) -> dict[int, tuple[GBTClassificationModel, float]]:
+def fit(found: DataFrame, recall: float = RECALL) -> dict[int, tuple[GBTClassificationModel, float]]:
     """For each generator (by rank) its boosted trees and threshold; generators without candidates of both classes have none."""
-    sample = cut(labelled(found, max_training).withColumn("held_out", F.pmod(F.xxhash64(F.lit(5), "text_hash"), F.lit(3)) == 0).repartition(4))
-    classes = {(r["rank"], r["label"]) for r in sample.where(~F.col("held_out")).select("rank", "label").distinct().collect()}
+    rows = cut(labelled(found).withColumn("held_out", F.pmod(F.xxhash64(F.lit(5), "text_hash"), F.lit(3)) == 0).repartition("text_hash"))
+    classes = {(r["rank"], r["label"]) for r in rows.where(~F.col("held_out")).select("rank", "label").distinct().collect()}
     fitted = {}
     for rank in sorted(r for r, label in classes if label == 1 and (r, 0.0) in classes):  # a fit for each generator
-        own = _assembled(sample, rank)
+        own = _assembled(rows, rank)
         trees = GBTClassifier(maxIter=10, maxDepth=3, stepSize=0.4, minWeightFractionPerNode=LEAF_WEIGHT, seed=7, labelCol="label", featuresCol="features", weightCol="weight")
         model = trees.fit(own.where(~F.col("held_out")))
         scored = _scored(model, own.where("held_out"))

@@ -182,6 +182,15 @@ def test_hidden_data_are_found(spark, n):
     assert sum(covered) >= 0.9 * len(covered) and alarms <= 0.02 * len(clean) and secrets >= 0.9 * n, (kinds, alarms, secrets)
 
 
+def test_all_candidates_are_learned_from(spark):
+    docs = spark.range(1).select(F.lit(1).alias("doc_id"), F.lit("token: \"Zx9abcdefgh12345\", or a@b.example.org").alias("text"))
+    one = pii.candidates(docs).cache()
+    natural, base = one.where("assigned").limit(1), one.where("rank < 4").limit(1)
+    found = natural.crossJoin(spark.range(45_000)).withColumn("text_hash", F.col("id")).drop("id").unionByName(base.crossJoin(spark.range(3_000)).withColumn("text_hash", -F.col("id") - 1).drop("id"))
+    learned = pii.labelled(found)
+    assert learned.where("text_hash >= 0").count() == 45_000 and learned.where("text_hash < 0").select("text_hash").distinct().count() == 3_000
+
+
 def test_redact(spark):
     rows = [(1, "write to a@b.cd now"), (1, "nothing here at all 😀 x@y.zz 1.2.3.4 end"), (2, None), (None, "x@y.zz"), (None, "keep"), (None, "x@y.zz"), (3, "1.2.3.4"), (3, "plain")]
     docs = spark.createDataFrame([(i, t, 1, "clash") for i, t in rows], "doc_id long, text string, data int, cuts string")
