@@ -26,7 +26,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: five-word shingles of similarity 0.8 or more."""
+    """Keeps one document of each group of near copies: candidates by SimHash, as in op7, and by MinHash; links have five-word shingles of similarity 0.8 or more."""
     ship(spark)
     return similar.drop_near_copies(docs)
 

@@ -1,10 +1,11 @@
-"""Near copies by the Jaccard similarity of five-word shingles.
+"""Near copies by SimHash and by the Jaccard similarity of five-word shingles.
 
-Texts with the same set of shingles are one node. A set's minima under 144 hash functions are cut into 24 bands of six;
+Texts with the same set of shingles are one node. Texts whose fingerprints differ in two bits or fewer, found by the Golay keys of ``simhash``, are candidates, and so are those that share a band of MinHash, as
+fingerprints of a pair at a similarity of 0.8 differ in about ten bits; all are checked on the whole sets, since fingerprints count a repeated line each time. A set's minima under 144 hash functions are cut into 24 bands of six;
 two sets of similarity 0.8 share a band with a probability of 0.9993, and more similar ones with a higher one. Every pair that
 shares a band is either checked on the whole sets, or already linked through others that were, or too different by what it has in common: first each bucket's members
 are checked against a centre, in a few rounds while these help, which is linear in the bucket's size. The sets of buckets whose members aren't linked by then meet again by their rarest hashes (prefix filtering with
-bounds by size and place; Xiao et al., 2008), which leaves pairs that have a template in common and little else apart. Whole sets are read from one table for each check; those of centres, which are few, are broadcast where they are small. SimHash keys aren't used here: at a similarity of 0.8 fingerprints of 64 bits differ in about ten.
+bounds by size and place; Xiao et al., 2008), which leaves pairs that have a template in common and little else apart. Whole sets are read from one table for each check; those of centres, which are few, are broadcast where they are small.
 
 Defined results: words are split at ASCII white space and compared with A-Z in lower case; a text of fewer than five words is one
 shingle; texts without words are copies of each other; rows without doc_id stay."""
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeworks.llm import simhash
 from tapeworks.llm.common import OWN, Scratch, cut, join_hot, keep_rows, tidy_shuffles
 from tapeworks.llm.components import components
 from tapeworks.shipping import ship
@@ -74,17 +76,18 @@ def _set_id(hashes: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, id (of the set of shingles), keys for each row of docs."""
+    """doc_id, text_hash, id (of the set of shingles), fp (of simhash), keys for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = (shingles(t.as_py()) for t in batch.column(2))
             rows = [(_set_id(s), band_keys(s)) for s in sets]
-            columns = [batch.column(0), batch.column(1), pa.array([i for i, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "id", "keys"])
+            fps = np.array([simhash.fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
+            columns = [batch.column(0), batch.column(1), pa.array([i for i, _ in rows], pa.int64()), pa.array(fps), pa.array([k for _, k in rows], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "id", "fp", "keys"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("id", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
     return rows.mapInArrow(run, schema)
 
 
@@ -156,22 +159,34 @@ def rare_pairs(sets: DataFrame) -> DataFrame:
     return early.join(right, key).where((F.col("id") < F.col("b_id")) & (F.col("part") != F.col("b_part")) & apart & suffices).select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """a, b: of sets (id, fp) those that the links of simhash join: each with the least of its fingerprint, and the least ones of fingerprints that differ in two bits or fewer."""
+    least = cut(nodes.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    same = join_hot(nodes.select("id", "fp"), least, ["fp"]).where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    ends = [least.select(F.col("fp").alias(side), F.col("least").alias(name)) for side, name in (("a", "x"), ("b", "y"))]
+    close = simhash.links(least).join(ends[0], "a").join(ends[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return same.unionByName(close)
+
+
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b: links between sets that join the same sets as all similar pairs that share a band. nodes: id, keys; texts: id, text, of which
+    """a, b: links between sets that join the same sets as all similar pairs that share a band or have close fingerprints. nodes: id, fp, keys; texts: id, text, of which
     only those with candidates are read."""
     scratch = Scratch(nodes.sparkSession)
+    close = cut(fingerprint_pairs(nodes))
     keys = nodes.select("id", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     keys = cut(join_hot(keys, cut(shared), ["key"]).select("key", "id"))
     # a checkpoint is read row by row; Parquet would be read in batches of some thousand sets, each of them as long as its text
-    sets = cut(_sets(texts.join(keys.select("id").distinct(), "id", "left_semi")))
+    met = keys.select("id").unionByName(close.select(F.col("a").alias("id"))).unionByName(close.select(F.col("b").alias("id"))).distinct()
+    sets = cut(_sets(texts.join(met, "id", "left_semi")))
     found = nodes.sparkSession.createDataFrame([], "a long, b long")
     open_keys = keys.withColumn("part", F.col("id"))
     left = keys.count()
     for turn in range(ROUNDS):
         centres = open_keys.groupBy("key").agg(F.min_by(F.struct("id", "part"), F.xxhash64("id", F.lit(turn))).alias("centre"), F.count("*").alias("n"))
         spokes = join_hot(open_keys, cut(centres), ["key"]).where(F.col("part") != F.col("centre.part"))
-        pairs = scratch.put("spokes", spokes.select(F.col("centre.id").alias("a"), F.col("id").alias("b")).distinct())
+        pairs = spokes.select(F.col("centre.id").alias("a"), F.col("id").alias("b"))
+        pairs = scratch.put("spokes", (pairs if turn else pairs.unionByName(close)).distinct())
         classes = components(scratch.put("found", found.unionByName(_similar(pairs, sets))), scratch)
         found = classes.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         still = open_keys.select("key", "id")  # what is one part stays one
@@ -199,15 +214,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 def _near_copies(docs: DataFrame) -> DataFrame:
     rows = cut(signatures(docs))
-    nodes = cut(rows.groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("keys").alias("keys"), F.count("*").alias("n")))
-    first = nodes.select("id", "first.*").where(F.col("doc_id").isNotNull()).withColumnsRenamed({"doc_id": f"{OWN}id", "text_hash": f"{OWN}hash"})
+    nodes = cut(rows.groupBy("id").agg(F.min(F.struct("doc_id", "text_hash", "fp")).alias("first"), F.first("keys").alias("keys"), F.count("*").alias("n")))
+    first = nodes.select("id", "first.doc_id", "first.text_hash").where(F.col("doc_id").isNotNull()).withColumnsRenamed({"doc_id": f"{OWN}id", "text_hash": f"{OWN}hash"})
     named = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     texts = named.join(first, (F.col("doc_id") == F.col(f"{OWN}id")) & (F.col("text_hash") == F.col(f"{OWN}hash")))
-    classes = components(links(nodes, texts.select("id", "text")))
+    classes = components(links(nodes.select("id", "first.fp", "keys"), texts.select("id", "text")))
     placed = cut(nodes.join(classes, nodes["id"] == classes["node"], "left").select("id", "n", "first.doc_id", F.coalesce("component", "id").alias("component")))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = cut(placed.join(least, "component").select("id", "n", "component_id"))
-    return join_hot(rows.drop("keys"), named, ["id"]).select("doc_id", "text_hash", "component_id")
+    return join_hot(rows.drop("keys", "fp"), named, ["id"]).select("doc_id", "text_hash", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

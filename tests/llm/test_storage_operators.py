@@ -444,3 +444,17 @@ def test_near_copies_of_repeated_rows_and_other_columns(spark):
     assert got == {(5, 2), (5, 5), (2, 2)} and similar.near_copies(docs.where("doc_id IS NOT NULL")).count() == 4
     assert sorted(r["keys"] for r in similar.drop_near_copies(docs).collect()) == [3, 4, 5]
     assert similar.near_copies(docs.limit(0)).count() == 0
+
+
+def test_near_copies_take_the_links_of_fingerprints(spark):
+    """Sets without a band in common are linked if their fingerprints are close and their shingles similar, and those whose fingerprints agree by a repeated line alone aren't."""
+    ship(spark)
+    long = [f"w{i}" for i in range(2000)]
+    repeated = "the same few words again and again " * 300
+    texts = [" ".join(long), " ".join([*long, "end"]), repeated + " ".join(f"a{i}" for i in range(40)), repeated + " ".join(f"b{i}" for i in range(40)), " ".join(f"c{i}" for i in range(200))]
+    fps = [int(np.uint64(simhash.fingerprint(t)).astype(np.int64)) for t in texts]
+    assert all((fps[i] ^ fps[i + 1]).bit_count() <= 2 for i in (0, 2)) and brute_similar([set(similar.shingles(t).tolist()) for t in texts]) == {(0, 1)}
+    nodes = spark.createDataFrame([(i, fp, [10 * i]) for i, fp in enumerate(fps)], "id long, fp long, keys array<long>")
+    assert {tuple(sorted(p)) for p in similar.fingerprint_pairs(nodes).collect()} == {(0, 1), (2, 3)}
+    found = similar.links(nodes, spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()
+    assert {tuple(sorted(p)) for p in found} == {(0, 1)}
