@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from tapeworks import plans
+from tapeworks.plans.views import Market
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -55,3 +56,9 @@ def test_query_matches_sql(spark, duck, name):
 def test_names_and_counts():
     assert set(plans.SQL) <= set(plans.QUERIES)
     assert len(plans.QUERIES) >= 150
+
+
+def test_money_flows_are_summed_after_the_exchange(spark):
+    """Before it, a task would hold a split's keys, about as many as its trades, with eight decimals each."""
+    plan = Market(spark, str(DATA))._flows()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "HashAggregate" not in plan[plan.index("Exchange ") :]
