@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from tapeworks import plans
+from tapeworks.operators import breadth
 from tapeworks.plans.views import Market
 
 DATA = Path("/root/testdata/sf0.001")
@@ -62,3 +63,17 @@ def test_money_flows_are_summed_after_the_exchange(spark):
     """Before it, a task would hold a split's keys, about as many as its trades, with eight decimals each."""
     plan = Market(spark, str(DATA))._flows()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "HashAggregate" not in plan[plan.index("Exchange ") :]
+
+
+def test_bars_take_one_exchange(spark):
+    """Trades are dealt out by code once, for the bars and for the closes before them, and aren't summed within a split."""
+    plan = Market(spark, str(DATA)).daily_bar._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Aggregate" not in plan[plan.index("Exchange ") :]
+
+
+def test_streaks_and_yesterday_take_one_order(spark):
+    rows = spark.createDataFrame([(1, n, up, float(n), False) for n, up in enumerate([True, True, False, True, True, True])] + [(1, 7, True, 7.0, True)], "ts_code long, n int, close_up boolean, close double, tradable_up boolean")
+    found = breadth.with_yesterday(breadth.streaks(rows))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort ") == 1
+    assert [(r.streak, r.y_streak) for r in found.orderBy("n").collect()] == [(1, None), (2, 1), (0, 2), (1, 0), (2, 1), (3, 2), (1, None)]
