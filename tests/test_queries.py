@@ -5,9 +5,11 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from tapeworks import plans
+from tapeworks import lineage, plans
 from tapeworks.operators import breadth
+from tapeworks.plans import views
 from tapeworks.plans.views import Market
 
 DATA = Path("/root/testdata/sf0.001")
@@ -71,6 +73,34 @@ def test_bars_take_one_exchange(spark):
     assert plan.count("Exchange ") == 1 and "Aggregate" not in plan[plan.index("Exchange ") :]
 
 
+def test_trades_are_whole_numbers_as_exact_as_decimals(spark):
+    """Cents and ten-thousandths without decimals for each trade, also where a half decides or a double has more places."""
+    numbers = [0.0, -0.0, 1.005, 2.675, 0.125, -0.125, 20.015, 19.995, 17954.55, 104949.5, 0.00005, 0.00015, 1.23455, 1.23445, -7.00005, 123456789.12345, 1e11 + 0.3, None]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", F.round("x", 2).alias("px"), views._cents(F.col("x")).alias("cents"), views._units(F.col("x")).alias("units"), views.dec(F.col("x"), 20).alias("d"))
+    for r in rows.collect():
+        assert (r.x is None and r.cents is None and r.units is None) or (r.cents == round(r.px * 100) and r.units == int(r.d * 10_000)), r
+
+
+def test_trades_stay_whole_numbers_until_a_bar(spark):
+    plan = Market(spark, str(DATA)).daily_bar._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange ") :]
+    assert "decimal" not in below.split("Project [", 1)[0] and "placed" in below and " px#" not in below
+
+
+def test_parts_of_large_steps_are_not_merged(spark):
+    """Merged down to about one part a core, the last part runs alone."""
+    rows = spark.createDataFrame([(1, "2020-01-06", 1, 0.1, True, 5.0)], "ts_code long, trade_date string, n int, r double, red boolean, amount double")
+    members = spark.createDataFrame([("2020-01-06", "a", 1)], "trade_date string, ts_code string, con_code long")
+    plan = breadth.themes(rows, members, unique=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 3
+
+
+def test_stored_rows_are_read_by_columns(spark):
+    kept = lineage.stored(spark.range(3).select("id", F.lit("x").alias("other")))
+    plan = kept.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and "other" not in plan and sorted(r.id for r in kept.collect()) == [0, 1, 2]
+
+
 def test_streaks_and_yesterday_take_one_order(spark):
     rows = spark.createDataFrame([(1, n, up, float(n), False) for n, up in enumerate([True, True, False, True, True, True])] + [(1, 7, True, 7.0, True)], "ts_code long, n int, close_up boolean, close double, tradable_up boolean")
     found = breadth.with_yesterday(breadth.streaks(rows))
