@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.scalars import exchange_code, plain_name
+from tapeworks.lineage import dealt
 from tapeworks.operators.upsert import keep_one
 
 UNKNOWN_PRIORITY = 10_000
@@ -25,7 +26,7 @@ def candidates(sources: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFra
 
 def last_of_source(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Of rows of one key and source the first in order."""
-    return keep_one(rows, [*keys, "source"], order)
+    return keep_one(dealt(rows, *keys), [*keys, "source"], order)
 
 
 def priority(sources: Sequence[str]) -> Column:
@@ -119,9 +120,11 @@ def touched(rows: DataFrame, changed: DataFrame, keys: Sequence[str]) -> DataFra
 
 def conflicts(rows: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """keys, field, n_values: fields on which two or more sources of a key differ; null is a value."""
-    values = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("\x00")).alias("value")) for f in fields]))
-    long = rows.select(*keys, "source", values.alias("x")).select(*keys, "source", "x.*")
-    return long.groupBy(*keys, "field").agg(F.count_distinct("source").alias("_sources"), F.count_distinct("value").alias("n_values")).where("_sources > 1 and n_values > 1").drop("_sources")
+    value = lambda f: F.coalesce(F.col(f).cast("string"), F.lit("\x00"))
+    kinds = lambda c: F.size(F.collect_set(c)).cast("long")  # noqa: E731  a key has few rows: without a distinct count, they aren't multiplied
+    met = dealt(rows.select(*keys, "source", *[value(f).alias(f"_v{i}") for i, f in enumerate(fields)]), *keys).groupBy(*keys).agg(kinds("source").alias("_sources"), *[kinds(f"_v{i}").alias(f"_n{i}") for i in range(len(fields))])
+    found = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_n{i}").alias("n_values")) for i, f in enumerate(fields)]))
+    return met.where("_sources > 1").select(*keys, found.alias("x")).select(*keys, "x.*").where("n_values > 1")
 
 
 def standardise_flow(rows: DataFrame, buys: Sequence[str], sells: Sequence[str]) -> DataFrame:
@@ -137,7 +140,7 @@ def compare(a: DataFrame, b: DataFrame, keys: Sequence[str], fields: Sequence[st
     relative of the larger size, 1 at least), and worst (the field with the greatest difference)."""
     left = a.select(*keys, F.struct(*fields).alias("_a"))
     right = b.select(*keys, F.struct(*fields).alias("_b"))
-    both = left.join(right, list(keys), "full")
+    both = dealt(left, *keys).join(dealt(right, *keys), list(keys), "full")
     checks = []
     for f in fields:
         x, y = F.col(f"_a.{f}").cast("double"), F.col(f"_b.{f}").cast("double")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeworks import lineage, plans
-from tapeworks.operators import breadth
+from tapeworks.operators import breadth, resolution
 from tapeworks.plans import views
 from tapeworks.plans.views import Market
 
@@ -95,6 +95,22 @@ def test_parts_of_large_steps_are_not_merged(spark):
     assert plan.count("REPARTITION_BY_NUM") == 3
 
 
+def test_conflicts_do_not_multiply_rows(spark):
+    """Distinct counts of two columns would give each row twice for each field, in hash maps that grow with the task's rows; merged parts would, too."""
+    rows = spark.createDataFrame([("k", "a", 1, None), ("k", "b", 2, None), ("k", "c", 2, 5), ("l", "a", 1, 1), ("l", "a", 2, 1), ("m", "a", 3, 3), ("m", "b", 3, 3), ("n", None, 1, 1), ("n", "a", 2, 2)], "key string, source string, x int, y int")
+    found = resolution.conflicts(rows, ["key"], ["x", "y"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("REPARTITION_BY_NUM") == 1 and plan.count("Exchange ") == 1
+    assert sorted(tuple(r) for r in found.collect()) == [("k", "x", 2), ("k", "y", 2)] and found.columns == ["key", "field", "n_values"] and dict(found.dtypes)["n_values"] == "bigint"
+
+
+def test_sources_meet_in_named_parts(spark):
+    rows = spark.createDataFrame([("k", "a", 1.0), ("k", "b", 2.0)], "key string, source string, v double")
+    for found in (resolution.last_of_source(rows, ["key"], [F.col("v")]), resolution.compare(rows, rows, ["key"], ["v"])):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == plan.count("REPARTITION_BY_NUM") > 0
+
+
 def test_stored_rows_are_read_by_columns(spark):
     kept = lineage.stored(spark.range(3).select("id", F.lit("x").alias("other")))
     plan = kept.select("id")._jdf.queryExecution().executedPlan().toString()
