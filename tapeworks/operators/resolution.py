@@ -118,11 +118,11 @@ def touched(rows: DataFrame, changed: DataFrame, keys: Sequence[str]) -> DataFra
     return rows.join(changed.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def conflicts(rows: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """keys, field, n_values: fields on which two or more sources of a key differ; null is a value."""
+def conflicts(rows: DataFrame, keys: Sequence[str], fields: Sequence[str], n: int = 0) -> DataFrame:
+    """keys, field, n_values: fields on which two or more sources of a key differ; null is a value. n is how many rows there are at most, where that is known."""
     value = lambda f: F.coalesce(F.col(f).cast("string"), F.lit("\x00"))
     kinds = lambda c: F.size(F.collect_set(c)).cast("long")  # noqa: E731  a key has few rows: without a distinct count, they aren't multiplied
-    met = dealt(rows.select(*keys, "source", *[value(f).alias(f"_v{i}") for i, f in enumerate(fields)]), *keys).groupBy(*keys).agg(kinds("source").alias("_sources"), *[kinds(f"_v{i}").alias(f"_n{i}") for i in range(len(fields))])
+    met = dealt(rows.select(*keys, "source", *[value(f).alias(f"_v{i}") for i, f in enumerate(fields)]), *keys, rows=n).groupBy(*keys).agg(kinds("source").alias("_sources"), *[kinds(f"_v{i}").alias(f"_n{i}") for i in range(len(fields))])
     found = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_n{i}").alias("n_values")) for i, f in enumerate(fields)]))
     return met.where("_sources > 1").select(*keys, found.alias("x")).select(*keys, "x.*").where("n_values > 1")
 

@@ -137,7 +137,7 @@ def rs10(m):
     " UNION ALL ".join(f"SELECT ts_code, trade_date, '{f}' AS field, 2 AS n_values FROM std_a a JOIN std_b b USING (ts_code, trade_date) WHERE a.{f} IS DISTINCT FROM b.{f}" for f in ("buy_sm_amount", "buy_md_amount", "net_amount")),
 )
 def rs11(m):
-    return resolution.conflicts(cand(m), KEYS, ["buy_sm_amount", "buy_md_amount", "net_amount"])
+    return resolution.conflicts(cand(m), KEYS, ["buy_sm_amount", "buy_md_amount", "net_amount"], 2 * m.moneyflow_a.count())
 
 
 _GAP = {f: (f"abs(CAST(a.{f} AS DOUBLE) - CAST(b.{f} AS DOUBLE))", f"abs(CAST(a.{f} AS DOUBLE) - CAST(b.{f} AS DOUBLE)) / greatest(abs(CAST(a.{f} AS DOUBLE)), abs(CAST(b.{f} AS DOUBLE)), 1.0)") for f in AMOUNTS}
